@@ -9,11 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality
+from . import licenses, neardup, packing, quality
 from .scratch import table, written
 from .sql import SQL  # noqa: F401
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.concat_ws(",", c) for c in ("base_labels", "labels")})
@@ -30,6 +34,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_license_scan": op3_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,

@@ -33,7 +33,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept, and grown by doubling."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(10, (n - 1).bit_length())
+        size = 1 << max(10, int(n - 1).bit_length())
         with np.errstate(over="ignore"):
             have = np.ones(size, np.uint64)
             have[1:] = np.uint64(base)
