@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, neardup, packing, quality, substrings
+from . import licenses, neardup, packing, quality, substrings, toxicity
+from .features import fold
 from .scratch import table, written
 from .sql import SQL  # noqa: F401
 
@@ -23,6 +24,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.concat_ws(",", c) for c in ("base_labels", "labels")})
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = fold(F.col("doc_id"), 4) != 2
+    model = toxicity.train_on_labels(docs.where(learn), labels.where(learn))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -40,6 +49,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_license_scan": op3_license_scan,
+    "op5_toxicity": op5_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
