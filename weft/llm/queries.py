@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, neardup, packing, quality, substrings, toxicity
+from . import bpe, language, licenses, neardup, neighbours, packing, quality, substrings, toxicity
 from .features import fold
 from .scratch import table, written
 from .sql import SQL  # noqa: F401
@@ -39,6 +39,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return neighbours.search(vectors, queries)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
