@@ -7,10 +7,11 @@ shingle sets together; links are confirmed on the full sets.
 
 Large groups: documents with equal sets are one class before anything else.  In
 each bucket every member is first compared with one pivot, in several rounds
-with other pivots, and only with pivots of another component.  What is then
-still apart in a bucket is compared in full, but for the members of its largest
-component, which need no comparison among themselves.  So links that only join
-what is joined already are never made, and no link between components is lost.
+with other pivots, and only with pivots of another component.  Where a bucket
+then still holds several components, the members outside its largest one are
+compared with all others in blocks of bounded size; a block counts the shingles
+that sets share and puts out nothing but links.  So links that only join what
+is joined already are never made, and no link between components is lost.
 
 Defined results: null or blank texts have an empty set and are linked with
 nothing; texts with fewer words than a shingle are one shingle; repeated rows
@@ -35,10 +36,13 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 #: At a similarity of 0.8 two sets share no band with a probability of 2e-6.
 BANDS, ROWS = 25, 4
-#: Rounds of comparisons with pivots before what is left is compared in full.
-PIVOT_ROUNDS = 4
+#: Rounds of comparisons with pivots before what is left is compared in blocks.
+PIVOT_ROUNDS = 3
+#: Members of a block's side.
+BLOCK = 256
 
-_SHIFT = 0x9E3779B1
+# The second permutation of 32-bit values: x -> A x x + B x modulo 2 ** 32, a bijection for even A and odd B.
+_A, _B, _SHIFT = 0x2C1B3C6E, 0x85EBCA6B, 0x9E3779B1
 
 
 def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
@@ -55,20 +59,19 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
     return out
 
 
-def _permuted(x: np.ndarray) -> np.ndarray:
-    """A bijection of 32-bit values."""
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return x ^ (x >> np.uint32(16))
-
-
 def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     """size coordinates: the least place of a shingle under the second permutation, shifted by k."""
-    first = (shingles >> np.uint64(32)).astype(np.uint32)  # the mixed hash is the first permutation
-    out = np.empty(size, np.uint32)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            out[k] = _permuted(first + np.uint32(k * _SHIFT % (1 << 32))).min()
+    x = (shingles >> np.uint64(32)).astype(np.uint32)  # the mixed hash is the first permutation
+    shift = np.arange(size, dtype=np.uint64) * np.uint64(_SHIFT) % np.uint64(1 << 32)
+    linear = ((2 * _A * shift + _B) % np.uint64(1 << 32)).astype(np.uint32)  # A (x + s)(x + s) + B (x + s), by powers of x
+    constant = ((_A * (shift * shift % np.uint64(1 << 32)) + _B * shift) % np.uint64(1 << 32)).astype(np.uint32)
+    square = x * x * np.uint32(_A)
+    out = np.full(size, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(x), 1024):
+        places = linear[:, None] * x[a : a + 1024]
+        places += square[a : a + 1024]
+        places += constant[:, None]
+        np.minimum(out, places.min(1), out=out)
     return out
 
 
@@ -139,6 +142,60 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> D
     return with_sets.select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary")
 
 
+def _links_in_blocks(open_members: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links between the components of each bucket.
+
+    open_members has bucket, class and component.  The members outside a
+    bucket's largest component meet all others, dealt out to blocks of about
+    BLOCK by BLOCK members.
+    """
+    num, den = similar
+    each = open_members.groupBy("bucket", "component").count()
+    sizes = written(
+        each.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("major"), F.sum("count").alias("n")).where((F.col("n") > 2) & (F.col("n") > F.col("major.count")))
+        .select("bucket", F.col("major.component").alias("major"), F.ceil(F.col("n") / BLOCK).alias("columns"), F.ceil((F.col("n") - F.col("major.count")) / BLOCK).alias("rows")),
+        "sizes",
+    )
+    at = open_members.join(sizes, "bucket").join(sets, "class")
+    place = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    minor = at.where("component <> major").select("bucket", place("rows").alias("row"), every("columns").alias("column"), F.lit(0).alias("side"), "class", "component", "shingles")
+    member = at.select("bucket", every("rows").alias("row"), place("columns").alias("column"), F.lit(1).alias("side"), "class", "component", "shingles")
+
+    def links(left: list[tuple], right: list[tuple]) -> Iterator[tuple]:
+        sets = [np.frombuffer(x, "<u8") for *_, x in right]
+        sizes = np.array([len(x) for x in sets])
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        for name, component, x in left:
+            own = np.frombuffer(x, "<u8")
+            a, b = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            n = b - a
+            hits = owners[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            shared = np.bincount(hits, minlength=len(sets))
+            for k in np.flatnonzero(den * shared >= num * (len(own) + sizes - shared)).tolist():
+                if right[k][1] != component:
+                    yield min(name, right[k][0]), max(name, right[k][0])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides, found = None, ([], []), set()
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "row", "column", "side", "class", "component", "shingles"))):
+                if r[:3] != key:
+                    if sides[0] and sides[1]:
+                        found.update(links(*sides))
+                    key, sides = r[:3], ([], [])
+                sides[r[3]].append(r[4:])
+        if sides[0] and sides[1]:
+            found.update(links(*sides))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+    n = int(open_members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = ["bucket", "row", "column"]
+    return minor.unionByName(member).repartition(n, *block).sortWithinPartitions(*block).mapInArrow(search, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node) of the nodes that links (a, b) join.
 
@@ -179,24 +236,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
     sets = written(_sets(docs, wanted, shingle).dropDuplicates(["class"]), "sets")
 
     label = written(wanted.select("class", F.col("class").alias("component")), "component")
-    tried = None
     for k in range(PIVOT_ROUNDS + 1):
         now = members.join(label, "class")
-        open_buckets = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(k)), "class", "component")).alias("pivot")).where("lo <> hi")
+        pivots = written(
+            now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(k)), "class", "component")).alias("pivot"))
+            .where("lo <> hi").select("bucket", F.col("pivot.class").alias("pivot"), F.col("pivot.component").alias("pivot_component")),
+            "pivots",
+        )
+        open_members = now.join(pivots, "bucket")
         if k < PIVOT_ROUNDS:
-            pivots = written(open_buckets.select("bucket", F.col("pivot.class").alias("pivot"), F.col("pivot.component").alias("pivot_component")), "pivots")
-            pairs = now.join(pivots, "bucket").where("component <> pivot_component").select("class", F.col("pivot").alias("other"))
+            pairs = open_members.where("component <> pivot_component").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+            links = written(_confirmed(written(pairs, "pairs"), sets, similar), "confirmed")
         else:
-            sizes = now.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).component.alias("major"), F.count("*").alias("n")).where("n > 1").select("bucket", "major")
-            apart = written(now.join(written(sizes, "majors"), "bucket"), "apart")
-            minor = apart.where("component <> major").select("bucket", F.col("class").alias("other"), F.col("component").alias("other_component"))
-            pairs = apart.join(minor, (apart.bucket == minor.bucket) & (F.col("component") != F.col("other_component")) & ((F.col("component") == F.col("major")) | (F.col("class") < F.col("other")))).select("class", "other")
-        pairs = pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        links = written(_confirmed(pairs, sets, similar), "confirmed")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+            links = written(_links_in_blocks(open_members.select("bucket", "class", "component"), sets, similar), "confirmed")
         if links.limit(1).count():
             named = lambda c: label.select(F.col("class").alias(c), F.col("component").alias(f"{c}_component"))
             between = written(links.join(named("a"), "a").join(named("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).where("a <> b").distinct(), "between")
