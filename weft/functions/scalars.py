@@ -96,8 +96,8 @@ def limited(text: Column, n: int) -> Column:
 def human_size(size: Column) -> Column:
     """X12."""
     kb, mb, gb = 1 << 10, 1 << 20, 1 << 30
-    two = lambda x: F.format_string("%.2f", x)
-    one = lambda x: F.format_string("%.1f", x)
+    two = lambda x: F.format_string("%.2f", F.bround(x, 2))  # noqa: E731  half to even
+    one = lambda x: F.format_string("%.1f", F.bround(x, 1))
     return (
         F.when(size < kb, F.concat(size, F.lit("B"))).when(size < 10 * kb, F.concat(two(size / kb), F.lit("KB"))).when(size < mb, F.concat(one(size / kb), F.lit("KB")))
         .when(size < 10 * mb, F.concat(two(size / mb), F.lit("MB"))).when(size < gb, F.concat(one(size / mb), F.lit("MB")))

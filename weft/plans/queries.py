@@ -293,4 +293,105 @@ def t3_stream_stats(spark, d):
     return jobs.run_once(jobs.running_statistics(_stream(spark, d)), "complete", _store(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n[:1] in "efgjkrtuwx" and n[1:2].isdigit()}
+def s2_url_list(spark, d):
+    """Lists of the hosts' URLs, with a comment and a blank line each."""
+    lists = _table(spark, d, "pages").groupBy(urls.host(F.col("url")).alias("url")).agg(F.concat(F.lit("# list\n\n"), F.array_join(F.array_sort(F.collect_list("url")), "\n")).alias("body"))
+    return scans.url_list(lists).select(F.col("url").alias("host"), F.col("line").cast("long").alias("line"), "raw_url")
+
+
+def s3_seed_words(spark, d):
+    return scans.words(_table(spark, d, "pages").select(F.concat(F.lit(" "), "url", F.lit("\t "), urls.robots_url(F.col("url"))).alias("value")))
+
+
+def s4_css_links(spark, d):
+    body = F.concat(F.lit("a{b:url('"), urls.part(F.col("url"), "path"), F.lit("')}\n/* url(x) */ c{d:url(y"), F.col("page_id"), F.lit(")}"))
+    return scans.css(_table(spark, d, "pages").select("page_id", body.alias("body")), "page_id").select("page_id", F.col("line").cast("long").alias("line"), "raw_url")
+
+
+def s5_sitemaps(spark, d):
+    body = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), scalars.xml_escaped(F.col("url")), F.lit("</loc></url></urlset>"))
+    return scans.sitemap(_table(spark, d, "pages").select("page_id", body.alias("body")), "page_id").select("page_id", "raw_url")
+
+
+def s8_binary_urls(spark, d):
+    content = F.encode(F.concat(F.lit("\u0001\u00ff"), urls.robots_url(F.col("url")), F.lit("\u0000")), "ISO-8859-1")
+    return scans.binary_urls(_table(spark, d, "pages").select("page_id", content.alias("content")), "page_id").select("page_id", "raw_url")
+
+
+def s9_markdown_links(spark, d):
+    body = F.concat(F.lit("see <"), "url", F.lit("> and [x](/p"), "page_id", F.lit(' "t").'))
+    return scans.markdown(_table(spark, d, "pages").select("page_id", body.alias("body")), "page_id").select("page_id", F.col("n").cast("long").alias("n"), "raw_url")
+
+
+def s13_directory(spark, d):
+    return scans.directory(_table(spark, d, "pages").select(F.concat(F.lit("/"), urls.host(F.col("url")), F.lit("/"), F.col("page_id"), F.lit(".html")).alias("path"))).select("parent_url", "raw_url")
+
+
+def s14_ftp_listing(spark, d):
+    i = F.col("page_id")
+    line = F.when(i % 3 == 0, F.concat(F.lit("-rw-r--r--   1 root     other        531 Jan 29 03:26 f"), i)).when(i % 3 == 1, F.concat(F.lit("04-27-00  09:09PM       <DIR>          d"), i)).otherwise(F.concat(F.lit("total "), i))
+    return scans.ftp_listing(_table(spark, d, "pages").select(line.alias("line"))).select("name", "trycwd", "tryretr")
+
+
+def s16_header_links(spark, d):
+    headers = F.create_map(F.lit("link"), F.concat(F.lit('</n'), F.col("page_id"), F.lit('>; rel="next"')), F.lit("refresh"), F.concat(F.lit("5; url="), "url"))
+    return scans.header_links(_table(spark, d, "pages").select("url", headers.alias("headers")))
+
+
+def s18_sniffed_types(spark, d):
+    kind = F.when(F.col("page_id") % 2 == 0, "text/plain")
+    return _table(spark, d, "pages").select("page_id", scans.sniffed(kind, F.col("html"), urls.part(F.col("url"), "path")).alias("mime"))
+
+
+def e9_anchors(spark, d):
+    html = F.concat(F.lit('<a name="n'), F.col("page_id"), F.lit('">x</a>'), "html")
+    return extract.anchors(_table(spark, d, "pages").select("page_id", "url", html.alias("html"))).select("page_id", "anchor")
+
+
+def e10_meta_robots(spark, d):
+    content = F.when(F.col("page_id") % 3 == 0, "nofollow").when(F.col("page_id") % 3 == 1, "noindex, nofollow").otherwise("all")
+    html = F.concat(F.lit('<meta name="robots" content="'), content, F.lit('">'), "html")
+    return _table(spark, d, "pages").select("page_id", extract.meta_robots(html, "nofollow").alias("strict"), extract.meta_robots(html, "nofollow", False).alias("trimmed"))
+
+
+def e11_forms(spark, d):
+    html = F.concat(F.lit('<form action="/login"><input name="User" value="'), F.col("page_id"), F.lit('"><input name="pw"><input type="submit"></form>'), "html")
+    found = extract.form_with(extract.forms(_table(spark, d, "pages").select("page_id", html.alias("html"))), "user")
+    return found.select("page_id", F.col("form").cast("long").alias("form"), "action", F.array_join(F.transform("fields", lambda x: F.concat(x["name"], F.lit("="), F.coalesce(x.value, F.lit("")))), "&").alias("fields"))
+
+
+def x11_text_functions(spark, d):
+    t = F.col("text")
+    return _table(spark, d, "documents").select(
+        "doc_id", scalars.limited(t, 40).alias("limited"), scalars.first_line(t).alias("first_line"), scalars.line_of(t, F.lit(200)).cast("long").alias("line"), F.md5(scalars.without_controls(t)).alias("plain"),
+        scalars.human_size(F.col("n_chars") * 100).alias("size"), scalars.human_duration(F.col("n_chars")).alias("duration"), F.md5(scalars.xml_escaped(t)).alias("xml"), F.md5(scalars.sql_literal(t)).alias("literal"))
+
+
+def x22_mail_addresses(spark, d):
+    found = _table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({MAIL})"), F.lit(1))).alias("a"))
+    url = F.concat(F.lit("mailto:"), "a", F.lit("?cc=z@example.org&subject=s"))
+    return found.select("doc_id", urls.mail_key(scalars.mail_addresses(url)).alias("key"))
+
+
+def j8_alias_results(spark, d):
+    pages = _table(spark, d, "pages")
+    results = fetches(pages).where("status <> 301").select(F.col("url").alias("cache_url"), F.col("status").cast("long").alias("status"))
+    return joins.for_aliases(results, joins.redirect_ends(redirects(pages)))
+
+
+def j15_resolved_hosts(spark, d):
+    hosts = _table(spark, d, "pages").select(urls.host(F.col("url")).alias("host"))
+    dns = hosts.distinct().where(F.length("host") % 2 == 0).select(F.col("host").alias("domain"), F.lit("A").alias("type"))
+    return joins.resolves(hosts, dns)
+
+
+def k4_text_report(spark, d):
+    return report.text_blocks(_records(_table(spark, d, "pages")).select("url", "label", "result"))
+
+
+def w2_host_audit(spark, d):
+    pages = _table(spark, d, "pages").select(urls.host(F.col("url")).alias("host"), "url", "page_id")
+    return joins.one_per_host(pages).select("host", "page_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n[:1] in "efgjkrstuwx" and n[1:2].isdigit()}

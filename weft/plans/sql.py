@@ -163,3 +163,30 @@ UNION ALL SELECT 'https://' || host || '/', 'daily', '1.00' FROM biggest""",
     "t3_stream_stats": "SELECT event_type, count(*) AS number, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type",
 }
 SQL["t2_stream_streak"] = SQL["g5_failure_streak"]
+SQL |= {
+    "s2_url_list": f"SELECT {_HOST} AS host, CAST(row_number() OVER (PARTITION BY {_HOST} ORDER BY url) + 2 AS BIGINT) AS line, url AS raw_url FROM pages",
+    "s3_seed_words": f"SELECT url AS raw_url FROM pages UNION ALL SELECT {_SCHEME} || '://' || {_NETLOC} || '/robots.txt' FROM pages",
+    "s4_css_links": f"SELECT page_id, CAST(1 AS BIGINT) AS line, {_PATH} AS raw_url FROM pages UNION ALL SELECT page_id, 2, 'y' || page_id FROM pages",
+    "s5_sitemaps": "SELECT page_id, url AS raw_url FROM pages",
+    "s8_binary_urls": f"SELECT page_id, {_SCHEME} || '://' || {_NETLOC} || '/robots.txt' AS raw_url FROM pages",
+    "s9_markdown_links": "SELECT page_id, CAST(0 AS BIGINT) AS n, url AS raw_url FROM pages UNION ALL SELECT page_id, 1, '/p' || page_id FROM pages",
+    "s13_directory": f"SELECT '/' || {_HOST} || '/' AS parent_url, page_id || '.html' AS raw_url FROM pages",
+    "s14_ftp_listing": "SELECT CASE page_id % 3 WHEN 0 THEN 'f' ELSE 'd' END || page_id AS name, page_id % 3 = 1 AS trycwd, page_id % 3 = 0 AS tryretr FROM pages WHERE page_id % 3 < 2",
+    "s16_header_links": "SELECT url, '/n' || page_id AS raw_url, 'Link: header next' AS name FROM pages UNION ALL SELECT url, url, 'Refresh: header' FROM pages",
+    "s18_sniffed_types": f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CASE WHEN html ILIKE '<!DOCTYPE html%' THEN 'text/html' ELSE 'text/plain' END WHEN {_PATH} LIKE '%.html' THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages",
+    "e9_anchors": "SELECT page_id, 'n' || page_id AS anchor FROM pages",
+    "e10_meta_robots": "SELECT page_id, page_id % 3 = 0 AS strict, page_id % 3 < 2 AS trimmed FROM pages",
+    "e11_forms": "SELECT page_id, CAST(1 AS BIGINT) AS form, '/login' AS action, 'User=' || page_id || '&pw=' AS fields FROM pages",
+    "x11_text_functions": """
+SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS limited, trim(string_split(text, chr(10))[1]) AS first_line,
+       CAST(length(left(text, 200)) - length(replace(left(text, 200), chr(10), '')) + 1 AS BIGINT) AS line, md5(regexp_replace(text, '[\\x01-\\x1F\\x7F]', '', 'g')) AS plain,
+       CASE WHEN n < 1024 THEN n || 'B' WHEN n < 10240 THEN printf('%.2fKB', n / 1024) WHEN n < 1048576 THEN printf('%.1fKB', n / 1024) WHEN n < 10485760 THEN printf('%.2fMB', n / 1048576) ELSE printf('%.1fMB', n / 1048576) END AS size,
+       CASE WHEN n_chars >= 3600 THEN printf('%02d:', n_chars // 3600) ELSE '' END || printf('%02d:%02d', (n_chars // 60) % 60, n_chars % 60) AS duration,
+       md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS xml, md5('''' || replace(text, '''', '''''') || '''') AS literal
+FROM (SELECT *, n_chars * 100 AS n FROM documents)""",
+    "x22_mail_addresses": f"SELECT doc_id, 'mailto:' || array_to_string(list_sort([a, 'z@example.org']), ',') AS key FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{MAIL}')) AS a FROM documents)",
+    "j8_alias_results": SQL["j7_redirects"].replace("SELECT c.from_url, c.to_url AS final_url, CAST(c.hops AS BIGINT) AS hops, CAST(f.status AS BIGINT) AS status FROM chain", "SELECT url AS cache_url, CAST(status AS BIGINT) AS status FROM fetches WHERE status <> 301 UNION ALL SELECT c.from_url, CAST(f.status AS BIGINT) FROM chain").replace("WHERE h.from_url IS NULL", "WHERE h.from_url IS NULL AND f.status <> 301"),
+    "j15_resolved_hosts": f"SELECT DISTINCT {_HOST} AS host, length({_HOST}) % 2 = 0 AS valid FROM pages",
+    "k4_text_report": f"WITH {_RECORDS} SELECT concat_ws(chr(10), 'url           ' || url, 'label         ' || nullif(label, ''), 'result        ' || status) AS value FROM record",
+    "w2_host_audit": f"SELECT {_HOST} AS host, arg_min(page_id, url) AS page_id FROM pages GROUP BY 1",
+}
