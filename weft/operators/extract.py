@@ -19,6 +19,7 @@ NEAR = 256
 def tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """The start tags of each page: key, url, seq (token number), tag, body, and where it starts (from 0)."""
     cut = pages.select(key, "url", "html", F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)).alias("t"))
+    # with the number of each token's first character; a page's tokens are few enough for its row
     places = F.aggregate("t", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a.at + F.length(x)).alias("at"), F.concat(a.all, F.array(a.at)).alias("all"))).all
     each = cut.select(key, "url", "html", F.posexplode(F.arrays_zip(F.col("t").alias("body"), places.alias("at"))).alias("seq", "x"))
     return each.select(key, "url", "html", "seq", F.col("x.body").alias("body"), F.col("x.at").alias("at")).where(F.col("body").rlike("^<[a-zA-Z]")).select(
