@@ -160,7 +160,7 @@ def test_quality(spark):
 
 
 def test_licenses(spark):
-    rows = ODD + [(10, "x. Released UNDER the\nMIT-license. under the mit licenses", "s"), (11, "a\nLicensed under the Apache License, Version 2.0.\nb", "s"), (12, "the rights all reserved by none", "s"), (13, "This work is licensed under the GNU General Public License, version 3.", "s")]
+    rows = ODD + [(10, "x. Released UNDER the\nMIT-license. under the mit licenses", "s"), (11, "a\nLicensed under the Apache License, Version 2.0.\nb", "s"), (12, "the rights are reserved by none", "s"), (13, "This work is licensed under the GNU General Public License, version 3.", "s")]
     got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
     assert (got[10].n_base, got[10].first_word, got[10].last_word, got[10].base_labels) == (1, 2, 2, ["mit"])
     assert got[11].labels == ["apache-2"] and got[11].first_word == 4 and got[13].labels == ["gpl-3"] and got[13].n_base == 0 and got[12].labels == [] and got[1].n_words == 0
