@@ -39,7 +39,7 @@ from .words import chunks
 BLOCK = 32 << 20
 PARTS = 512
 #: Words whose ids a task remembers; the table is emptied when full, which changes no ids.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _PLAIN = re.compile(rb"([a-z]+)([.,]?)")
 
 
@@ -183,7 +183,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, digests: bool = False) -> Dat
         out: list[list] = [[], [], [], []]
         for row in blocks.to_pylist():
             parts = _unpacked(row["parts"])
-            numbers, decoded, counts = ([b""] * len(parts) for _ in range(3))
+            numbers, decoded = [b""] * len(parts), [b""] * len(parts)
             counts = np.zeros(len(parts), np.int64)
             order = np.argsort(parts, kind="stable")
             at = 0

@@ -16,6 +16,7 @@ gives no rows.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,9 +85,7 @@ def blocks(text: Column) -> Column:
 
 def template_table(spark, templates, containment: float, frequency: dict[str, int]) -> tuple[DataFrame, list[str]]:
     """Templates' prefix tokens with their places, and all template tokens in global order."""
-    import re
-
-    sets = [(k, label, {w for w in re.split(r"[^0-9a-z]+", text.lower()) if w}) for k, (label, text) in enumerate(templates)]
+    sets = [(k, label, set(_plain(text))) for k, (label, text) in enumerate(templates)]
     order = sorted(set().union(*(s for _, _, s in sets)), key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     rows = []
@@ -129,8 +128,6 @@ def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINME
 
 
 def _plain(text: str) -> list[str]:
-    import re
-
     return [w for w in re.split(r"[^0-9a-z]+", text.lower()) if w]
 
 
