@@ -63,8 +63,9 @@ def broken_anchors(links: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def redirect_ends(redirects: DataFrame, limit: int = MAX_REDIRECTS) -> DataFrame:
     """from_url, final_url, hops and whether the chain is a loop or too long."""
-    step = redirects.select(F.col("from_url").alias("at"), F.col("to_url").alias("next")).dropDuplicates(["at"])
-    live = kept(redirects.select("from_url", F.col("to_url").alias("final_url"), F.lit(1).alias("hops"), F.array("from_url", "to_url").alias("seen"), (F.col("from_url") == F.col("to_url")).alias("loop")).dropDuplicates(["from_url"]))
+    redirects = redirects.groupBy("from_url").agg(F.min("to_url").alias("to_url"))  # one hop from each URL
+    step = redirects.select(F.col("from_url").alias("at"), F.col("to_url").alias("next"))
+    live = kept(redirects.select("from_url", F.col("to_url").alias("final_url"), F.lit(1).alias("hops"), F.array("from_url", "to_url").alias("seen"), (F.col("from_url") == F.col("to_url")).alias("loop")))
     done = None
     for _ in range(limit):
         moved = kept(live.join(step, live.final_url == step.at, "left"))
@@ -80,9 +81,9 @@ def redirect_ends(redirects: DataFrame, limit: int = MAX_REDIRECTS) -> DataFrame
 
 
 def for_aliases(results: DataFrame, ends: DataFrame) -> DataFrame:
-    """Results, and a copy under every URL that redirects to one."""
+    """Results (one for each key), and a copy under every URL that redirects to one and has none."""
     copies = ends.where("not loop").join(results, ends.final_url == results.cache_url).drop("cache_url", "final_url", "hops", "loop").withColumnRenamed("from_url", "cache_url")
-    return results.unionByName(copies.select(*results.columns)).dropDuplicates(["cache_url"])
+    return results.unionByName(copies.select(*results.columns).join(results.select("cache_url"), "cache_url", "left_anti"))
 
 
 def graph_nodes(records: DataFrame) -> DataFrame:

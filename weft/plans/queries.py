@@ -375,7 +375,7 @@ def x22_mail_addresses(spark, d):
 
 def j8_alias_results(spark, d):
     pages = _table(spark, d, "pages")
-    results = fetches(pages).where("status <> 301").select(F.col("url").alias("cache_url"), F.col("status").cast("long").alias("status"))
+    results = fetches(pages).where("status <> 301").groupBy(F.col("url").alias("cache_url")).agg(F.min("status").cast("long").alias("status"))
     return joins.for_aliases(results, joins.redirect_ends(redirects(pages)))
 
 

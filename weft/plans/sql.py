@@ -122,7 +122,7 @@ SELECT origin, CAST(CASE WHEN n = 2 THEN 3 END AS BIGINT) AS crawl_delay, CASE W
     "j6_broken_anchors": f"SELECT page_id, {_FRAGMENT} AS fragment, '-' AS available FROM pages WHERE contains(url, '#')",
     "j7_redirects": f"""
 WITH RECURSIVE {_FETCHES},
-hop AS (SELECT {_KEY.replace('url', 'a.url')} AS from_url, {_KEY.replace('url', 'b.url')} AS to_url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 8 IN (3, 4, 5) AND a.page_id % 20 <> 7),
+hop AS (SELECT {_KEY.replace('url', 'a.url')} AS from_url, min({_KEY.replace('url', 'b.url')}) AS to_url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 8 IN (3, 4, 5) AND a.page_id % 20 <> 7 GROUP BY 1),
 chain AS (SELECT from_url, to_url, 1 AS hops FROM hop UNION ALL SELECT c.from_url, h.to_url, c.hops + 1 FROM chain c JOIN hop h ON c.to_url = h.from_url WHERE c.hops < 10)
 SELECT c.from_url, c.to_url AS final_url, CAST(c.hops AS BIGINT) AS hops, CAST(f.status AS BIGINT) AS status FROM chain c LEFT JOIN hop h ON c.to_url = h.from_url LEFT JOIN fetches f ON f.url = c.to_url WHERE h.from_url IS NULL""",
     "j9_graph": f"WITH {_RECORDS} SELECT p.seq AS source_id, r.seq AS target_id, r.label FROM record r JOIN record p ON r.parent_url = p.url WHERE r.valid AND p.valid",
@@ -185,7 +185,7 @@ SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE tex
        md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS xml, md5('''' || replace(text, '''', '''''') || '''') AS literal
 FROM (SELECT *, n_chars * 100 AS n FROM documents)""",
     "x22_mail_addresses": f"SELECT doc_id, 'mailto:' || array_to_string(list_sort([a, 'z@example.org']), ',') AS key FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{MAIL}')) AS a FROM documents)",
-    "j8_alias_results": SQL["j7_redirects"].replace("SELECT c.from_url, c.to_url AS final_url, CAST(c.hops AS BIGINT) AS hops, CAST(f.status AS BIGINT) AS status FROM chain", "SELECT url AS cache_url, CAST(status AS BIGINT) AS status FROM fetches WHERE status <> 301 UNION ALL SELECT c.from_url, CAST(f.status AS BIGINT) FROM chain").replace("WHERE h.from_url IS NULL", "WHERE h.from_url IS NULL AND f.status <> 301"),
+    "j8_alias_results": SQL["j7_redirects"].replace("SELECT c.from_url, c.to_url AS final_url, CAST(c.hops AS BIGINT) AS hops, CAST(f.status AS BIGINT) AS status FROM chain", "SELECT url AS cache_url, CAST(min(status) AS BIGINT) AS status FROM fetches WHERE status <> 301 GROUP BY 1 UNION ALL SELECT DISTINCT c.from_url, CAST(f.status AS BIGINT) FROM chain").replace("WHERE h.from_url IS NULL", "WHERE h.from_url IS NULL AND f.status <> 301 AND c.from_url NOT IN (SELECT url FROM fetches WHERE status <> 301)"),
     "j15_resolved_hosts": f"SELECT DISTINCT {_HOST} AS host, length({_HOST}) % 2 = 0 AS valid FROM pages",
     "k4_text_report": f"WITH {_RECORDS} SELECT concat_ws(chr(10), 'url           ' || url, 'label         ' || nullif(label, ''), 'result        ' || status) AS value FROM record",
     "w2_host_audit": f"SELECT {_HOST} AS host, arg_min(page_id, url) AS page_id FROM pages GROUP BY 1",
