@@ -53,6 +53,7 @@ record AS (
          (CASE WHEN status = 204 THEN 1 ELSE 0 END) + (CASE WHEN size > 20000 THEN 1 ELSE 0 END) AS n_warnings,
          concat_ws(chr(10), CASE WHEN status = 204 THEN 'No content' END, CASE WHEN size > 20000 THEN 'Content is too large' END) AS warning
   FROM pages p JOIN fetches f USING (page_id))"""
+_NODES = f"{_RECORDS}, node AS (SELECT * FROM record WHERE valid QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)"
 _LABEL = "trim(regexp_replace(label, '[^-A-Za-z0-9_.,:/ ]', ' ', 'g'))"
 
 _ROBOTS = """body AS (SELECT origin, length(origin) % 4 AS n FROM (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages))"""
@@ -125,12 +126,12 @@ WITH RECURSIVE {_FETCHES},
 hop AS (SELECT {_KEY.replace('url', 'a.url')} AS from_url, min({_KEY.replace('url', 'b.url')}) AS to_url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 8 IN (3, 4, 5) AND a.page_id % 20 <> 7 GROUP BY 1),
 chain AS (SELECT from_url, to_url, 1 AS hops FROM hop UNION ALL SELECT c.from_url, h.to_url, c.hops + 1 FROM chain c JOIN hop h ON c.to_url = h.from_url WHERE c.hops < 10)
 SELECT c.from_url, c.to_url AS final_url, CAST(c.hops AS BIGINT) AS hops, CAST(f.status AS BIGINT) AS status FROM chain c LEFT JOIN hop h ON c.to_url = h.from_url LEFT JOIN fetches f ON f.url = c.to_url WHERE h.from_url IS NULL""",
-    "j9_graph": f"WITH {_RECORDS} SELECT p.seq AS source_id, r.seq AS target_id, r.label FROM record r JOIN record p ON r.parent_url = p.url WHERE r.valid AND p.valid",
+    "j9_graph": f"WITH {_NODES} SELECT p.seq AS source_id, r.seq AS target_id, r.label FROM node r JOIN node p ON r.parent_url = p.url",
     "k6_dot": f"""
-WITH {_RECORDS}
+WITH {_NODES}
 SELECT CAST(0 AS BIGINT) AS part, CAST(NULL AS BIGINT) AS id, 'digraph G {{' AS value UNION ALL SELECT 3, NULL, '}}'
-UNION ALL SELECT 1, seq, '  n' || seq || ' [label="' || {_LABEL} || '"];' FROM record WHERE valid
-UNION ALL SELECT 2, r.seq, '  n' || p.seq || ' -> n' || r.seq || ' [label="' || {_LABEL.replace('label', 'r.label')} || '"];' FROM record r JOIN record p ON r.parent_url = p.url WHERE r.valid AND p.valid""",
+UNION ALL SELECT 1, seq, '  n' || seq || ' [label="' || {_LABEL} || '"];' FROM node
+UNION ALL SELECT 2, r.seq, '  n' || p.seq || ' -> n' || r.seq || ' [label="' || {_LABEL.replace('label', 'r.label')} || '"];' FROM node r JOIN node p ON r.parent_url = p.url""",
     "j11_locations": "SELECT user_id, (user_id % 256) || '.1.2.3' AS ip, 'country' || ((user_id % 256) % 7) AS country, 'city' || (user_id % 256) AS city FROM (SELECT DISTINCT user_id FROM events)",
     "j14_mail_hosts": """
 WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@([A-Za-z0-9.]+)', 1)) AS domain FROM documents)
