@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -167,6 +168,18 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).collect() == []
 
 
+def test_licenses_across_lines(spark):
+    wrapped = lambda t, n: "\n".join(f"# {line}" for line in textwrap.wrap(t, n))
+    near = "In no way. " + licenses.NOTICES[0][1].replace("hereby", "herewith").replace("sublicense", "license") + " The end."
+    known = [(label, t) for label, t in [*licenses.TEMPLATES, *licenses.NOTICES] for t in (f"a b. {t} C d", f"a b. {wrapped(t, 25)}\nC d")]
+    known += [("mit", near), ("mit", "word " * 5000 + wrapped(near, 40) + " word" * 5000)]
+    rows = [(i, t, "s") for i, (_, t) in enumerate(known)]
+    rows += [(900, "all is well. the rights of others are now held and reserved", "s"), (901, " ".join(w for w in licenses._plain(licenses.NOTICES[0][1])[::2]), "s")]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [label for i, (label, _) in enumerate(known) if label not in got[i].labels] == []
+    assert 0.9 <= got[len(known) - 1].score < 1 and got[900].labels == got[901].labels == []
+
+
 def test_language(spark):
     rng = random.Random(3)
     make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(60))
