@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -132,23 +133,26 @@ def resolves(hosts: DataFrame, dns: DataFrame) -> DataFrame:
     return hosts.select("host").distinct().join(dns.where("type = 'A'").select(F.col("domain").alias("host"), F.lit(True).alias("valid")).distinct(), "host", "left").fillna(False, ["valid"])
 
 
-def crawl(seeds: DataFrame, links: DataFrame, results: DataFrame, max_level: int = 100, budget: int | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame, results: DataFrame, max_level: int | None = None, budget: int | None = None) -> DataFrame:
     """Url and level of all that is reached from the seeds.
 
     seeds has url; links has parent_url and url; results has url and recurse,
     whether a page's links are followed.  A round expands one level; what was
-    seen is left out, and the rounds end when nothing new is found.
+    seen is left out, and the rounds end when nothing new is found, or at
+    max_level, if it is given (L2).
     """
     frontier = kept(seeds.select("url").distinct().withColumn("level", F.lit(0)))
     seen = frontier
     follow = results.where("recurse").select(F.col("url").alias("parent_url")).distinct()
     edges = kept(links.select("parent_url", "url").distinct().join(follow, "parent_url", "left_semi"))
-    for level in range(1, max_level + 1):
+    for level in itertools.count(1) if max_level is None else range(1, max_level + 1):
         found = edges.join(frontier.select(F.col("url").alias("parent_url")), "parent_url").select("url").distinct()
         frontier = kept(found.join(seen, "url", "left_anti").withColumn("level", F.lit(level)))
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)
+        if level % 16 == 0:
+            seen = kept(seen)  # the plan stays small, however many rounds there are
     return seen.orderBy("level", "url").limit(budget) if budget else seen
 
 
