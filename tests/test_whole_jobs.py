@@ -1,8 +1,13 @@
 """Jobs done to their end, whatever their depth, order or parts."""
 
+import os
+
+import duckdb
 from pyspark.sql import functions as F
 
 from weft.operators import joins
+from weft.plans.queries import QUERIES
+from weft.plans.sql import SQL
 
 
 def test_crawl_has_no_limit(spark):
@@ -12,3 +17,35 @@ def test_crawl_has_no_limit(spark):
     got = {r.url: r.level for r in joins.crawl(seeds, links, results).collect()}
     assert got == {f"u{i}": i for i in range(n + 1)}
     assert joins.crawl(seeds, links, results, max_level=2).count() == 3
+
+
+def test_streak_over_files_in_any_order(spark, tmp_path):
+    """Users 1 and 2: a later file holds earlier checks; 3: the last valid check comes last; 4: in order."""
+    files = [
+        [(1, 10, "view"), (1, 20, "error"), (1, 30, "error"), (2, 40, "error"), (3, 10, "error"), (3, 30, "error"), (4, 1, "view"), (4, 2, "error")],
+        [(1, 5, "view"), (1, 6, "error"), (2, 30, "view"), (2, 10, "error"), (3, 20, "view"), (4, 3, "error")],
+        [(1, 25, "view"), (2, 50, "error"), (3, 40, "view"), (4, 4, "error")],
+    ]
+    at = tmp_path / "events.parquet"
+    for i, rows in enumerate(files):
+        frame = spark.createDataFrame([(100 * i + j, *r) for j, r in enumerate(rows)], "event_id long, user_id long, t long, event_type string")
+        frame.select("event_id", "user_id", F.timestamp_seconds("t").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(str(at))
+        for f in at.glob("part-*.parquet"):  # in the order of the files
+            os.utime(f, (1000 * (i + 1), 1000 * (i + 1))) if f.stat().st_mtime > 1e6 else None
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{at}/*.parquet'")
+    want = {tuple(r) for r in db.execute(SQL["t2_stream_streak"]).fetchall()}
+    assert want == {(1, 1), (2, 2), (4, 3)}
+    assert {tuple(r) for r in QUERIES["t2_stream_streak"](spark, str(tmp_path)).collect()} == want
+
+
+def test_repeated_urls(spark, tmp_path):
+    urls = ["http://a/x", "http://a/x", "http://a/x/", "http://a/x/", "http://a/x/", "http://b/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("u23_duplicate_urls", "s2_url_list"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(db.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall())
+    plan = QUERIES["s2_url_list"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

@@ -98,9 +98,11 @@ def u18_url_classes(spark, d):
 
 
 def u23_duplicate_urls(spark, d):
-    pages = _table(spark, d, "pages").select(F.col("url"), urls.content_key(F.col("url")).alias("k"))
-    other = pages.select(F.col("url").alias("url_b"), "k")
-    return pages.withColumnRenamed("url", "url_a").join(other, "k").where((F.col("url_a") < F.col("url_b")) & (F.col("url_a").contains(F.col("url_b")) | F.col("url_b").contains(F.col("url_a")))).select("url_a", "url_b")
+    # each URL once with its number, so that copies of a page do not meet each other
+    pages = _table(spark, d, "pages").groupBy("url").agg(F.count("*").alias("n")).select("url", "n", urls.content_key(F.col("url")).alias("k"))
+    other = pages.select(F.col("url").alias("url_b"), "k", F.col("n").alias("m"))
+    pairs = pages.withColumnRenamed("url", "url_a").join(other, "k").where((F.col("url_a") < F.col("url_b")) & (F.col("url_a").contains(F.col("url_b")) | F.col("url_b").contains(F.col("url_a"))))
+    return pairs.select("url_a", "url_b", F.explode(F.sequence(F.lit(1), F.col("n") * F.col("m")))).select("url_a", "url_b")
 
 
 def x5_ip_numbers(spark, d):
@@ -295,8 +297,10 @@ def t3_stream_stats(spark, d):
 
 def s2_url_list(spark, d):
     """Lists of the hosts' URLs, with a comment and a blank line each."""
-    lists = _table(spark, d, "pages").groupBy(urls.host(F.col("url")).alias("url")).agg(F.concat(F.lit("# list\n\n"), F.array_join(F.array_sort(F.collect_list("url")), "\n")).alias("body"))
-    return scans.url_list(lists).select(F.col("url").alias("host"), F.col("line").cast("long").alias("line"), "raw_url")
+    pages = _table(spark, d, "pages").where("url is not null").select(urls.host(F.col("url")).alias("host"), "url")
+    # a body for each page, with the lines that stand before it in its host's list; a window sorts on disk
+    parts = pages.withColumn("before", F.row_number().over(Window.partitionBy("host").orderBy("url")) - 1).select(F.struct("host", "before").alias("part"), F.concat(F.lit("# list\n\n"), "url").alias("body"))
+    return scans.url_list(parts, "part").select("part.host", (F.col("line") + F.col("part.before")).cast("long").alias("line"), "raw_url")
 
 
 def s3_seed_words(spark, d):

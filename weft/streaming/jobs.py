@@ -17,21 +17,37 @@ def first_seen(checks: DataFrame, key: str, time: str = "ts", delay: str = "3650
 
 
 class _Streak(StatefulProcessor):
+    """Keeps a user's last valid check and the failures behind it, since later batches may hold earlier checks."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streak", "failures long")
+        self.last = handle.getValueState("last", "ts long, event_id long")
+        self.number = handle.getValueState("number", "failures long")
+        self.failures = handle.getListState("failures", "ts long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.state.get()[0] if self.state.exists() else 0
-        got = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        valid = got["valid"].to_numpy()
-        n = int((~valid).sum()) + n if not valid.any() else len(valid) - 1 - int(valid.nonzero()[0][-1])
-        self.state.update((n,))
+        before = last = tuple(self.last.get()) if self.last.exists() else None
+        n = self.number.get()[0] if self.number.exists() else 0
+        for got in rows:  # a part of the user's rows at a time
+            places = list(zip(got["ts"].tolist(), got["event_id"].tolist()))
+            valid = got["valid"].tolist()
+            last = max([*([last] if last else []), *(p for p, v in zip(places, valid) if v)], default=None)
+            failed = [p for p, v in zip(places, valid) if not v and (last is None or p > last)]
+            if failed:
+                self.failures.appendList(failed)
+                n += len(failed)
+        if last != before:
+            self.last.update(last)
+            left = [p for p in map(tuple, self.failures.get()) if p > last] if n else []
+            n = len(left)
+            self.failures.put(left) if left else self.failures.clear()
+        self.number.update((n,))
         yield pd.DataFrame({"user_id": [key[0]], "failures": [n]})
 
 
 def streaks(checks: DataFrame) -> DataFrame:
     """The failures since each user's last valid check (user_id, ts, event_id, valid), as they change."""
-    return checks.groupBy("user_id").transformWithStateInPandas(_Streak(), outputStructType="user_id long, failures long", outputMode="Update", timeMode="None")
+    placed = checks.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    return placed.groupBy("user_id").transformWithStateInPandas(_Streak(), outputStructType="user_id long, failures long", outputMode="Update", timeMode="None")
 
 
 def running_statistics(checks: DataFrame) -> DataFrame:
