@@ -5,8 +5,8 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
-from weft.operators import joins
-from weft.plans.queries import QUERIES
+from weft.operators import extract, joins
+from weft.plans.queries import QUERIES, page_links
 from weft.plans.sql import SQL
 
 
@@ -49,3 +49,13 @@ def test_repeated_urls(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(db.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall())
     plan = QUERIES["s2_url_list"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_links_join_their_base(spark):
+    html = """<a href="x">1</a><basefont color="b"><base target="t"><base href="/d/e/"><a href="x">2</a><base href="http://no/"><a href="/x">3</a>
+<applet codebase="http://c/k/" code="y.class" archive="z.jar"></applet><a href="http://o/">4</a><a href="x">5</a>"""
+    pages = spark.createDataFrame([(1, "http://h/p/q.html#f", html), (2, "http://h/p/q.html", '<base href="http://z/w/"><a href="v">'), (3, "http://h/p/q.html", '<a href="v">')], "page_id long, url string, html string")
+    got = [(r.page_id, r.tag, r.url) for r in page_links(pages).where("tag <> 'base'").orderBy("page_id", "seq", "pos").collect()]
+    assert [g[2] for g in got if g[:2] == (1, "a")] == ["http://h/p/x", "http://h/d/e/x", "http://h/x", "http://o/", "http://h/d/e/x"]
+    assert (1, "applet", "http://c/k/z.jar") in got and [g[2] for g in got if g[0] > 1] == ["http://z/w/v", "http://h/p/v"]
+    assert {r.base_ref for r in extract.base_refs(pages).where("page_id = 1").collect()} == {"/d/e/", "http://c/k/"}

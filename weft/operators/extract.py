@@ -28,11 +28,16 @@ def tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def start_tags(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """As tokens, without places in the text: cheaper, and all that links need."""
-    cut = pages.select(key, "url", F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("seq", "body"))
-    return cut.where(F.col("body").rlike("^<[a-zA-Z]")).select(
-        key, "url", "seq", F.lower(F.regexp_extract("body", "^<([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"), F.regexp_extract("body", r"(?s)^(<[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>)", 1).alias("body"),
+    """As tokens, without places in the text: cheaper, and all that links need; with the base_ref that holds at each."""
+    t = pages.select(key, "url", "html", F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)).alias("t"))
+    own = F.filter(F.transform("t", lambda x, i: F.named_struct(F.lit("seq"), i, F.lit("body"), x)), lambda x: x.body.rlike("(?i)^<base(?![a-zA-Z0-9])") & (F.coalesce(attribute(x.body, "href"), F.lit("")) != ""))
+    first = F.when(F.col("html").rlike("(?i)<base"), F.get(own, F.lit(0)))  # the first one that has a reference
+    cut = t.select(key, "url", first.alias("base"), F.posexplode("t").alias("seq", "body"))
+    codebase = F.when(F.col("tag") == "applet", F.nullif(attribute(F.col("body"), "codebase"), F.lit("")))
+    tags = cut.where(F.col("body").rlike("^<[a-zA-Z]")).select(
+        key, "url", "seq", "base", F.lower(F.regexp_extract("body", "^<([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"), F.regexp_extract("body", r"(?s)^(<[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>)", 1).alias("body"),
     )
+    return tags.select(key, "url", "seq", "tag", "body", F.coalesce(codebase, F.when(F.col("base.seq") <= F.col("seq"), attribute(F.col("base.body"), "href"))).alias("base_ref"))
 
 
 def attribute(body: Column, name: str) -> Column:
@@ -59,7 +64,7 @@ def values(tag: Column, attr: Column, value: Column, body: Column) -> Column:
 
 
 def links(pages: DataFrame, tags: dict[str, str] = tables.LINK_TAGS, key: str = "page_id") -> DataFrame:
-    """Key, url, seq, pos, tag, attr and raw_url of every link.
+    """Key, url, seq, pos, tag, attr and raw_url of every link, and its base_ref.
 
     The tags' attributes are few and fixed, so they are looked up as constants,
     not joined.
@@ -67,10 +72,10 @@ def links(pages: DataFrame, tags: dict[str, str] = tables.LINK_TAGS, key: str =
     wanted = F.create_map(*[F.lit(x) for tag, names in tags.items() for x in (tag, names)])
     names = F.split(F.concat_ws(" ", F.get(F.array(wanted[F.col("tag")]), 0), F.lit(tags.get("*", ""))), " ")
     found = start_tags(pages, key).withColumn("names", names)
-    pair = found.select(key, "url", "seq", "tag", "body", "names", F.posexplode(F.regexp_extract_all("body", F.lit(ATTRIBUTE), F.lit(0))).alias("pos", "pair"))
+    pair = found.select(key, "url", "seq", "tag", "body", "base_ref", "names", F.posexplode(F.regexp_extract_all("body", F.lit(ATTRIBUTE), F.lit(0))).alias("pos", "pair"))
     named = pair.withColumn("attr", F.lower(F.regexp_extract("pair", ATTRIBUTE, 1))).where(F.array_contains("names", F.col("attr")))
     value = resolved(unquoted(F.regexp_extract("pair", ATTRIBUTE, 2)))
-    return named.select(key, "url", "seq", "pos", "tag", "attr", F.explode(values(F.col("tag"), F.col("attr"), value, F.col("body"))).alias("raw_url")).where("raw_url <> ''")
+    return named.select(key, "url", "seq", "pos", "tag", "attr", F.explode(values(F.col("tag"), F.col("attr"), value, F.col("body"))).alias("raw_url"), "base_ref").where("raw_url <> ''")
 
 
 def with_places(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -83,9 +88,8 @@ def with_places(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def base_refs(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """The base reference that holds for each start tag behind it, from arrays of the page's own row."""
-    found = start_tags(pages, key).select(key, "seq", "tag", F.when(F.col("tag") == "base", attribute(F.col("body"), "href")).when(F.col("tag") == "applet", attribute(F.col("body"), "codebase")).alias("own"))
-    return found.where("own is not null").groupBy(key).agg(F.min_by("own", "seq").alias("base_ref"), F.min("seq").alias("since"))
+    """Key, seq, tag and base reference of each start tag for which one holds: its own codebase, or the page's first base before it."""
+    return start_tags(pages, key).where("base_ref is not null").select(key, "seq", "tag", "base_ref")
 
 
 def link_names(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -44,9 +44,9 @@ def redirects(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Occurrences with their URLs: the pages' links, joined to the page."""
+    """Occurrences with their URLs: the pages' links, joined to the base reference that holds at their tag, else to the page."""
     found = extract.links(pages.select("page_id", "url", "html"))
-    return found.select("page_id", F.col("url").alias("parent_url"), "seq", "pos", "tag", "raw_url", urls.join(urls.cache_key(F.col("url")), F.col("raw_url")).alias("url"))
+    return found.select("page_id", F.col("url").alias("parent_url"), "seq", "pos", "tag", "raw_url", urls.join(urls.base_of(F.col("url"), F.col("base_ref")), F.col("raw_url")).alias("url"))
 
 
 def targets(links: DataFrame) -> DataFrame:
