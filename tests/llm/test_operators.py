@@ -168,6 +168,15 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).collect() == []
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    w = [[f"{c}{i}" for i in range(100)] for c in "abcd"]
+    near = lambda k: " ".join([*w[k][:-1], "other"])
+    rows = [(None, " ".join(w[0]), "s"), (5, near(0), "s"), (7, " ".join(w[1]), "s"), (7, " ".join(w[2]), "s"), (7, " ".join(w[3]), "s"), (8, near(1), "s"), (9, near(2), "s"), (10, near(3), "s")]
+    got = neardup.near_duplicates(frame(spark, rows), shingle=4).select("doc_id", "component_id").collect()
+    # the null id belongs to 5, and each text of 7 to its own near copy
+    assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, 5), (5, 5), (7, 7), (7, 7), (7, 7), (8, 7), (9, 7), (10, 7)]
+
+
 def test_licenses_across_lines(spark):
     wrapped = lambda t, n: "\n".join(f"# {line}" for line in textwrap.wrap(t, n))
     near = "In no way. " + licenses.NOTICES[0][1].replace("hereby", "herewith").replace("sublicense", "license") + " The end."

@@ -82,7 +82,7 @@ def _fingerprint(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, class (a fingerprint of the set; null if empty) and its bands."""
+    """doc_id, text_hash, n_shingles, class (a fingerprint of the set; null if empty) and its bands."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +98,11 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
                         classes.append(None)
                         all_bands.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "class", "bands"],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "n_shingles", "class", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, class binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, class binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -114,7 +114,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 sets = [s.astype("<u8").tobytes() for s in shingle_sets(Words(part.column("text"), lower=True), shingle)]
                 yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(sets, pa.binary())], ["class", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    own = wanted.select(F.col("doc_id").alias("own_id"), "text_hash", "class")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(own.withColumnRenamed("text_hash", "own_hash"), (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
     return texts.select("class", "text").mapInArrow(build, "class binary, shingles binary")
 
 
@@ -226,13 +227,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
     """doc_id, n_shingles, component_id and kept, for every row of docs."""
     sketched = written(sketches(docs, shingle, bands, rows), "sketches")
     classes = written(
-        sketched.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "bands")).bands.alias("bands")),
+        sketched.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "bands")).alias("x")).select("class", "doc_id", "x.text_hash", "x.bands"),
         "classes",
     )
     at = classes.select("class", F.posexplode("bands").alias("band", "value")).select("class", F.xxhash64("band", "value").alias("bucket"))
     shared = written(at.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
     members = written(at.join(shared, "bucket"), "members")
-    wanted = written(members.select("class").distinct().join(classes.select("class", "doc_id"), "class"), "wanted")
+    wanted = written(members.select("class").distinct().join(classes.select("class", "doc_id", "text_hash"), "class"), "wanted")
     sets = written(_sets(docs, wanted, shingle).dropDuplicates(["class"]), "sets")
 
     label = written(wanted.select("class", F.col("class").alias("component")), "component")
