@@ -6,12 +6,17 @@ k, make all signature coordinates.  Bands of coordinates bring classes of equal
 shingle sets together; links are confirmed on the full sets.
 
 Large groups: documents with equal sets are one class before anything else.  In
-each bucket every member is first compared with one pivot, in several rounds
-with other pivots, and only with pivots of another component.  Where a bucket
-then still holds several components, the members outside its largest one are
-compared with all others in blocks of bounded size; a block counts the shingles
-that sets share and puts out nothing but links.  So links that only join what
-is joined already are never made, and no link between components is lost.
+each bucket every member is first compared with one pivot, if that is of another
+component; the pivot then leaves the bucket, and there are several such rounds.
+Where a bucket still holds several components after them, the members outside
+its largest one are compared with all others in blocks of bounded size; a block
+counts the shingles that sets share and puts out nothing but links.  So links
+that only join what is joined already are never made, and no link between
+components is lost.
+
+What moves: texts are not shuffled.  The sets of classes that share a bucket
+with others are made in a second reading of the documents, which a Bloom filter
+of bounded size cuts down to about these; only such sets are shuffled.
 
 Defined results: null or blank texts have an empty set and are linked with
 nothing; texts with fewer words than a shingle are one shingle; repeated rows
@@ -25,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import MAX_BITS, key_filter, might_hold
 from .scratch import written
 from .words import Words, chunks, mix, runs
 
@@ -37,9 +43,13 @@ SIMILAR = (4, 5)
 #: At a similarity of 0.8 two sets share no band with a probability of 2e-6.
 BANDS, ROWS = 25, 4
 #: Rounds of comparisons with pivots before what is left is compared in blocks.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 4
 #: Members of a block's side.
 BLOCK = 256
+#: The filter of wanted texts has at most 2 ** FILTER_BITS bits.
+FILTER_BITS = MAX_BITS
+#: Parts of a component whose members look up their root.
+SALTS = 8
 
 # The second permutation of 32-bit values: x -> A x x + B x modulo 2 ** 32, a bijection for even A and odd B.
 _A, _B, _SHIFT = 0x2C1B3C6E, 0x85EBCA6B, 0x9E3779B1
@@ -81,8 +91,13 @@ def _fingerprint(shingles: np.ndarray) -> bytes:
     return np.array([a, b], "<u8").tobytes()
 
 
+def _key() -> Column:
+    """What a row is known by: its id, which may be null or repeated, and its text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text")).alias("key")
+
+
 def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class (a fingerprint of the set; null if empty) and its bands."""
+    """doc_id, key, n_shingles, class (a fingerprint of the set; null if empty) and its bands."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,25 +113,40 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
                         classes.append(None)
                         all_bands.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))],
-                    ["doc_id", "text_hash", "n_shingles", "class", "bands"],
+                    [part.column("doc_id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))],
+                    ["doc_id", "key", "n_shingles", "class", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, class binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), _key(), "text").mapInArrow(sketch, "doc_id long, key long, n_shingles long, class binary, bands array<long>")
+
+
+def _some(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of the given classes, and few others."""
+    held = key_filter(classes.select(F.xxhash64("class").alias("key")), FILTER_BITS)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(might_hold(held.value, batch.column("key").to_numpy()))).select(["class", "shingles"])
+
+    return sets.select("class", "shingles", F.xxhash64("class").alias("key")).mapInArrow(pick, "class binary, shingles binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """class and its shingles, of one document of each wanted class (class, doc_id, text_hash)."""
+    """class and its shingles, of one document of each wanted class (class, key).
+
+    Only texts that pass a filter of the keys are turned into sets, and no text
+    itself is shuffled.
+    """
+    held = key_filter(wanted, FILTER_BITS)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
-                sets = [s.astype("<u8").tobytes() for s in shingle_sets(Words(part.column("text"), lower=True), shingle)]
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(sets, pa.binary())], ["class", "shingles"])
+            for part in chunks(batch.filter(pa.array(might_hold(held.value, batch.column("key").to_numpy())))):
+                sets = [s.astype("<u8") for s in shingle_sets(Words(part.column("text"), lower=True), shingle)]
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"])
 
-    own = wanted.select(F.col("doc_id").alias("own_id"), "text_hash", "class")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(own.withColumnRenamed("text_hash", "own_hash"), (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
-    return texts.select("class", "text").mapInArrow(build, "class binary, shingles binary")
+    found = docs.select(_key(), "text").mapInArrow(build, "class binary, shingles binary")
+    return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -139,7 +169,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> D
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
-    with_sets = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b")
+    side = lambda name, own: _some(sets, pairs.select(F.col(name).alias("class")).distinct()).select(F.col("class").alias(name), F.col("shingles").alias(own))
+    with_sets = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return with_sets.select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary")
 
 
@@ -153,11 +184,12 @@ def _links_in_blocks(open_members: DataFrame, sets: DataFrame, similar: tuple[in
     num, den = similar
     each = open_members.groupBy("bucket", "component").count()
     sizes = written(
-        each.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("major"), F.sum("count").alias("n")).where((F.col("n") > 2) & (F.col("n") > F.col("major.count")))
+        each.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("major"), F.sum("count").alias("n")).where(F.col("n") > F.col("major.count"))
         .select("bucket", F.col("major.component").alias("major"), F.ceil(F.col("n") / BLOCK).alias("columns"), F.ceil((F.col("n") - F.col("major.count")) / BLOCK).alias("rows")),
         "sizes",
     )
-    at = open_members.join(sizes, "bucket").join(sets, "class")
+    left = written(open_members.join(sizes, "bucket"), "left")
+    at = left.join(_some(sets, left.select("class").distinct()), "class")
     place = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     minor = at.where("component <> major").select("bucket", place("rows").alias("row"), every("columns").alias("column"), F.lit(0).alias("side"), "class", "component", "shingles")
@@ -197,6 +229,13 @@ def _links_in_blocks(open_members: DataFrame, sets: DataFrame, similar: tuple[in
     return minor.unionByName(member).repartition(n, *block).sortWithinPartitions(*block).mapInArrow(search, "a binary, b binary")
 
 
+def _with(rows: DataFrame, named: DataFrame, own: str) -> DataFrame:
+    """rows, left joined to what is named of each component; a component of very many rows is dealt out by their own key."""
+    salt = F.lit(SALTS).cast("long")
+    each = named.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salt - 1)))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(own), salt)).join(each, ["component", "salt"], "left").drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node) of the nodes that links (a, b) join.
 
@@ -209,14 +248,15 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         parent = written(both(links).groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "parents")
         while True:
-            up = parent.select(F.col("node").alias("component"), F.col("component").alias("above"))
-            jumped = written(parent.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"), (F.col("above") < F.col("component")).alias("moved")), "jumped")
+            # only nodes that are parents, which are few, and not yet roots
+            up = parent.where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("above")).join(parent.select("component").distinct(), "component", "left_semi")
+            jumped = written(_with(parent, up, "node").select("node", F.coalesce("above", "component").alias("component"), F.col("above").isNotNull().alias("moved")), "jumped")
             moved = jumped.where("moved").limit(1).count()
             parent = jumped.drop("moved")
             if not moved:
                 break
-        roots = parent.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        label = parent if label is None else written(label.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        roots = parent.where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("root"))
+        label = parent if label is None else written(_with(label, roots, "node").select("node", F.coalesce("root", "component").alias("component")), "labels")
         root = lambda c: parent.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
         links = written(links.join(root("a"), "a").join(root("b"), "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "links")
         if not links.limit(1).count():
@@ -226,38 +266,46 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, for every row of docs."""
     sketched = written(sketches(docs, shingle, bands, rows), "sketches")
+    # a class has one set, so all its rows have the same bands
     classes = written(
-        sketched.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "bands")).alias("x")).select("class", "doc_id", "x.text_hash", "x.bands"),
+        sketched.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("key", "n_shingles", "bands")).alias("x")).select("class", "doc_id", "x.*"),
         "classes",
     )
-    at = classes.select("class", F.posexplode("bands").alias("band", "value")).select("class", F.xxhash64("band", "value").alias("bucket"))
-    shared = written(at.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
-    members = written(at.join(shared, "bucket"), "members")
-    wanted = written(members.select("class").distinct().join(classes.select("class", "doc_id", "text_hash"), "class"), "wanted")
-    sets = written(_sets(docs, wanted, shingle).dropDuplicates(["class"]), "sets")
+    # dealt out by bucket once, for the count and for the join with it
+    at = classes.select("class", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value")).select("class", "n", F.xxhash64("band", "value").alias("bucket")).repartition("bucket")
+    members = written(at.join(at.groupBy("bucket").count().where("count > 1").select("bucket").hint("merge"), "bucket"), "members")
+    wanted = written(classes.select("class", "doc_id", "key").join(members.select("class").distinct(), "class", "left_semi"), "wanted")
+    sets = written(_sets(docs, wanted, shingle), "sets")
 
     label = written(wanted.select("class", F.col("class").alias("component")), "component")
+    tested = None
     for k in range(PIVOT_ROUNDS + 1):
-        now = members.join(label, "class")
+        now = written(members.join(label, "class"), "now")
         pivots = written(
-            now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(k)), "class", "component")).alias("pivot"))
-            .where("lo <> hi").select("bucket", F.col("pivot.class").alias("pivot"), F.col("pivot.component").alias("pivot_component")),
+            now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("class"), "class", "component", "n")).alias("pivot"))
+            .where("lo <> hi").select("bucket", F.col("pivot.class").alias("pivot"), F.col("pivot.component").alias("pivot_component"), F.col("pivot.n").alias("pivot_n")),
             "pivots",
         )
         open_members = now.join(pivots, "bucket")
         if k < PIVOT_ROUNDS:
-            pairs = open_members.where("component <> pivot_component").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-            links = written(_confirmed(written(pairs, "pairs"), sets, similar), "confirmed")
+            # a pivot is compared with all members of other components, and then leaves the bucket
+            members = written(open_members.where("class <> pivot"), "members")
+            near = similar[1] * F.least("n", "pivot_n") >= similar[0] * F.greatest("n", "pivot_n")
+            pairs = members.where(near & (F.col("component") != F.col("pivot_component"))).select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
+            pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            members = members.select("bucket", "class", "n")
+            links = written(_confirmed(pairs, sets, similar), "confirmed")
         else:
             links = written(_links_in_blocks(open_members.select("bucket", "class", "component"), sets, similar), "confirmed")
         if links.limit(1).count():
             named = lambda c: label.select(F.col("class").alias(c), F.col("component").alias(f"{c}_component"))
             between = written(links.join(named("a"), "a").join(named("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")).where("a <> b").distinct(), "between")
             joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("root"))
-            label = written(label.join(joined, "component", "left").select("class", F.coalesce("root", "component").alias("component")), "component")
+            label = written(_with(label, joined, "class").select("class", F.coalesce("root", "component").alias("component")), "component")
 
     smallest = label.join(wanted, "class").groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    linked = written(label.join(smallest, "component").select("class", "smallest"), "linked")
+    linked = written(_with(label, smallest, "class").select("class", "smallest"), "linked")
     alone = classes.select("class", F.col("doc_id").alias("own"))
     first = written(alone.join(linked, "class", "left").select("class", F.coalesce("smallest", "own").alias("first")), "first")
     return sketched.select("doc_id", "n_shingles", "class").join(first, "class", "left").select(
