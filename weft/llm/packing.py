@@ -1,11 +1,17 @@
 """Best-fit packing of tokenised documents (operator 10).
 
 Hierarchical residual packing: every partition packs its pieces by best fit,
-emits the bins that are nearly full, and hands the others on, whole, as items
-of the next round; each round has an eighth of the partitions of the one
-before, so that what is left meets in a tree.  A task hands on its emptiest
-bins only, as many as HANDED_ON (bins over half full hardly ever combine), and
-so no later task sees more than eight times that.
+emits the bins that are nearly full, and hands the underfull others on, whole,
+as items of the next round; each round has an eighth of the partitions of the
+one before, so that what is left meets in a tree.
+
+What is handed on is bounded without a loss.  Best fit leaves one bin at most
+that is half full or less, since a second one would have gone into it; so n
+tasks leave n such bins at most.  Two bins over half full never share a
+sequence, so all that later rounds can do is to put these n bins somewhere, and
+they need n other bins at most; the n emptiest ones serve as well as any.  A
+task of a round of n tasks therefore hands on its n emptiest bins, and emits the
+others: no later round could have made fewer sequences with them.
 
 Tokens are those of the tokenizers library.  Its pre-tokenizer never joins what
 stands on both sides of the start of a run of ASCII white space, so each
@@ -22,6 +28,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import written
@@ -39,8 +46,8 @@ CAPACITY = 2048
 #: A bin is handed out once its free room is at most this share of its capacity.
 NEARLY = 1 / 128
 FAN_IN = 8
-#: Bins a task hands on, the emptiest first; the others are sequences as they are.
-HANDED_ON = 4096
+#: Pieces of a task of the first round.
+TASK_PIECES = 50_000
 #: Chunks a worker remembers.
 REMEMBERED = 800_000
 #: White space that is not ASCII, and control characters that some libraries take for it.
@@ -53,6 +60,11 @@ _WORD = re.compile(rb"(\n?)([A-Za-z]+)([.,]?)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """As little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of a text as little-endian 32-bit integers, as the tokenizers library makes them."""
 
@@ -64,12 +76,13 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
         self.ends = dict(zip((b"", b".", b","), (b"", *self._ids([".", ","]))))
         self.line_end, self.blank = self._ids(["\n"])[0], self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, chunk: bytes) -> bytes | None:
         """The ids of a plain word, by the tokenizer's model alone."""
@@ -79,8 +92,8 @@ class Encoder:
         newline, word, end = m.groups()
         if end and (stem := self.known.get(newline + word)):
             return stem + self.ends[end]
-        ids = [t.id for t in self.tokenizer.model.tokenize(word.decode() if newline else self.blank + word.decode())]
-        return (self.line_end if newline else b"") + np.asarray(ids, "<u4").tobytes() + self.ends[end]
+        ids = [t.id for t in self.tokenize(word.decode() if newline else self.blank + word.decode())]
+        return (self.line_end if newline else b"") + _bytes(ids) + self.ends[end]
 
     def _cut(self, text: str) -> list[bytes] | None:
         """The chunks of a text without their leading blank (but with a leading line end), or None."""
@@ -93,12 +106,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(x) for x in texts]
-        alone = iter(self._ids([x if c is None else c[0].decode() for x, c in zip(texts, cut)]))
+        alone = iter(self._ids([x if c is None else c.pop(0).decode() for x, c in zip(texts, cut)]))
         known = self.known
-        new = [*{c for x in cut if x for c in x[1:] if c not in known}]
+        held = set().union(*filter(None, cut))
+        new = [c for c in held if c not in known]
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = [*{c for x in cut if x for c in x[1:]}]
+            new = list(held)
         other = []
         for c in new:
             if (ids := self._word(c)) is None:
@@ -108,7 +122,8 @@ class Encoder:
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
             known.update(zip(part, self._ids([c.decode() if c[:1] == b"\n" else f" {c.decode()}" for c in part])))
-        return [next(alone) if c is None else next(alone) + b"".join([known[x] for x in c[1:]]) for c in cut]
+        look_up = known.__getitem__
+        return [next(alone) if c is None else next(alone) + b"".join(map(look_up, c)) for c in cut]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -121,8 +136,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Documents as pieces of at most ``capacity`` tokens; the first piece takes the remainder."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+    """Documents as pieces of at most ``capacity`` tokens; the first piece takes the remainder.  With ids, their tokens too."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,18 +145,24 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
         for batch in batches:
             for part in chunks(batch):
                 out: list[list] = [[], [], [], [], []]
-                ids = part.column("doc_id").to_pylist()
-                for doc, tokens in zip(ids, enc.encode([x or "" for x in part.column("text").to_pylist()])):
+                tokens_of = []
+                for doc, tokens in zip(part.column("doc_id").to_pylist(), enc.encode([x or "" for x in part.column("text").to_pylist()])):
                     tokens += end
                     n, at, k = len(tokens) // 4, 0, 0
                     size = (n - 1) % capacity + 1
                     while at < n:
                         for column, value in zip(out, (doc, k, at, size, zlib.crc32(memoryview(tokens)[4 * at : 4 * (at + size)]))):
                             column.append(value)
+                        if ids:
+                            tokens_of.append(np.frombuffer(tokens, "<i4")[at : at + size])
                         at, k, size = at + size, k + 1, capacity
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if ids:
+                    columns, names = [*columns, pa.array(tokens_of, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + (", ids array<int>" if ids else ""))
 
 
 _ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -174,8 +195,8 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack_partition(round_no: int, capacity: int, last: bool):
-    """Packs one partition's bins, given as (fill, items), into fuller ones."""
+def pack_partition(round_no: int, capacity: int, tasks: int):
+    """Packs one partition's bins, given as (fill, items), into fuller ones; the round has so many tasks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -193,9 +214,9 @@ def pack_partition(round_no: int, capacity: int, last: bool):
         counts = np.diff(offsets_of(moved))
         at = np.concatenate([[0], np.cumsum(np.add.reduceat(counts, np.concatenate([[0], np.cumsum(each)[:-1]])))])
         fill = np.array([fills[b].sum() for b in bins])
-        done = (fill >= capacity - int(capacity * NEARLY)) | last
+        done = (fill >= capacity - int(capacity * NEARLY)) | (tasks == 1)
         waiting = np.flatnonzero(~done)
-        done[waiting[np.argsort(fill[waiting], kind="stable")[HANDED_ON:]]] = True
+        done[waiting[np.argsort(fill[waiting], kind="stable")[tasks + 1 :]]] = True  # its own small bin is the first
         first = (round_no << 56) + (TaskContext.get().partitionId() << 30)
         for a in range(0, len(bins), 20_000):
             b = min(len(bins), a + 20_000)
@@ -220,24 +241,37 @@ def offsets_of(lists: pa.Array) -> np.ndarray:
 def pack(parts: DataFrame, capacity: int = CAPACITY, partitions: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most ``capacity`` tokens.
 
-    Full pieces are sequences at once.  The first round runs on as many tasks
-    as ``partitions`` (the session's shuffle partitions); the rounds end when
-    one task holds what is left, which is a few bins from each of eight tasks
-    before it.
+    The first round runs on as many tasks as the number of pieces asks for, if
+    ``partitions`` does not say; they are dealt out in turn, so that equal
+    pieces do not meet in one task.  The rounds end when one task holds what is
+    left.  parts should be a written table, since it is counted first.
     """
-    spark = parts.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(1, -(-parts.count() // TASK_PIECES))
     left = parts.select(F.col("length").alias("fill"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("items"))
     out, k = None, 0
     while True:
-        last = n == 1
-        left = left.repartition(n, F.xxhash64("items"))
-        packed = written(left.sortWithinPartitions(F.desc("fill"), "items").mapInArrow(pack_partition(k, capacity, last), _BIN_SQL), f"packed{k}")
+        packed = written(left.repartition(n).sortWithinPartitions(F.desc("fill"), "items").mapInArrow(pack_partition(k, capacity, n), _BIN_SQL), f"packed{k}")
         done = packed.where("done").select("sequence_id", "items")
         out = done if out is None else out.unionByName(done)
-        if last:
+        if n == 1:
             break
         left = packed.where("not done").select("fill", "items")
         n, k = -(-n // FAN_IN), k + 1
     placed = F.aggregate("items", F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("offsets")), lambda a, x: F.struct((a.at + x.length).alias("at"), F.concat(a.offsets, F.array(a.at)).alias("offsets"))).offsets
     return out.select("sequence_id", F.explode(F.arrays_zip(F.col("items").alias("item"), placed.alias("offset"))).alias("x")).select("x.item.*", "sequence_id", F.col("x.offset").alias("offset"))
+
+
+def sequences(parts: DataFrame, packed: DataFrame) -> DataFrame:
+    """sequence_id and the token ids of each sequence, for training.
+
+    parts are pieces with their ids, packed is what pack makes of them.  Equal
+    pieces of one id (repeated rows) are told apart by a running number.
+    """
+    key = ["doc_id", "piece", "start", "ids_crc32"]
+    number = lambda df, *by: df.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy(*by)))
+    a, b = number(parts, "length").alias("a"), number(packed, "sequence_id", "offset").alias("b")
+    same = F.col("a.copy") == F.col("b.copy")
+    for c in key:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    placed = a.join(b, same).select("b.sequence_id", F.struct("b.offset", "a.ids").alias("x"))
+    return placed.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.ids)).alias("ids"))
