@@ -17,6 +17,17 @@ def test_crawl_has_no_limit(spark):
     got = {r.url: r.level for r in joins.crawl(seeds, links, results).collect()}
     assert got == {f"u{i}": i for i in range(n + 1)}
     assert joins.crawl(seeds, links, results, max_level=2).count() == 3
+    assert {r.url for r in joins.crawl(seeds, links, results, budget=7).collect()} == {f"u{i}" for i in range(7)}
+
+
+def test_unclosed_tags(spark):
+    """Megabytes of open tags, quotes and comments take no stack and little time."""
+    big = 1_000_000
+    html = ["<b " + "x" * big, "<a href='" + "y" * big, "<!-- " + "z" * big, '<a href="u">' + "<script>" + "q" * big, "<style " * (big // 700)]
+    pages = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    assert [(r.page_id, r.raw_url) for r in extract.links(pages).collect()] == [(3, "u")]
+    assert extract.with_places(pages).where("page_id = 3 and tag = 'a'").count() == 1
+    assert extract.link_names(pages).count() <= 2 and extract.forms(pages).count() == 0
 
 
 def test_streak_over_files_in_any_order(spark, tmp_path):

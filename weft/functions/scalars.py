@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ _V6 = [
     rf"({_H}:){{7}}{_H}", rf"({_H}:){{1,7}}:", rf"({_H}:){{1,6}}(:{_H}){{1}}", rf"({_H}:){{1,5}}(:{_H}){{1,2}}", rf"({_H}:){{1,4}}(:{_H}){{1,3}}",
     rf"({_H}:){{1,3}}(:{_H}){{1,4}}", rf"({_H}:){{1,2}}(:{_H}){{1,5}}", rf"{_H}:(:{_H}){{1,6}}", rf":(:{_H}){{1,7}}", "::", rf"::(ffff:)?{_V4}",
 ]
-# Character entities that pages use most; others go through html.unescape.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&reg;": "®", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&euro;": "€", "&amp;": "&"}
+#: A character entity by name or number.
+ENTITY = r"&(?:#[xX]?)?[0-9A-Za-z]+;"
 
 
 def is_ipv4(text: Column) -> Column:
@@ -40,8 +42,8 @@ def is_obfuscated_ip(name: Column) -> Column:
 
 
 def obfuscated_ip(ip: Column) -> Column:
-    """An IPv4 address as one hexadecimal number."""
-    return F.concat(F.lit("0x"), F.array_join(F.transform(F.split(ip, r"\."), lambda x: F.lpad(F.lower(F.hex(x.cast("int"))), 2, "0")), ""))
+    """The hexadecimal numbers of an IPv4 address, each as short as it is, as one."""
+    return F.concat(F.lit("0x"), F.array_join(F.transform(F.split(ip, r"\."), lambda x: F.lower(F.hex(x.cast("int")))), ""))
 
 
 def ip_number(ip: Column) -> Column:
@@ -71,11 +73,27 @@ def without_markup(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)<.*?>", "")
 
 
+def _character(number: Column) -> Column:
+    """The character of a code point; none if there is no such."""
+    fits = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    return F.coalesce(F.when(fits, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")), F.lit(""))
+
+
 def resolved(text: Column) -> Column:
-    """The listed entities and none else; ``&amp;`` last."""
-    for entity, character in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    """Entities by name, decimal or hexadecimal number, once; unknown ones are left out."""
+    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+
+    def one(piece: Column) -> Column:
+        inner = F.substring(piece, 2, F.length(piece) - 2)
+        digits = F.regexp_extract(piece, "^&#[xX]?([0-9A-Fa-f]+);$", 1)
+        number = F.when(piece.rlike("^&#[xX]"), F.conv(F.when(F.length(digits) <= 8, digits), 16, 10)).when(digits.rlike("^[0-9]+$"), F.when(F.length(digits) <= 8, digits))
+        return (
+            F.when(~piece.rlike(f"^{ENTITY}$"), piece).when(piece.startswith("&#"), F.coalesce(_character(number.cast("long")), F.lit("")))
+            .otherwise(F.coalesce(F.try_element_at(names, inner), F.lit("")))
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){ENTITY}|[^&]+|&"), F.lit(0))
+    return F.when(text.rlike(ENTITY), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def without_comments(text: Column) -> Column:
@@ -94,22 +112,34 @@ def limited(text: Column, n: int) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """X12."""
+    """Whole bytes, and whole KB below 10 KB; then two decimals up to 10 of a unit (KB: 1024), and one above."""
     kb, mb, gb = 1 << 10, 1 << 20, 1 << 30
-    two = lambda x: F.format_string("%.2f", F.bround(x, 2))  # noqa: E731  half to even
-    one = lambda x: F.format_string("%.1f", F.bround(x, 1))
+    part = lambda unit, digits, name: F.concat(F.format_string(f"%.{digits}f", F.bround(size / unit, digits)), F.lit(name))  # noqa: E731  half to even
     return (
-        F.when(size < kb, F.concat(size, F.lit("B"))).when(size < 10 * kb, F.concat(two(size / kb), F.lit("KB"))).when(size < mb, F.concat(one(size / kb), F.lit("KB")))
-        .when(size < 10 * mb, F.concat(two(size / mb), F.lit("MB"))).when(size < gb, F.concat(one(size / mb), F.lit("MB")))
-        .when(size < 10 * F.lit(gb).cast("long"), F.concat(two(size / gb), F.lit("GB"))).otherwise(F.concat(one(size / gb), F.lit("GB")))
+        F.when(size < kb, F.concat(size, F.lit("B"))).when(size < 10 * kb, F.concat(F.floor(size / kb), F.lit("KB"))).when(size < mb, part(kb, 2, "KB"))
+        .when(size < 10 * mb, part(mb, 2, "MB")).when(size < gb, part(mb, 1, "MB")).when(size < F.lit(10).cast("long") * gb, part(gb, 2, "GB")).otherwise(part(gb, 1, "GB"))
     )
 
 
 def human_duration(seconds: Column) -> Column:
-    """Minutes and seconds, hours before them if there are any."""
-    s = F.floor(seconds)
+    """Minutes and seconds, rounded up, with hours before them if there are any, and a sign."""
+    s = F.ceil(F.abs(seconds))
     h, m = F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60))
-    return F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, F.pmod(s, F.lit(60)))).otherwise(F.format_string("%02d:%02d", m, F.pmod(s, F.lit(60))))
+    text = F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, F.pmod(s, F.lit(60)))).otherwise(F.format_string("%02d:%02d", m, F.pmod(s, F.lit(60))))
+    return F.concat(F.when(seconds < 0, "-").otherwise(""), text)
+
+
+def long_duration(seconds: Column) -> Column:
+    """Years, days, hours, minutes and seconds; of more than two parts the smallest goes; hundredths below one second."""
+    whole, units = F.floor(F.abs(seconds)), []
+    for name, size, of in (("year", 31_536_000, None), ("day", 86_400, 365), ("hour", 3600, 24), ("minute", 60, 60), ("second", 1, 60)):
+        n = F.floor(whole / size)
+        n = n if of is None else F.pmod(n, F.lit(of))
+        units.append(F.when(n > 0, F.concat(n, F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))))
+    found = F.array_compact(F.array(*units))
+    # of more than two parts, the smallest is left out
+    text = F.array_join(F.when(F.size(found) > 2, F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found), ", ")
+    return F.concat(F.when(seconds < 0, "-").otherwise(""), F.when(F.abs(seconds) < 1, F.concat(F.format_string("%.2f", F.abs(seconds)), F.lit(" seconds"))).otherwise(text))
 
 
 def first_line(text: Column) -> Column:
@@ -130,7 +160,7 @@ def mime(content_type: Column) -> Column:
 
 
 def charset(content_type: Column) -> Column:
-    """E14."""
+    """E14, of a header."""
     return F.nullif(F.regexp_extract(F.lower(content_type), "charset=([-0-9a-z]+)", 1), F.lit(""))
 
 
@@ -157,14 +187,19 @@ def modified(time: Column, separator: str = " ") -> Column:
 
 
 def tls_time(text: Column) -> Column:
-    """ASN.1 or notAfter text, in UTC."""
-    return F.coalesce(F.try_to_timestamp(F.regexp_extract(text, "^([0-9]{14})Z?$", 1), F.lit("yyyyMMddHHmmss")), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, " +GMT$", ""), " +", " "), F.lit("MMM d HH:mm:ss yyyy")))
+    """ASN.1, in UTC or with an offset, or notAfter text, in UTC."""
+    asn1 = F.regexp_extract(text, "^([0-9]{14})(Z|[-+][0-9]{4})?$", 1)
+    offset = F.regexp_extract(text, "^[0-9]{14}([-+][0-9]{4})$", 1)
+    away = F.coalesce((F.substring(offset, 2, 2).try_cast("int") * 3600 + F.substring(offset, 4, 2).try_cast("int") * 60) * F.when(offset.startswith("-"), -1).otherwise(1), F.lit(0))
+    at = F.unix_timestamp(F.try_to_timestamp(asn1, F.lit("yyyyMMddHHmmss"))) - away
+    named = F.regexp_replace(F.regexp_replace(text, " +GMT$", ""), " +", " ")
+    return F.coalesce(F.timestamp_seconds(at), F.try_to_timestamp(named, F.lit("MMM d HH:mm:ss yyyy")))
 
 
 def mail_addresses(url: Column) -> Column:
-    """Of a mailto URL: its path and its to, cc and bcc."""
+    """Of a mailto URL: its path and its to, cc and bcc; a comma within quotation marks does not part addresses."""
     path = F.regexp_extract(url, "(?i)^mailto:([^?#]*)", 1)
     more = F.transform(F.filter(F.split(part(url, "query"), "[&;]"), lambda x: x.rlike("(?i)^(to|cc|bcc)=")), lambda x: F.regexp_replace(x, "^[^=]*=", ""))
-    every = F.flatten(F.transform(F.concat(F.array(path), more), lambda x: F.split(unquote(x), r"\s*,\s*")))
+    every = F.flatten(F.transform(F.concat(F.array(path), more), lambda x: F.regexp_extract_all(unquote(x), F.lit(r'(?:"[^"]*"|[^,"]|")+'), F.lit(0))))
     bare = F.transform(every, lambda x: F.when(x.rlike("<[^>]+>"), F.regexp_extract(x, "<([^>]+)>", 1)).otherwise(F.trim(x)))
     return F.array_sort(F.array_distinct(F.filter(bare, lambda x: x != "")))

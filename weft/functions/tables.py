@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 # Attributes that hold links, by tag; "*" stands for every tag.
 LINK_TAGS = {
     "a": "href", "applet": "archive src", "area": "href", "audio": "src", "bgsound": "src", "blockquote": "cite", "body": "background",
@@ -19,11 +17,14 @@ WML_TAGS = {"a": "href", "go": "href", "img": "src"}
 # Content types and the parser that reads them.
 PARSERS = {
     "text/html": "html", "application/xhtml+xml": "html", "application/x-httpd-php": "html", "text/css": "css",
-    "application/x-shockwave-flash": "swf", "application/msword": "word", "text/plain+linkchecker": "text", "text/plain+opera": "opera",
+    "application/x-shockwave-flash": "swf", "application/msword": "word", "text/plain+urls": "text", "text/plain+opera": "opera",
     "text/plain+chromium": "chromium", "application/x-plist+safari": "safari", "text/vnd.wap.wml": "wml",
     "application/xml+sitemap": "sitemap", "application/xml+sitemapindex": "sitemapindex", "application/pdf": "pdf", "application/x-pdf": "pdf",
 }
 
+# Character sets that a page may name itself.
+CHARSETS = ("utf-8", "iso-8859-1", "iso-8859-15")
+
 # Schemes by what can be said of their links; all others are unknown.
 CHECKED = {"http": "http", "https": "http", "ftp": "ftp", "file": "file", "telnet": "telnet", "mailto": "mailto", "nntp": "nntp", "news": "nntp", "snews": "nntp", "dns": "dns", "itms-services": "itms-services"}
 #: Registered schemes that are fine in syntax but cannot be checked; callers add others.
@@ -43,7 +44,7 @@ HEADS = [
     ("text/html", r"(?i)^<(!DOCTYPE html|html|head|title)"),
     ("text/plain+opera", r"^Opera Hotlist"),
     ("text/plain+chromium", r'^\{\s*"checksum":'),
-    ("text/plain+linkchecker", r"(?i)^# LinkChecker URL list"),
+    ("text/plain+urls", r"(?i)^# ?url list"),
     ("application/xml+sitemapindex", r"(?i)<\?xml[^<]+<sitemapindex\s+"),
     ("application/xml+sitemap", r"(?i)<\?xml[^<]+<urlset\s+"),
 ]
@@ -52,15 +53,3 @@ EXTENSIONS = {"html": "text/html", "htm": "text/html", "css": "text/css", "txt":
 
 def pairs(tags: dict[str, str]) -> list[tuple[str, str]]:
     return [(tag, attribute) for tag, names in tags.items() for attribute in names.split()]
-
-
-def tag_table(spark: SparkSession, tags: dict[str, str] = LINK_TAGS) -> DataFrame:
-    return spark.createDataFrame(pairs(tags), "tag string, attr string")
-
-
-def scheme_table(spark: SparkSession, ignored: list[str] = IGNORED) -> DataFrame:
-    return spark.createDataFrame([*CHECKED.items(), *((s, "ignored") for s in ignored if s not in CHECKED)], "scheme string, class string")
-
-
-def parser_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PARSERS.items()), "mime string, parser string")

@@ -2,40 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..functions.scalars import resolved, unquoted, without_markup
 
+#: What is in a tag up to its >; possessive, so that an unclosed tag takes no stack.
+_INNER = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 #: Cuts a page into tokens that make it up again, whatever it holds.
-TOKEN = r"""(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[a-z/!?](?:"[^"]*"|'[^']*'|[^'">])*>|[^<]+|<"""
+TOKEN = rf"(?is)<!--.*?-->|<script\b[^>]*+>.*?</script\s*+>|<style\b[^>]*+>.*?</style\s*+>|<[a-z/!?]{_INNER}>|[^<]++|<"
+#: The start tag at the head of a token.
+_START = rf"(?s)^(<[a-zA-Z]{_INNER}>)"
 ATTRIBUTE = r"""([a-zA-Z:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+# Urls in style sheets, and the content of a refresh.
+REFRESH = r"(?i)^\d+;\s*url=(.+)$"
 CSS_URL = r"""url\(\s*('[^']+'|"[^"]+"|[^\)\s]+)\s*\)"""
 #: How far a link's name or a title may reach.
 NEAR = 256
 
 
-def tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """The start tags of each page: key, url, seq (token number), tag, body, and where it starts (from 0)."""
-    cut = pages.select(key, "url", "html", F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)).alias("t"))
-    # with the number of each token's first character; a page's tokens are few enough for its row
-    places = F.aggregate("t", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a.at + F.length(x)).alias("at"), F.concat(a.all, F.array(a.at)).alias("all"))).all
-    each = cut.select(key, "url", "html", F.posexplode(F.arrays_zip(F.col("t").alias("body"), places.alias("at"))).alias("seq", "x"))
-    return each.select(key, "url", "html", "seq", F.col("x.body").alias("body"), F.col("x.at").alias("at")).where(F.col("body").rlike("^<[a-zA-Z]")).select(
-        key, "url", "html", "seq", "at", F.lower(F.regexp_extract("body", "^<([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"), F.regexp_extract("body", r"(?s)^(<[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>)", 1).alias("body"),
-    )
-
-
 def start_tags(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """As tokens, without places in the text: cheaper, and all that links need; with the base_ref that holds at each."""
+    """The start tags of each page: key, url, seq (token number), tag, body, and the base_ref that holds at each."""
     t = pages.select(key, "url", "html", F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)).alias("t"))
     own = F.filter(F.transform("t", lambda x, i: F.named_struct(F.lit("seq"), i, F.lit("body"), x)), lambda x: x.body.rlike("(?i)^<base(?![a-zA-Z0-9])") & (F.coalesce(attribute(x.body, "href"), F.lit("")) != ""))
     first = F.when(F.col("html").rlike("(?i)<base"), F.get(own, F.lit(0)))  # the first one that has a reference
     cut = t.select(key, "url", first.alias("base"), F.posexplode("t").alias("seq", "body"))
     codebase = F.when(F.col("tag") == "applet", F.nullif(attribute(F.col("body"), "codebase"), F.lit("")))
     tags = cut.where(F.col("body").rlike("^<[a-zA-Z]")).select(
-        key, "url", "seq", "base", F.lower(F.regexp_extract("body", "^<([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"), F.regexp_extract("body", r"(?s)^(<[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>)", 1).alias("body"),
+        key, "url", "seq", "base", F.lower(F.regexp_extract("body", "^<([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"), F.regexp_extract("body", _START, 1).alias("body"),
     )
     return tags.select(key, "url", "seq", "tag", "body", F.coalesce(codebase, F.when(F.col("base.seq") <= F.col("seq"), attribute(F.col("base.body"), "href"))).alias("base_ref"))
 
@@ -49,7 +44,7 @@ def attribute(body: Column, name: str) -> Column:
 def values(tag: Column, attr: Column, value: Column, body: Column) -> Column:
     """The links that one attribute's value holds."""
     http_equiv, rel = F.lower(attribute(body, "http-equiv")), F.lower(attribute(body, "rel"))
-    refresh = F.regexp_extract(value, r"(?i)^\d+;\s*url=(.+)$", 1)
+    refresh = F.regexp_extract(value, REFRESH, 1)
     content = F.when((http_equiv == "refresh") & (refresh != ""), F.array(refresh)).when(F.lower(attribute(body, "scheme")) == "dcterms.uri", F.array(value))
     return (
         F.when((tag == "meta") & (attr == "content"), content)
@@ -79,12 +74,27 @@ def links(pages: DataFrame, tags: dict[str, str] = tables.LINK_TAGS, key: str =
 
 
 def with_places(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Line (from 1) and column (from 1) of every start tag."""
-    before = F.left(F.col("html"), F.col("at"))
-    return tokens(pages, key).select(
-        key, "seq", "tag", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("line"),
-        (F.length(F.regexp_extract(before, r"([^\n]*)\z", 1)) + 1).cast("long").alias("col"),
+    """Line (from 1) and column (from 1) of every start tag.
+
+    Of a token only its length, its line ends and what is behind the last of
+    them are kept; they are added up over the tokens of a page in order.
+    """
+    numbered = pages.select(key, "html", F.monotonically_increasing_id().alias("_page"))
+    each = numbered.select(key, "_page", F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("seq", "body"))
+    n, lines = F.length("body"), F.length("body") - F.length(F.replace(F.col("body"), F.lit("\n"), F.lit("")))
+    tail = F.length(F.substring_index("body", "\n", -1))
+    tag = F.when(F.col("body").rlike("^<[a-zA-Z]"), F.lower(F.regexp_extract("body", "^<([a-zA-Z][a-zA-Z0-9]*)", 1)))
+    small = each.select(key, "_page", "seq", tag.alias("tag"), n.cast("long").alias("n"), lines.cast("long").alias("lines"), tail.cast("long").alias("tail"))
+    order = Window.partitionBy("_page").orderBy("seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # characters up to the end of each token, and those behind whose last line end the next token stands
+    summed = small.withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    line_starts = summed.withColumn("line_start", F.when(F.col("lines") > 0, F.col("end") - F.col("tail")))
+    placed = line_starts.select(
+        key, "seq", "tag", (F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1).alias("line"),
+        (F.col("end") - F.col("n") - F.coalesce(F.max("line_start").over(before), F.lit(0)) + 1).alias("col"),
     )
+    return placed.where("tag is not null")
 
 
 def base_refs(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -93,14 +103,30 @@ def base_refs(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def link_names(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Seq (anchor number from 0) and name of every link: its text, an image's alt, or its title."""
-    anchor = r"(?is)<a\s[^>]*>(.{0,256})"
-    opened = pages.select(key, F.posexplode(F.split("html", r"(?i)(?=<a\s)")).alias("seq", "piece")).where(F.col("piece").rlike(r"(?i)^<a\s[^>]*href"))
-    text = F.regexp_extract(F.left(F.regexp_extract("piece", anchor, 1), F.lit(NEAR)), r"(?is)^(.*?)</a\s*>", 1)
-    alt = F.regexp_extract(text, r"""(?is)<img\s[^>]*alt\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
-    name = F.trim(F.regexp_replace(resolved(without_markup(text)), r"\s+", " "))
-    title = attribute(F.regexp_extract("piece", r"(?is)^(<a\s[^>]*>)", 1), "title")
-    return opened.select(key, F.col("seq").cast("long").alias("seq"), F.coalesce(F.nullif(name, F.lit("")), F.nullif(unquoted(alt), F.lit("")), title, F.lit("")).alias("name"))
+    """Seq (number from 0), tag and name of every link of an anchor or image.
+
+    An anchor's name is its text, an image's alt in it, or its title; an image's
+    its alt or title.  Comments, scripts and style sheets hold none.
+    """
+    plain = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b[^>]*+>.*?</script\s*+>|<style\b[^>]*+>.*?</style\s*+>", "")
+    every = pages.select(key, F.posexplode(F.regexp_extract_all(plain, F.lit(rf"(?is)<a\s{_INNER}>(?:.{{0,{NEAR}}}?</a\s*>)?|<img\s{_INNER}>"), F.lit(0))).alias("at", "piece"))
+    head = F.regexp_extract("piece", _START, 1)
+    image = F.col("piece").rlike("(?i)^<img")
+    text = F.regexp_extract(F.substring(F.col("piece"), F.length(head) + 1, F.lit(1 << 30)), r"(?is)^(.*)</a\s*>$", 1)
+    alt = attribute(F.regexp_extract(text, rf"(?is)(<img\s{_INNER}>)", 1), "alt")
+    name = F.nullif(F.trim(F.regexp_replace(resolved(without_markup(text)), r"\s+", " ")), F.lit(""))
+    title = F.nullif(attribute(head, "title"), F.lit(""))
+    found = every.where(head.rlike(r"(?is)^<a\s.*\bhref\s*=|^<img\s.*\bsrc\s*="))
+    named = F.when(image, F.coalesce(F.nullif(attribute(head, "alt"), F.lit("")), title)).otherwise(F.coalesce(name, F.nullif(alt, F.lit("")), title))
+    return found.select(key, F.col("at").cast("long").alias("seq"), F.when(image, "img").otherwise("a").alias("tag"), F.coalesce(named, F.lit("")).alias("name"))
+
+
+def meta_charset(html: Column) -> Column:
+    """The charset that a page's meta tags name, if it is one of the known ones."""
+    tags = F.regexp_extract_all(F.split_part(F.lower(html), F.lit("<body"), F.lit(1)), F.lit(rf"(?is)<meta\s{_INNER}>"), F.lit(0))
+    by_type = lambda t: F.when(attribute(t, "http-equiv") == "content-type", F.trim(F.regexp_extract(attribute(t, "content"), r";\s*charset=\s*([-0-9a-z]+)", 1)))
+    said = F.transform(tags, lambda t: F.coalesce(attribute(t, "charset"), by_type(t)))
+    return F.get(F.filter(said, lambda x: x.isin(*tables.CHARSETS)), 0)
 
 
 def titles(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -54,10 +54,15 @@ def scope(url: Column, rule_list: Sequence[dict], check_extern: bool = False) ->
     return F.when(F.coalesce(url, F.lit("")) == "", F.struct(F.lit(True).alias("is_extern"), F.lit(True).alias("is_strict"))).otherwise(out)
 
 
+def scope_of_seeds(url: Column, seeds: Sequence[str], rule_list: Sequence[dict] = (), check_extern: bool = False) -> Column:
+    """As scope, with a rule for what lies below each seed behind the given intern ones."""
+    return scope(url, [*rule_list, *({"kind": "intern", "pattern": urls.intern_rule(s)} for s in seeds)], check_extern)
+
+
 def broken_anchors(links: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Links (cache_url, fragment, ...) whose fragment the target (url, anchor) lacks, with what it has."""
+    """Links (cache_url, fragment, ...) whose fragment the target (url, anchor) lacks, with what it has, both quoted."""
     wanted = links.where("fragment <> ''")
-    held = anchors.select(F.col("url").alias("cache_url"), F.col("anchor").alias("fragment")).distinct()
+    held = anchors.select(F.col("url").alias("cache_url"), urls.quote(F.col("anchor"), "/").alias("fragment")).distinct()
     available = held.groupBy("cache_url").agg(F.array_join(F.sort_array(F.collect_set("fragment")), ",").alias("available"))
     return wanted.join(held, ["cache_url", "fragment"], "left_anti").join(available, "cache_url", "left").withColumn("available", F.coalesce("available", F.lit("-")))
 
@@ -139,21 +144,52 @@ def crawl(seeds: DataFrame, links: DataFrame, results: DataFrame, max_level: int
     seeds has url; links has parent_url and url; results has url and recurse,
     whether a page's links are followed.  A round expands one level; what was
     seen is left out, and the rounds end when nothing new is found, or at
-    max_level, if it is given (L2).
+    max_level, if it is given (L2), or when budget new URLs were taken, those
+    of a level by their names (L1).
     """
-    frontier = kept(seeds.select("url").distinct().withColumn("level", F.lit(0)))
-    seen = frontier
     follow = results.where("recurse").select(F.col("url").alias("parent_url")).distinct()
     edges = kept(links.select("parent_url", "url").distinct().join(follow, "parent_url", "left_semi"))
+    taken = 0
+
+    def within(found: DataFrame) -> DataFrame:
+        return found if budget is None else found.orderBy("url").limit(budget - taken)
+
+    frontier = kept(within(seeds.select("url").distinct()).withColumn("level", F.lit(0)))
+    seen = frontier
     for level in itertools.count(1) if max_level is None else range(1, max_level + 1):
-        found = edges.join(frontier.select(F.col("url").alias("parent_url")), "parent_url").select("url").distinct()
-        frontier = kept(found.join(seen, "url", "left_anti").withColumn("level", F.lit(level)))
-        if not frontier.limit(1).count():
+        n = frontier.count()
+        taken += n
+        if not n or taken == budget:
             break
+        found = edges.join(frontier.select(F.col("url").alias("parent_url")), "parent_url").select("url").distinct()
+        frontier = kept(within(found.join(seen, "url", "left_anti")).withColumn("level", F.lit(level)))
         seen = seen.unionByName(frontier)
         if level % 16 == 0:
             seen = kept(seen)  # the plan stays small, however many rounds there are
-    return seen.orderBy("level", "url").limit(budget) if budget else seen
+    return seen
+
+
+def crawl_site(seeds: DataFrame, links: DataFrame, results: DataFrame, in_scope: Column, denied: DataFrame, redirects: DataFrame, max_level: int | None = None, budget: int | None = None) -> DataFrame:
+    """J16 with scope, robots and redirects: url, level and state of all that is reached.
+
+    in_scope is J3's verdict on the column url; denied has the URLs that robots
+    forbid; redirects has from_url and to_url.  A strictly extern URL is
+    filtered, one that is denied or extern is checked but not expanded, and one
+    that redirects has the links of where it ends.  All of it is decided before
+    the rounds, for each URL once.
+    """
+    ends = redirect_ends(redirects).where("not loop").select("from_url", "final_url")
+    final = results.select("url").unionByName(ends.select(F.col("from_url").alias("url"))).distinct().join(ends.withColumnRenamed("from_url", "url"), "url", "left")
+    # where a page's links lead through: its own, or those of its last hop
+    through = final.select("url", F.coalesce("final_url", "url").alias("parent_url"))
+    moved = through.join(links.select("parent_url", F.col("url").alias("child")), "parent_url").select(F.col("url").alias("parent_url"), F.col("child").alias("url"))
+    expands = through.join(results.where("recurse").select(F.col("url").alias("parent_url")), "parent_url", "left_semi").select("url", F.lit(True).alias("recurse"))
+    every = kept(seeds.select("url").unionByName(moved.select("url")).unionByName(final.select("url")).distinct())
+    forbidden = denied.select("url", F.lit(True).alias("denied")).distinct()
+    state = F.when(F.col("s.is_extern") & F.col("s.is_strict"), "filtered").when(F.col("denied"), "denied").when(F.col("s.is_extern"), "extern").otherwise("checked")
+    states = kept(every.withColumn("s", in_scope).join(forbidden, "url", "left").select("url", state.alias("state")))
+    free = states.where("state = 'checked'").select("url")
+    return crawl(seeds, moved, expands.join(free, "url", "left_semi"), max_level, budget).join(states, "url")
 
 
 def schedule(requests: DataFrame, rate: int = 10, delay: str | None = None) -> DataFrame:
@@ -169,5 +205,12 @@ def one_per_host(fetches: DataFrame) -> DataFrame:
 
 def redirect_rule(from_url: Column, final_url: Column) -> Column:
     """A hop out of http is an error."""
-    return F.when(~urls.part(final_url, "scheme").isin("http", "https"), "Redirection to another scheme")
+    inside = urls.part(from_url, "scheme").isin("http", "https")
+    return F.when(inside & ~urls.part(final_url, "scheme").isin("http", "https"), F.concat(F.lit("Redirection to "), final_url, F.lit(" has another scheme")))
+
 
+def redirect_infos(ends: DataFrame, in_scope: Column | None = None) -> DataFrame:
+    """Of each redirected URL (from_url, final_url, hops, loop) its info, its error, and the scope of where it ends."""
+    error = F.when(F.col("loop"), f"more than {MAX_REDIRECTS} redirects, or a loop").otherwise(redirect_rule(F.col("from_url"), F.col("final_url")))
+    out = ends.withColumns({"info": F.concat(F.lit("Redirected to "), "final_url"), "error": error})
+    return out if in_scope is None else out.withColumnRenamed("final_url", "url").withColumn("scope", in_scope).withColumnRenamed("url", "final_url")

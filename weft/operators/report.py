@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -68,17 +71,51 @@ def sql_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c).cast("int").alias(c) if t == "boolean" else F.col(c) for c, t in rows.dtypes])
 
 
-def sql_inserts(rows: DataFrame, table: str = "linksdb") -> DataFrame:
+def sql_inserts(rows: DataFrame, table: str = "links") -> DataFrame:
     """K2 as text: one insert statement a row."""
     literal = [scalars.sql_literal(F.col(c)) if t == "string" else F.coalesce(F.col(c).cast("int" if t == "boolean" else "string").cast("string"), F.lit("NULL")) for c, t in rows.dtypes]
     return rows.select(F.concat(F.lit(f"insert into {table}({','.join(rows.columns)}) values ("), F.concat_ws(",", *literal), F.lit(");")).alias("value"))
 
 
-def write_xml(rows: DataFrame, path: str, root: str = "linkchecks", row: str = "urldata") -> None:
+#: Parts of a record's element that are left out if they have no value, in order.
+XML_PARTS = ("name", "parent", "baseref", "dltime", "size", "checktime", "level", "infos", "warnings")
+
+
+def xml_rows(records: DataFrame) -> DataFrame:
+    """K3: the shape of a record's element: url, its place as attributes of parent, infos, warnings with tags, and valid with the result."""
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    parent = F.when(some("parent_url").isNotNull(), F.struct(F.col("line").alias("_line"), F.col("col").alias("_column"), F.col("parent_url").alias("_VALUE")))
+    warned = F.when(F.size("warnings") > 0, F.struct(F.transform("warnings", lambda w: F.struct(w.tag.alias("_tag"), w.msg.alias("_VALUE"))).alias("warning")))
+    told = F.when(F.size("info") > 0, F.struct(F.col("info").alias("info")))
+    return records.select(
+        "url", some("name").alias("name"), parent.alias("parent"), some("base_ref").alias("baseref"), "dltime", "size", "checktime", "level", told.alias("infos"), warned.alias("warnings"),
+        F.struct(F.col("result").alias("_result"), F.col("valid").cast("int").alias("_VALUE")).alias("valid"),
+    )
+
+
+def xml_text(records: DataFrame) -> DataFrame:
+    """K3: each record's element as text; nulls are left out."""
+    return xml_rows(records).select("url", F.to_xml(F.struct("*"), {"rowTag": "urldata"}).alias("value"))
+
+
+def write_xml(rows: DataFrame, path: str, root: str = "links", row: str = "urldata") -> None:
     """K3, K7: nulls are left out by the writer."""
     rows.write.format("xml").option("rootTag", root).option("rowTag", row).save(path)
 
 
+def write_table(rows: DataFrame, folder: str) -> str:
+    """K8: a new version of a table below the folder, which is what latest reads; readers of older ones are not disturbed."""
+    path = f"{folder.rstrip('/')}/version={uuid.uuid4().hex}/at={int(time.time() * 1000)}"
+    rows.write.parquet(path)
+    return path
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """K8: the newest version of a table."""
+    rows = spark.read.parquet(folder)
+    return rows.join(F.broadcast(rows.agg(F.max("at").alias("at"))), "at", "left_semi").drop("at", "version")
+
+
 def text_blocks(rows: DataFrame) -> DataFrame:
     """K4: one block of labelled lines a row, without empty parts."""
     lines = [F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f"{c:<14}"), F.col(c).cast("string"))) for c in rows.columns]
@@ -114,22 +151,18 @@ def _graph(nodes: DataFrame, edges: DataFrame, head: str, foot: str) -> DataFram
 
 
 def sitemap(records: DataFrame) -> DataFrame:
-    """Valid HTML pages below the first URL (by seq); that has priority 1.0, others 0.5.
+    """Valid HTML pages below the first URL (by seq); that has priority 1.0, others 0.5; lastmod where modified is known.
 
     The first URL is one row by an aggregate, so the join has one row on a side.
     """
     first = records.agg(F.min_by("url", "seq").alias("first_url"))
     fits = records.join(F.broadcast(first)).where(
         F.col("first_url").rlike("^https?://") & F.col("valid") & F.col("url").startswith(F.col("first_url")) & scalars.mime(F.col("content_type")).isin("text/html", "application/xhtml+xml"))
-    return fits.groupBy("url").agg(F.min("seq").alias("seq"), F.first("first_url").alias("first_url")).select(
-        F.col("url").alias("loc"), F.lit("daily").alias("changefreq"), F.when(F.col("url") == F.col("first_url"), "1.00").otherwise("0.50").alias("priority"))
+    when = scalars.modified(F.col("modified"), "T") if "modified" in records.columns else F.lit(None).cast("string")
+    return fits.groupBy("url").agg(F.min("seq").alias("seq"), F.first("first_url").alias("first_url"), F.max(when).alias("lastmod")).select(
+        F.col("url").alias("loc"), "lastmod", F.lit("daily").alias("changefreq"), F.when(F.col("url") == F.col("first_url"), "1.00").otherwise("0.50").alias("priority"))
 
 
 def chosen(rows: DataFrame, parts: list[str]) -> DataFrame:
     """K9."""
     return rows.select(*[c for c in parts if c in rows.columns])
-
-
-def first_of(frame: DataFrame, key: str, order: Column) -> DataFrame:
-    """The first row of each key."""
-    return frame.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")

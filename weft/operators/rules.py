@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars, urls
@@ -130,10 +130,22 @@ def header_info(headers: Column, prefixes: tuple[str, ...]) -> Column:
     return F.array_sort(F.transform(F.map_entries(wanted), lambda e: F.concat(e.key, F.lit("="), e.value)))
 
 
+def with_missing_slash(links: DataFrame, folders: DataFrame, scheme: str) -> DataFrame:
+    """links (url) with a warning where a listing's folder (url without the slash) is named without it."""
+    known = folders.select("url", F.lit(True).alias("is_folder")).distinct()
+    joined = links.join(known, "url", "left")
+    return joined.withColumn("warning", missing_slash(F.col("url"), F.coalesce("is_folder", F.lit(False)), scheme)).drop("is_folder")
+
+
 def news_rules(url: Column) -> list[Column]:
-    """F21."""
+    """F21, of news."""
     nntp = urls.part(url, "scheme").isin("nntp", "news", "snews")
     return [
         warning(nntp & (urls.part(url, "scheme") == "nntp") & (urls.host(url) == ""), "nntp-no-server", "No NNTP server was specified"),
         warning(nntp & (F.regexp_replace(urls.part(url, "path"), "^/", "") == ""), "nntp-no-newsgroup", "No newsgroup specified in NNTP URL"),
     ]
+
+
+def telnet_error(url: Column) -> Column:
+    """F21, of telnet."""
+    return F.when((urls.part(url, "scheme") == "telnet") & (urls.host(url) == ""), "Host is empty")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, urls
-from ..operators import extract, joins, report, robots, rules
+from ..operators import extract, joins, plugins, report, robots, rules
 from ..sources import scans
 from ..streaming import jobs
+from . import cases
 
 #: Scope rules of the scope query, in order.
 SCOPE = [
@@ -62,6 +64,18 @@ def e7_link_names(spark, d):
     return extract.link_names(_table(spark, d, "pages"))
 
 
+def e14_page_charsets(spark, d):
+    """Of the pages' own meta tags, some of them spoilt as their ids say."""
+    html = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", '(?i)charset="utf-8"', 'charset="koi8-r"')).otherwise(F.col("html"))
+    return _table(spark, d, "pages").select("page_id", extract.meta_charset(html).alias("charset"))
+
+
+def u4_ascii_hosts(spark, d):
+    i = F.col("page_id") % 4
+    name = F.when(i == 0, "bücher.example").when(i == 1, "пример.org").when(i == 2, "a..ü").otherwise(urls.host(F.col("url")))
+    return urls.ascii_hosts(_table(spark, d, "pages").select("page_id", name.alias("host")), "host")
+
+
 def e8_page_titles(spark, d):
     return extract.titles(_table(spark, d, "pages"))
 
@@ -98,11 +112,10 @@ def u18_url_classes(spark, d):
 
 
 def u23_duplicate_urls(spark, d):
-    # each URL once with its number, so that copies of a page do not meet each other
-    pages = _table(spark, d, "pages").groupBy("url").agg(F.count("*").alias("n")).select("url", "n", urls.content_key(F.col("url")).alias("k"))
-    other = pages.select(F.col("url").alias("url_b"), "k", F.col("n").alias("m"))
-    pairs = pages.withColumnRenamed("url", "url_a").join(other, "k").where((F.col("url_a") < F.col("url_b")) & (F.col("url_a").contains(F.col("url_b")) | F.col("url_b").contains(F.col("url_a"))))
-    return pairs.select("url_a", "url_b", F.explode(F.sequence(F.lit(1), F.col("n") * F.col("m")))).select("url_a", "url_b")
+    """Each URL with the shortest one of the same content key, if that is another and stands within it."""
+    pages = _table(spark, d, "pages").select("url").distinct().withColumn("k", urls.content_key(F.col("url")))
+    first = pages.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct(F.length("url").alias("len"), "url")).alias("x")).where("n > 1").select("k", F.col("x.url").alias("same_as"))
+    return pages.join(first, "k").where((F.col("url") != F.col("same_as")) & F.col("url").contains(F.col("same_as"))).select("url", "same_as")
 
 
 def x5_ip_numbers(spark, d):
@@ -221,11 +234,148 @@ def j14_mail_hosts(spark, d):
 
 def j16_crawl_levels(spark, d):
     """From the pages at the hosts' smallest ids over the pages that follow them."""
-    records = _records(_table(spark, d, "pages"))
+    records = joins.kept(_records(_table(spark, d, "pages")).select("url", "parent_url", "valid", "content_type"))
     seeds = records.where("parent_url is null").select("url")
     links = records.where("parent_url is not null").select("parent_url", "url")
     results = records.select("url", (F.col("valid") & F.col("content_type").isNotNull()).alias("recurse"))
-    return joins.crawl(seeds, links, results, max_level=20).select("url", F.col("level").cast("long").alias("level"))
+    return joins.crawl(seeds, links, results).select("url", F.col("level").cast("long").alias("level"))
+
+
+def j16_site_crawl(spark, d):
+    """The same with scope, robots and redirects: .net hosts are extern, blogs strictly so, paths below /de denied."""
+    pages = _table(spark, d, "pages")
+    records = joins.kept(_records(pages).select("url", "parent_url", "valid"))
+    seeds, links = records.where("parent_url is null").select("url"), records.where("parent_url is not null").select("parent_url", "url")
+    denied = records.where(urls.part(F.col("url"), "path").startswith("/de")).select("url")
+    rules_of = [{"kind": "extern", "pattern": "^https?://blog\\.", "strict": True}, {"kind": "extern", "pattern": "^[a-z]+://[^/]*\\.net(/|$)"}, {"kind": "intern", "pattern": "^https?://"}]
+    got = joins.crawl_site(seeds, links, records.select("url", F.col("valid").alias("recurse")), joins.scope(F.col("url"), rules_of), denied, redirects(pages), max_level=12)
+    return got.select("url", F.col("level").cast("long").alias("level"), "state")
+
+
+def l1_url_budget(spark, d):
+    """Ten URLs less than there are seeds and their followers, in order of levels and names."""
+    records = joins.kept(_records(_table(spark, d, "pages")).select("url", "parent_url"))
+    seeds, links = records.where("parent_url is null").select("url"), records.where("parent_url is not null").select("parent_url", "url")
+    return joins.crawl(seeds, links, records.select("url", F.lit(True).alias("recurse")), max_level=1, budget=40).select("url", F.col("level").cast("long").alias("level"))
+
+
+def j3_seed_scope(spark, d):
+    """What lies below two seeds is intern, all else extern but not strictly."""
+    return _table(spark, d, "pages").select("url", joins.scope_of_seeds(F.col("url"), ["http://www.example.com/a/b.html?x", "https://blog.example.org"], [{"kind": "intern", "pattern": "\\.html$"}], check_extern=True).alias("s")).select("url", "s.*")
+
+
+def j6_anchor_cases(spark, d):
+    """Each page has the anchors a, b c and its own number; some links ask for others."""
+    i = F.col("page_id")
+    pages = _table(spark, d, "pages").select("page_id", F.concat(F.lit("http://h/"), i).alias("url"), F.concat(F.lit('<p id="a"><p id="b c"><a name="n'), i, F.lit('">')).alias("html"))
+    fragment = F.when(i % 4 == 0, "a").when(i % 4 == 1, "b%20c").when(i % 4 == 2, F.concat(F.lit("n"), i + 1)).otherwise("missing")
+    wanted = pages.select("page_id", F.col("url").alias("cache_url"), fragment.alias("fragment"))
+    return joins.broken_anchors(wanted, extract.anchors(pages)).select("page_id", "fragment", "available")
+
+
+def j7_redirect_infos(spark, d):
+    """Infos of redirects, some of which leave http, as their ids say, with the scope of where they end."""
+    hops = redirects(_table(spark, d, "pages")).withColumn("to_url", F.when(F.length("to_url") % 7 == 0, F.regexp_replace("to_url", "^https?:", "ftp:")).otherwise(F.col("to_url")))
+    told = joins.redirect_infos(joins.redirect_ends(hops), joins.scope(F.col("url"), SCOPE))
+    return told.select("from_url", "info", "error", "scope.is_extern")
+
+
+def d2_all_links(spark, d):
+    """Links of bodies of four types, of headers, of robots.txt and of bookmarks, derived from the pages."""
+    pages = _table(spark, d, "pages")
+    i, path = F.col("page_id"), urls.part(F.col("url"), "path")
+    kind = F.when(i % 4 == 0, "text/html").when(i % 4 == 1, "text/css").when(i % 4 == 2, "text/plain+urls").otherwise("application/xml+sitemap")
+    body = F.when(i % 4 == 0, F.concat(F.lit('<a href="'), path, F.lit('">'))).when(i % 4 == 1, F.concat(F.lit("a{b:url("), path, F.lit(")}"))).when(i % 4 == 2, F.concat(F.lit("# list\n"), "url")).otherwise(F.concat(F.lit("<urlset><url><loc>"), scalars.xml_escaped(F.col("url")), F.lit("</loc></url></urlset>")))
+    headers = F.when(i % 5 == 0, F.create_map(F.lit("content-location"), F.concat(F.lit("/l"), i))).otherwise(F.create_map().cast("map<string,string>"))
+    fetched = pages.select(F.concat(F.lit("http://h/"), i).alias("url"), kind.alias("content_type"), body.alias("body"), headers.alias("headers"))
+    maps = robots.sitemaps(robots_bodies(pages))
+    marks = pages.where(i % 6 == 0).select("url", F.lit("n").alias("name"))
+    return scans.all_links(fetched, maps, marks).select("url", "source", F.col("line").cast("long").alias("line"), "raw_url")
+
+
+def s6_sitemap_children(spark, d):
+    """An index names two of three sitemaps; each of these names its page."""
+    pages = _table(spark, d, "pages")
+    name = F.concat(F.lit("http://h/"), "page_id", F.lit(".xml"))
+    maps = pages.select(name.alias("url"), F.concat(F.lit("<urlset><url><loc>"), scalars.xml_escaped(F.col("url")), F.lit("</loc></url></urlset>")).alias("body"))
+    index = pages.where("page_id % 3 > 0").select(F.lit("index").alias("url"), F.concat(F.lit("<sitemapindex><sitemap><loc>"), name, F.lit("</loc></sitemap></sitemapindex>")).alias("body"))
+    return scans.sitemap_children(index, maps).select("url", "raw_url")
+
+
+def s10_bookmarks(spark, d):
+    """Each page as a bookmark two folders deep."""
+    body = F.concat(F.lit('{"roots":{"bar":{"type":"folder","children":[{"type":"folder","children":[{"type":"url","name":"n'), "page_id", F.lit('","url":"'), "url", F.lit('"}]},{"type":"url","name":"top","url":"t'), "page_id", F.lit('"}]}}}'))
+    return scans.bookmark_json(_table(spark, d, "pages").select(body.alias("body"))).select("url", "name")
+
+
+def s11_bookmark_tables(spark, d):
+    pages = _table(spark, d, "pages")
+    i = F.col("page_id")
+    places = pages.select(i.alias("id"), F.when(i % 5 == 0, F.concat(F.lit("place:"), i)).otherwise(F.col("url")).alias("url"), (i % 7 == 0).cast("int").alias("hidden"))
+    marks = pages.where(i % 2 == 0).select(i.alias("fk"), F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("t"), i)).alias("title"))
+    return scans.bookmark_tables(places, marks).select("url", "name")
+
+
+def f17_missing_slashes(spark, d):
+    pages = _table(spark, d, "pages")
+    i = F.col("page_id")
+    named = pages.select("page_id", F.concat(F.lit("file:///d/"), i, F.when(i % 3 == 0, "/").otherwise("")).alias("url"))
+    folders = pages.where(i % 2 == 0).select(F.concat(F.lit("file:///d/"), i).alias("url"))
+    return rules.with_missing_slash(named, folders, "file").select("page_id", F.col("warning.tag").alias("tag"))
+
+
+def p1_enabled_rules(spark, d):
+    """Three rules by name over derived fetches, two of them enabled."""
+    f = fetches(_table(spark, d, "pages"))
+    made = [
+        plugins.Rule("sizes", F.col("size").isNotNull(), rules.size_rules(F.col("size"), 20_000)[0]),
+        plugins.Rule("kinds", F.col("content_type").startswith("text/"), info=scalars.mime(F.col("content_type"))),
+        plugins.Rule("off", F.lit(True), rules.warning(F.lit(True), "never", "never")),
+    ]
+    got = plugins.checked(f, made, ["sizes", "kinds"])
+    return got.select("page_id", F.array_join(F.transform("warnings", lambda x: x.tag), ",").alias("tags"), F.array_join("info", ",").alias("info"))
+
+
+def p3_first_scan(spark, d):
+    """Bodies that two scans apply to go to the first one."""
+    i = F.col("page_id")
+    bodies = _table(spark, d, "pages").select("url", F.concat(F.lit("http://a/"), i, F.lit("\n[x](/m"), i, F.lit(")")).alias("body"), (i % 2 == 0).alias("even"))
+    made = [plugins.Scan("markdown", F.col("even"), scans.markdown), plugins.Scan("list", F.lit(True), scans.url_list)]
+    return plugins.scanned(bodies, made)
+
+
+def k3_xml_report(spark, d):
+    return plugins.written_as("xml", _report_rows(_table(spark, d, "pages"))).select("url", F.regexp_replace("value", r">\s+<", "><").alias("value"))
+
+
+def k5_html_report(spark, d):
+    return plugins.written_as("html", _records(_table(spark, d, "pages")).select("url", "label", "result"))
+
+
+def k2_inserts(spark, d):
+    return plugins.written_as("sql", _records(_table(spark, d, "pages")).select("url", "label", "valid", "size"))
+
+
+def _graph(spark, d, lines):
+    nodes = joins.graph_nodes(_records(_table(spark, d, "pages")))
+    return lines(nodes, joins.graph_edges(nodes)).select(F.col("part").cast("long").alias("part"), "id", "value")
+
+
+def k6_gml(spark, d):
+    return _graph(spark, d, report.gml_lines)
+
+
+def k6_graphxml(spark, d):
+    return _graph(spark, d, report.graphxml_lines)
+
+
+def k8_failure_table(spark, d):
+    """The streaks of even events, written, then brought up to date with those of odd ones and written again."""
+    checks = _checks(_table(spark, d, "events"))
+    folder = f"{_store(spark)}/failures-{uuid.uuid4().hex}"
+    report.write_table(report.failure_streaks(checks.where("event_id % 2 = 0"), ["user_id"], ["ts", "event_id"]).withColumn("failures", F.col("failures").cast("int")), folder)
+    report.write_table(report.merged_streaks(report.latest(spark, folder), checks.where("event_id % 2 = 1"), ["user_id"], ["ts", "event_id"]), folder)
+    return report.latest(spark, folder).select("user_id", F.col("failures").cast("long").alias("failures"))
 
 
 def g1_statistics(spark, d):
@@ -245,11 +395,15 @@ def g5_failure_streak(spark, d):
     return report.failure_streaks(_checks(_table(spark, d, "events")), ["user_id"], ["ts", "event_id"])
 
 
-def k1_csv_report(spark, d):
-    r = _records(_table(spark, d, "pages"))
+def _report_rows(pages: DataFrame) -> DataFrame:
+    r = _records(pages)
     none = lambda t: F.lit(None).cast(t)
-    full = r.select(F.col("url").alias("raw_url"), "parent_url", none("string").alias("base_ref"), "result", "warnings", F.array(F.lit("checked")).alias("info"), "valid", "url", none("int").alias("line"), none("int").alias("col"), F.col("label").alias("name"),
+    return r.select(F.col("url").alias("raw_url"), "parent_url", none("string").alias("base_ref"), "result", "warnings", F.array(F.lit("checked")).alias("info"), "valid", "url", none("int").alias("line"), none("int").alias("col"), F.col("label").alias("name"),
                     none("double").alias("dltime"), "size", none("double").alias("checktime"), F.lit(0).alias("level"), none("timestamp").alias("modified"))
+
+
+def k1_csv_report(spark, d):
+    full = _report_rows(_table(spark, d, "pages"))
     return report.sql_rows(report.csv_rows(full, ["urlname", "parentname", "result", "warningstring", "infostring", "valid", "url", "name", "size"]))
 
 
@@ -259,7 +413,7 @@ def k7_sitemap(spark, d):
     first = by_host.groupBy("host").agg(F.count("*").alias("n")).agg(F.max_by("host", F.struct("n", "host")).alias("host"))
     own = by_host.join(F.broadcast(first), "host").withColumn("url", F.concat(F.lit("https://"), "host", urls.part(F.col("url"), "path"))).unionByName(
         by_host.join(F.broadcast(first), "host").groupBy("host").agg(F.lit(-1).cast("long").alias("seq"), F.concat(F.lit("https://"), F.first("host"), F.lit("/")).alias("url")).withColumns({"valid": F.lit(True), "content_type": F.lit("text/html")}), allowMissingColumns=True)
-    return report.sitemap(own)
+    return report.sitemap(own.withColumn("modified", F.timestamp_seconds(F.col("seq") * 60)))
 
 
 def w3_schedule(spark, d):
@@ -283,12 +437,18 @@ def _store(spark: SparkSession) -> str:
 
 def t1_stream_dedup(spark, d):
     events = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.run_once(jobs.first_seen(events, "user_id"), "append", _store(spark))
+    # a user may come again once the delay has passed
+    return jobs.run_once(jobs.first_seen(events, "user_id"), "append", _store(spark)).distinct()
 
 
 def t2_stream_streak(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return jobs.run_once(jobs.streaks(_checks(_stream(spark, d))), "update", _store(spark), ["user_id"]).where("failures > 0")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # the stream has ended when it returns
+        return jobs.run_once(jobs.streaks(_checks(_stream(spark, d))), "update", _store(spark), ["user_id"]).where("failures > 0")
+    finally:
+        spark.conf.set(name, before)
 
 
 def t3_stream_stats(spark, d):
@@ -398,4 +558,21 @@ def w2_host_audit(spark, d):
     return joins.one_per_host(pages).select("host", "page_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n[:1] in "efgjkrstuwx" and n[1:2].isdigit()}
+plugins.REPORTS.update(xml=report.xml_text, html=report.html_blocks, sql=report.sql_inserts, text=report.text_blocks)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        e1_page_links, e7_link_names, e14_page_charsets, u4_ascii_hosts, e8_page_titles, e12_tag_places, e13_content_regex, u1_url_parts,
+        u2_normalised_links, u7_query_params, u18_url_classes, u23_duplicate_urls, x5_ip_numbers, f2_url_warnings, f7_fetch_rules, f13_mail_syntax,
+        j1_link_results, j2_broken_by_host, j3_scope, j4_robots, r2_crawl_delays, j6_broken_anchors, j7_redirects, j9_graph,
+        k6_dot, j11_locations, j14_mail_hosts, j16_crawl_levels, j16_site_crawl, l1_url_budget, j3_seed_scope, j6_anchor_cases,
+        j7_redirect_infos, d2_all_links, s6_sitemap_children, s10_bookmarks, s11_bookmark_tables, f17_missing_slashes, p1_enabled_rules, p3_first_scan,
+        k3_xml_report, k5_html_report, k2_inserts, k6_gml, k6_graphxml, k8_failure_table, g1_statistics, g2_content_kinds,
+        g5_failure_streak, k1_csv_report, k7_sitemap, w3_schedule, t1_stream_dedup, t2_stream_streak, t3_stream_stats, s2_url_list,
+        s3_seed_words, s4_css_links, s5_sitemaps, s8_binary_urls, s9_markdown_links, s13_directory, s14_ftp_listing, s16_header_links,
+        s18_sniffed_types, e9_anchors, e10_meta_robots, e11_forms, x11_text_functions, x22_mail_addresses, j8_alias_results, j15_resolved_hosts,
+        k4_text_report, w2_host_audit,
+    )
+}
+QUERIES |= cases.QUERIES

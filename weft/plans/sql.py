@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from ..functions import tables
-from ..operators.extract import TOKEN
-from .queries import MAIL
+from . import cases
 
-_Q = TOKEN.replace("'", "''")
+MAIL = r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"
+#: Comments, scripts and style sheets, tags with their quoted values, text, and any < that is left.
+_Q = r"""(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[a-z/!?](?:"[^"]*"|'[^']*'|[^'">])*>|[^<]+|<""".replace("'", "''")
 _SCHEME = "regexp_extract(url, '^([^:/?#]+):', 1)"
 _NETLOC = "regexp_extract(url, '^(?:[^:/?#]+:)?//([^/?#]*)', 1)"
 _PATH = "regexp_extract(url, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
@@ -64,7 +65,7 @@ SQL: dict[str, str] = {
 WITH piece AS (
   SELECT page_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS seq
   FROM (SELECT page_id, string_split(regexp_replace(html, '(?i)<(a\s)', chr(1) || '<\1', 'g'), chr(1)) AS p FROM pages))
-SELECT page_id, CAST(seq AS BIGINT) AS seq,
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY seq) - 1 AS BIGINT) AS seq, 'a' AS tag,
        trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(left(regexp_extract(piece, '(?is)<a\s[^>]*>(.*)$', 1), 256), '(?is)^(.*?)</a\s*>', 1), '(?s)<.*?>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) AS name
 FROM piece WHERE regexp_matches(piece, '(?i)^<a\s[^>]*href')""",
     "e8_page_titles": f"SELECT page_id, coalesce(nullif(trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')), ''), nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), ''), url) AS title FROM pages",
@@ -90,8 +91,9 @@ SELECT page_id, 'http' AS class, {_SCHEME} || '://' || {_NETLOC} || '/robots.txt
        CASE WHEN regexp_matches(url, '^https?://www\\.') THEN 'http://' ELSE '' END || regexp_replace(url, '^https?://', '') AS guessed,
        {_HOST} LIKE '%.example.org' OR {_HOST} = 'example.com' AS listed FROM pages""",
     "u23_duplicate_urls": f"""
-WITH k AS (SELECT url, regexp_replace(regexp_replace({_KEY}, '/index\\.html?$', '/'), '/$', '') AS k FROM pages)
-SELECT a.url AS url_a, b.url AS url_b FROM k a JOIN k b ON a.k = b.k AND a.url < b.url AND (contains(a.url, b.url) OR contains(b.url, a.url))""",
+WITH k AS (SELECT DISTINCT url, regexp_replace(regexp_replace({_KEY}, '/index\\.html?$', '/'), '/$', '') AS k FROM pages),
+f AS (SELECT url, k, first_value(url) OVER (PARTITION BY k ORDER BY length(url), url) AS same_as FROM k)
+SELECT url, same_as FROM f WHERE url <> same_as AND contains(url, same_as)""",
     "x5_ip_numbers": """
 WITH e AS (SELECT event_id, event_id % 256 AS b, (event_id // 256) % 256 AS c, user_id % 300 AS d FROM events),
 n AS (SELECT *, d <= 255 AS valid, CASE WHEN d <= 255 THEN CAST(10 AS BIGINT) * 16777216 + b * 65536 + c * 256 + d END AS number FROM e)
@@ -139,7 +141,7 @@ SELECT domain, CASE WHEN length(domain) % 2 = 0 THEN 'mx.' || domain WHEN length
        CASE WHEN length(domain) % 2 = 0 THEN 'ok' WHEN length(domain) % 3 = 0 THEN 'mail-no-mx-host' ELSE 'error' END AS verdict FROM d""",
     "j16_crawl_levels": f"""
 WITH RECURSIVE {_RECORDS},
-reached AS (SELECT url, 0 AS level FROM record WHERE parent_url IS NULL UNION ALL SELECT r.url, x.level + 1 FROM reached x JOIN record p ON p.url = x.url AND p.valid JOIN record r ON r.parent_url = p.url WHERE x.level < 20)
+reached AS (SELECT url, 0 AS level FROM record WHERE parent_url IS NULL UNION SELECT r.url, x.level + 1 FROM reached x JOIN record p ON p.url = x.url AND p.valid JOIN record r ON r.parent_url = p.url WHERE x.level < (SELECT count(DISTINCT url) FROM record))
 SELECT url, CAST(min(level) AS BIGINT) AS level FROM reached GROUP BY url""",
     "g1_statistics": f"""
 WITH {_RECORDS}
@@ -156,9 +158,9 @@ WITH {_RECORDS}
 SELECT url AS urlname, parent_url AS parentname, CAST(status AS VARCHAR) AS result, nullif(warning, '') AS warningstring, 'checked' AS infostring, CASE WHEN valid THEN 1 ELSE 0 END AS valid, url, nullif(label, '') AS name, size FROM record""",
     "k7_sitemap": f"""
 WITH {_RECORDS}, biggest AS (SELECT host FROM record GROUP BY host ORDER BY count(*) DESC, host DESC LIMIT 1)
-SELECT DISTINCT 'https://' || host || {_PATH} AS loc, 'daily' AS changefreq, '0.50' AS priority FROM record JOIN biggest USING (host)
-WHERE valid AND string_split(content_type, ';')[1] IN ('text/html', 'application/xhtml+xml') AND {_PATH} LIKE '/_%'
-UNION ALL SELECT 'https://' || host || '/', 'daily', '1.00' FROM biggest""",
+SELECT 'https://' || host || {_PATH} AS loc, strftime(make_timestamp(max(seq) * 60000000), '%Y-%m-%dT%H:%M:%S.%fZ') AS lastmod, 'daily' AS changefreq, '0.50' AS priority FROM record JOIN biggest USING (host)
+WHERE valid AND string_split(content_type, ';')[1] IN ('text/html', 'application/xhtml+xml') AND {_PATH} LIKE '/_%' GROUP BY 1
+UNION ALL SELECT 'https://' || host || '/', '1969-12-31T23:59:00.000000Z', 'daily', '1.00' FROM biggest""",
     "w3_schedule": f"SELECT page_id, {_HOST} AS host, CAST((row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) - 1) * 100 AS BIGINT) AS due_ms FROM pages",
     "t1_stream_dedup": "SELECT DISTINCT user_id FROM events",
     "t3_stream_stats": "SELECT event_type, count(*) AS number, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type",
@@ -181,7 +183,7 @@ SQL |= {
     "x11_text_functions": """
 SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS limited, trim(string_split(text, chr(10))[1]) AS first_line,
        CAST(length(left(text, 200)) - length(replace(left(text, 200), chr(10), '')) + 1 AS BIGINT) AS line, md5(regexp_replace(text, '[\\x01-\\x1F\\x7F]', '', 'g')) AS plain,
-       CASE WHEN n < 1024 THEN n || 'B' WHEN n < 10240 THEN printf('%.2fKB', n / 1024) WHEN n < 1048576 THEN printf('%.1fKB', n / 1024) WHEN n < 10485760 THEN printf('%.2fMB', n / 1048576) ELSE printf('%.1fMB', n / 1048576) END AS size,
+       CASE WHEN n < 1024 THEN n || 'B' WHEN n < 10240 THEN (n // 1024) || 'KB' WHEN n < 1048576 THEN printf('%.2fKB', n / 1024) WHEN n < 10485760 THEN printf('%.2fMB', n / 1048576) ELSE printf('%.1fMB', n / 1048576) END AS size,
        CASE WHEN n_chars >= 3600 THEN printf('%02d:', n_chars // 3600) ELSE '' END || printf('%02d:%02d', (n_chars // 60) % 60, n_chars % 60) AS duration,
        md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS xml, md5('''' || replace(text, '''', '''''') || '''') AS literal
 FROM (SELECT *, n_chars * 100 AS n FROM documents)""",
@@ -191,3 +193,76 @@ FROM (SELECT *, n_chars * 100 AS n FROM documents)""",
     "k4_text_report": f"WITH {_RECORDS} SELECT concat_ws(chr(10), 'url           ' || url, 'label         ' || nullif(label, ''), 'result        ' || status) AS value FROM record",
     "w2_host_audit": f"SELECT {_HOST} AS host, arg_min(page_id, url) AS page_id FROM pages GROUP BY 1",
 }
+_XML = lambda c: f"replace(replace({c}, '&', '&amp;'), '<', '&lt;')"
+_XML_ALL = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_TEXT = lambda c: f"coalesce('''' || replace(nullif({c}, ''), '''', '''''') || '''', 'NULL')"
+_HOPS = """hop AS (SELECT {a} AS from_url, min({to}) AS to_url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 8 IN (3, 4, 5) AND a.page_id % 20 <> 7 GROUP BY 1),
+chain AS (SELECT from_url, to_url, 1 AS hops FROM hop UNION ALL SELECT c.from_url, h.to_url, c.hops + 1 FROM chain c JOIN hop h ON c.to_url = h.from_url WHERE c.hops < 10),
+ending AS (SELECT c.from_url, c.to_url AS url FROM chain c LEFT JOIN hop h ON c.to_url = h.from_url WHERE h.from_url IS NULL)"""
+_TO = _KEY.replace("url", "b.url")
+_ENDS = _HOPS.format(a=_KEY.replace("url", "a.url"), to=_TO)
+_SPOILT_ENDS = _HOPS.format(a=_KEY.replace("url", "a.url"), to=f"CASE WHEN length({_TO}) % 7 = 0 THEN regexp_replace({_TO}, '^https?:', 'ftp:') ELSE {_TO} END")
+_STREAK = """
+SELECT e.user_id, count(*) AS n FROM (SELECT * FROM events WHERE event_id % 2 = {0}) e LEFT JOIN (
+  SELECT user_id, max(struct_pack(ts := ts, e := event_id)) AS place FROM events WHERE event_type <> 'error' AND event_id % 2 = {0} GROUP BY user_id) l USING (user_id)
+WHERE event_type = 'error' AND (l.place IS NULL OR struct_pack(ts := e.ts, e := e.event_id) > l.place) GROUP BY e.user_id"""
+SQL |= {
+    "e14_page_charsets": """SELECT page_id, CASE WHEN page_id % 3 <> 0 AND contains(html, '<meta charset="utf-8">') THEN 'utf-8' END AS charset FROM pages""",
+    "u4_ascii_hosts": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'xn--bcher-kva.example' WHEN 1 THEN 'xn--e1afmkfd.org' WHEN 3 THEN {_HOST} END AS host FROM pages",
+    "j16_site_crawl": rf"""
+WITH RECURSIVE {_RECORDS}, {_ENDS},
+through AS (SELECT u.url, coalesce(e.url, u.url) AS p FROM (SELECT url FROM record UNION SELECT from_url FROM ending) u LEFT JOIN ending e ON e.from_url = u.url),
+state AS (SELECT url, CASE WHEN regexp_matches(url, '^https?://blog\.') THEN 'filtered' WHEN {_PATH} LIKE '/de%' THEN 'denied' WHEN regexp_matches(url, '^[a-z]+://[^/]*\.net(/|$)') THEN 'extern' ELSE 'checked' END AS state FROM (SELECT url FROM record UNION SELECT url FROM through)),
+reached AS (
+  SELECT url, 0 AS level FROM record WHERE parent_url IS NULL
+  UNION SELECT l.url, x.level + 1 FROM reached x JOIN state s ON s.url = x.url AND s.state = 'checked' JOIN through t ON t.url = x.url JOIN record p ON p.url = t.p AND p.valid JOIN record l ON l.parent_url = t.p WHERE x.level < 12)
+SELECT r.url, CAST(min(r.level) AS BIGINT) AS level, min(s.state) AS state FROM reached r JOIN state s ON s.url = r.url GROUP BY r.url""",
+    "l1_url_budget": f"""
+WITH {_RECORDS}, found AS (
+  SELECT url, 0 AS level FROM record WHERE parent_url IS NULL UNION ALL SELECT r.url, 1 FROM record r JOIN record p ON r.parent_url = p.url AND p.parent_url IS NULL)
+SELECT url, CAST(min(level) AS BIGINT) AS level FROM found GROUP BY url ORDER BY 2, url LIMIT 40""",
+    "j3_seed_scope": r"""
+SELECT url, NOT (url LIKE '%.html' OR regexp_matches(url, '^https?://(www\.)?example\.com/a/') OR regexp_matches(url, '^https?://(www\.)?blog\.example\.org/')) AS is_extern, FALSE AS is_strict FROM pages""",
+    "j6_anchor_cases": "SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 'n' || (page_id + 1) ELSE 'missing' END AS fragment, 'a,b%20c,n' || page_id AS available FROM pages WHERE page_id % 4 > 1",
+    "j7_redirect_infos": rf"""
+WITH RECURSIVE {_SPOILT_ENDS}
+SELECT from_url, 'Redirected to ' || url AS info, CASE WHEN url LIKE 'ftp:%' THEN 'Redirection to ' || url || ' has another scheme' END AS error,
+       CASE WHEN regexp_matches(url, '^https?://blog\.') OR regexp_matches(url, '\.net(/|$)') THEN TRUE WHEN regexp_matches(url, '^https://') OR NOT contains(url, '.html') THEN FALSE ELSE TRUE END AS is_extern FROM ending""",
+    "d2_all_links": f"""
+WITH {_ROBOTS}
+SELECT 'http://h/' || page_id AS url, CASE page_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'css' WHEN 2 THEN 'text' ELSE 'sitemap' END AS source, CAST(CASE page_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS BIGINT) AS line,
+       CASE WHEN page_id % 4 < 2 THEN {_PATH} ELSE url END AS raw_url FROM pages WHERE page_id % 4 > 1 OR {_PATH} <> ''
+UNION ALL SELECT 'http://h/' || page_id, 'header', NULL, '/l' || page_id FROM pages WHERE page_id % 5 = 0
+UNION ALL SELECT origin, 'robots', 9, '/s.xml' FROM body WHERE n = 2
+UNION ALL SELECT NULL, 'bookmark', NULL, url FROM pages WHERE page_id % 6 = 0""",
+    "s6_sitemap_children": "SELECT 'http://h/' || page_id || '.xml' AS url, url AS raw_url FROM pages WHERE page_id % 3 > 0",
+    "s10_bookmarks": "SELECT url, 'n' || page_id AS name FROM pages UNION ALL SELECT 't' || page_id, 'top' FROM pages",
+    "s11_bookmark_tables": "SELECT url, CASE WHEN page_id % 4 = 0 THEN url ELSE 't' || page_id END AS name FROM pages WHERE page_id % 2 = 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0",
+    "f17_missing_slashes": "SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 2 = 0 THEN 'file-missing-slash' END AS tag FROM pages",
+    "p1_enabled_rules": f"WITH {_FETCHES} SELECT page_id, CASE WHEN size > 20000 THEN 'url-content-too-large' ELSE '' END AS tags, CASE WHEN content_type LIKE 'text/%' THEN string_split(content_type, ';')[1] ELSE '' END AS info FROM fetches",
+    "p3_first_scan": """
+SELECT url, 'markdown' AS scan, '/m' || page_id AS raw_url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 'list', 'http://a/' || page_id FROM pages WHERE page_id % 2 = 1
+UNION ALL SELECT url, 'list', '[x](/m' || page_id || ')' FROM pages WHERE page_id % 2 = 1""",
+    "k3_xml_report": f"""
+WITH {_RECORDS}
+SELECT url, '<urldata><url>' || {_XML('url')} || '</url>' || coalesce('<name>' || {_XML("nullif(label, '')")} || '</name>', '') || coalesce('<parent>' || {_XML('parent_url')} || '</parent>', '') || '<size>' || size || '</size><level>0</level><infos><info>checked</info></infos>'
+  || CASE WHEN n_warnings > 0 THEN '<warnings>' || CASE WHEN status = 204 THEN '<warning tag="http-empty-content">No content</warning>' ELSE '' END || CASE WHEN size > 20000 THEN '<warning tag="url-content-too-large">Content is too large</warning>' ELSE '' END || '</warnings>' ELSE '' END
+  || '<valid result="' || status || '">' || CASE WHEN valid THEN 1 ELSE 0 END || '</valid></urldata>' AS value FROM record""",
+    "k5_html_report": f"WITH {_RECORDS} SELECT '<table><tr><td>url</td><td>' || {_XML_ALL('url')} || '</td></tr><tr><td>label</td><td>' || {_XML_ALL('label')} || '</td></tr><tr><td>result</td><td>' || status || '</td></tr></table>' AS value FROM record",
+    "k2_inserts": f"WITH {_RECORDS} SELECT 'insert into links(url,label,valid,size) values (' || {_TEXT('url')} || ',' || {_TEXT('label')} || ',' || CASE WHEN valid THEN 1 ELSE 0 END || ',' || size || ');' AS value FROM record",
+    "k6_gml": f"""
+WITH {_NODES}
+SELECT CAST(0 AS BIGINT) AS part, CAST(NULL AS BIGINT) AS id, 'graph [ directed 1' AS value UNION ALL SELECT 3, NULL, ']'
+UNION ALL SELECT 1, seq, '  node [ id ' || seq || ' label "' || {_LABEL} || '" ]' FROM node
+UNION ALL SELECT 2, r.seq, '  edge [ source ' || p.seq || ' target ' || r.seq || ' label "' || {_LABEL.replace('label', 'r.label')} || '" ]' FROM node r JOIN node p ON r.parent_url = p.url""",
+    "k6_graphxml": f"""
+WITH {_NODES}
+SELECT CAST(0 AS BIGINT) AS part, CAST(NULL AS BIGINT) AS id, '<GraphXML><graph isDirected="true">' AS value UNION ALL SELECT 3, NULL, '</graph></GraphXML>'
+UNION ALL SELECT 1, seq, '  <node name="' || seq || '"><label>' || {_XML_ALL('label')} || '</label></node>' FROM node
+UNION ALL SELECT 2, r.seq, '  <edge source="' || p.seq || '" target="' || r.seq || '"/>' FROM node r JOIN node p ON r.parent_url = p.url""",
+    "k8_failure_table": f"""
+WITH a AS ({_STREAK.format(0)}), b AS ({_STREAK.format(1)}), v AS (SELECT DISTINCT user_id FROM events WHERE event_type <> 'error' AND event_id % 2 = 1),
+m AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS now FROM a FULL JOIN b ON a.user_id = b.user_id)
+SELECT m.user_id, CAST(CASE WHEN v.user_id IS NOT NULL THEN now ELSE before + now END AS BIGINT) AS failures FROM m LEFT JOIN v ON v.user_id = m.user_id WHERE CASE WHEN v.user_id IS NOT NULL THEN now ELSE before + now END > 0""",
+}
+SQL |= cases.SQL

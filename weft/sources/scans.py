@@ -37,6 +37,12 @@ def sitemap(files: DataFrame, key: str = "url", body: str = "body") -> DataFrame
     return files.select(key, F.posexplode(F.xpath(F.col(body), F.lit('//*[local-name()="loc"]/text()'))).alias("n", "raw")).select(key, "n", F.trim("raw").alias("raw_url"))
 
 
+def sitemap_children(indexes: DataFrame, fetches: DataFrame) -> DataFrame:
+    """The pages that the children of sitemap indexes name: url of the child, and raw_url; fetches has url and body."""
+    children = sitemap(indexes).select(F.col("raw_url").alias("url")).distinct()
+    return sitemap(fetches.join(children, "url", "left_semi"))
+
+
 def wml(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """S7."""
     return links(pages, tables.WML_TAGS, key)
@@ -48,14 +54,22 @@ def binary_urls(files: DataFrame, key: str = "path", content: str = "content") -
     return files.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"(?i){SAFE['url']}"), F.lit(0))).alias("n", "raw_url"))
 
 
-_MARKDOWN = r"<((?:https?|ftp)://[^>\s]+)>|\[[^\]]*\]\(\s*<?([^)\s>]+)>?(?:\s+[\"'][^)]*)?\s*\)|(?m)^ {0,3}\[[^\]]+\]:\s*<?(\S+?)>?(?:\s|$)"
+# Brackets may stand in brackets, two deep; what is deeper is not a link's text.
+_FLAT = r"[^\[\]]*+"
+_TEXT = rf"\[{_FLAT}(?:\[{_FLAT}(?:\[{_FLAT}\]{_FLAT})*+\]{_FLAT})*+\]"
+_TARGET = r"\(\s*<?((?:[^()<>\s]|\([^()\s]*\)|[\r\n])+?)>?(?:\s+[\"'][^)]*)?\s*\)"
+_MARKDOWN = rf"(?m)<((?:https?|ftp)://[^>\s]+)>|{_TEXT}{_TARGET}|^ {{0,3}}\[[^\[\]]+\]:\s*<?(\S+?)>?(?:\s|$)"
 
 
 def markdown(files: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
-    """Angle, inline and reference links; brackets do not nest."""
-    each = files.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(_MARKDOWN), F.lit(0))).alias("n", "raw"))
+    """Angle, inline and reference links, each with its line and column from 1; a link in a link's text is one too."""
+    inner = F.transform(F.regexp_extract_all(body, F.lit(rf"{_TEXT}{_TARGET}"), F.lit(0)), lambda x: F.substring(x, 2, F.length(x)))
+    found = F.concat(F.regexp_extract_all(body, F.lit(_MARKDOWN), F.lit(0)), F.flatten(F.transform(inner, lambda x: F.regexp_extract_all(F.regexp_extract(x, rf"(?s)^(.*){_TARGET}$", 1), F.lit(rf"!?{_TEXT}{_TARGET}"), F.lit(0)))))
+    each = files.select(key, F.col(body).alias("_body"), F.posexplode(F.array_distinct(found)).alias("n", "raw"))
     got = F.coalesce(*[F.nullif(F.regexp_extract("raw", _MARKDOWN, g), F.lit("")) for g in (1, 2, 3)])
-    return each.select(key, "n", F.regexp_replace(got, r"[\r\n]", "").alias("raw_url"))
+    before = F.left(F.col("_body"), F.expr("position(raw, _body)") - 1)
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    return each.select(key, "n", F.regexp_replace(got, r"[\r\n]", "").alias("raw_url"), line.alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("col"))
 
 
 def bookmark_json(files: DataFrame, column: str = "body", depth: int = 32) -> DataFrame:
@@ -91,7 +105,7 @@ def directory(listing: DataFrame) -> DataFrame:
     return listing.select(F.regexp_extract("path", "^(.*/)[^/]+/?$", 1).alias("parent_url"), quote(F.regexp_extract("path", "([^/]+/?)$", 1), "/").alias("raw_url"), xml_escaped(F.regexp_extract("path", "([^/]+/?)$", 1)).alias("name")).where("parent_url <> ''")
 
 
-def ftp_listing(lines: DataFrame, column: str = "line") -> DataFrame:
+def ftp_listing(lines: DataFrame, column: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
     """Name, trycwd and tryretr of EPLF, UNIX, MSDOS and VMS lines; others give no row."""
     x = F.col(column)
     facts = F.regexp_extract(x, r"^\+([^\t]*)\t", 1)
@@ -100,13 +114,13 @@ def ftp_listing(lines: DataFrame, column: str = "line") -> DataFrame:
     vms = r"^([^\s;]+)\.([^\s;.]+);\d+\s+\S"
     kind = F.when(x.startswith("+") & (F.regexp_extract(x, r"^\+[^\t]*\t(.+)$", 1) != ""), "eplf").when(x.rlike(unix), "unix").when(x.rlike(dos), "dos").when(x.rlike(vms), "vms")
     name = (
-        F.when(kind == "eplf", F.regexp_extract(x, r"^\+[^\t]*\t(.+)$", 1)).when(kind == "unix", F.regexp_replace(F.trim(F.regexp_extract(x, unix, 2)), r" -> .*$", ""))
+        F.when(kind == "eplf", F.regexp_extract(x, r"^\+[^\t]*\t(.+)$", 1)).when(kind == "unix", F.when(x.startswith("l"), F.regexp_replace(F.trim(F.regexp_extract(x, unix, 2)), r"^.*? -> ", "")).otherwise(F.trim(F.regexp_extract(x, unix, 2))))
         .when(kind == "dos", F.regexp_extract(x, dos, 2)).when(kind == "vms", F.when(F.regexp_extract(x, vms, 2) == "DIR", F.regexp_extract(x, vms, 1)).otherwise(F.regexp_extract(x, r"^([^\s;]+);", 1)))
     )
     fact = lambda f: F.concat(F.lit(","), facts, F.lit(",")).contains(f",{f},")
     cwd = F.when(kind == "eplf", fact("/")).when(kind == "unix", F.regexp_extract(x, unix, 1).isin("d", "l")).when(kind == "dos", F.regexp_extract(x, dos, 1) == "<DIR>").otherwise(F.regexp_extract(x, vms, 2) == "DIR")
     retr = F.when(kind == "eplf", fact("r")).when(kind == "unix", F.regexp_extract(x, unix, 1).isin("-", "l")).when(kind == "dos", F.regexp_extract(x, dos, 1) != "<DIR>").otherwise(F.regexp_extract(x, vms, 2) != "DIR")
-    return lines.where(kind.isNotNull()).select(x.alias("line"), name.alias("name"), cwd.alias("trycwd"), retr.alias("tryretr"))
+    return lines.where(kind.isNotNull()).select(*keep, x.alias("line"), name.alias("name"), cwd.alias("trycwd"), retr.alias("tryretr"))
 
 
 def itms_child(url: Column) -> Column:
@@ -132,6 +146,39 @@ def parser_of(content_type: Column, url: Column) -> Column:
     return F.when((part(url, "scheme") == "ftp") & part(url, "path").rlike("(^|/)$"), "html").otherwise(out)
 
 
+def dispatched(fetches: DataFrame) -> DataFrame:
+    """The links of every fetched body by its type, and those of its headers: url, source, line and raw_url.
+
+    fetches has url, content_type, body and headers.  Each scan takes the bodies
+    of its parser; types without one have no links.
+    """
+    known = fetches.withColumn("parser", parser_of(F.col("content_type"), F.col("url")))
+    of = lambda *names: known.where(F.col("parser").isin(*names))
+    none = F.lit(None).cast("int")
+    as_pages = lambda df: df.select(F.col("url").alias("page_id"), "url", F.col("body").alias("html"))
+    found = [
+        links(as_pages(of("html"))).select("url", F.lit("html").alias("source"), none.alias("line"), "raw_url"),
+        wml(as_pages(of("wml"))).select("url", F.lit("wml").alias("source"), none.alias("line"), "raw_url"),
+        url_list(of("text")).select("url", F.lit("text").alias("source"), "line", "raw_url"),
+        css(of("css")).select("url", F.lit("css").alias("source"), "line", "raw_url"),
+        sitemap(of("sitemap", "sitemapindex")).select("url", F.lit("sitemap").alias("source"), none.alias("line"), "raw_url"),
+        binary_urls(of("swf").select("url", F.encode("body", "ISO-8859-1").alias("content")), "url").select("url", F.lit("swf").alias("source"), none.alias("line"), "raw_url"),
+        bookmark_text(of("opera").withColumnRenamed("url", "path")).select(F.col("path").alias("url"), F.lit("opera").alias("source"), none.alias("line"), F.col("url").alias("raw_url")),
+        header_links(fetches).select("url", F.lit("header").alias("source"), none.alias("line"), "raw_url"),
+    ]
+    out = None
+    for frame in found:
+        out = frame if out is None else out.unionByName(frame)
+    return out
+
+
+def all_links(fetches: DataFrame, robots: DataFrame, bookmarks: DataFrame) -> DataFrame:
+    """Links of bodies and headers, of the sitemap lines of robots.txt (origin, sitemap, line), and of bookmarks (url, name)."""
+    maps = robots.select(F.col("origin").alias("url"), F.lit("robots").alias("source"), F.col("line").cast("int").alias("line"), F.col("sitemap").alias("raw_url"))
+    marks = bookmarks.select(F.lit(None).cast("string").alias("url"), F.lit("bookmark").alias("source"), F.lit(None).cast("int").alias("line"), F.col("url").alias("raw_url"))
+    return dispatched(fetches).unionByName(maps).unionByName(marks)
+
+
 def sniffed(content_type: Column, body: Column, name: Column) -> Column:
     """By the first 70 characters of plain text and XML, else by extension."""
     head, out = F.left(body, F.lit(70)), F.lit(None).cast("string")

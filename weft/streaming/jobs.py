@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def first_seen(checks: DataFrame, key: str, time: str = "ts", delay: str = "36500 days") -> DataFrame:
-    """Keys, each once within the watermark."""
+def first_seen(checks: DataFrame, key: str, time: str = "ts", delay: str = "7 days") -> DataFrame:
+    """Keys, each once within the delay; a key's state goes when the watermark has passed it."""
     return checks.withWatermark(time, delay).dropDuplicatesWithinWatermark([key]).select(key)
 
 
