@@ -4,8 +4,9 @@ Texts are cut into windows of ``WINDOW`` bytes that together cover all of them.
 Filters of several widths run over the embedded bytes of a window, the largest
 answer of each filter is pooled, and a softmax layer gives the languages'
 probabilities; a text's are the mean over its windows, weighted by their bytes.
-The network is trained in numpy by Adam, on at most ``MAX_DOCS`` documents and
-``DOC_WINDOWS`` windows of each, spread evenly over the document.
+The network is trained in numpy by Adam, on ``MAX_WINDOWS`` labelled windows at
+most, of at most ``MAX_DOCS`` labelled texts: any window of a text may be drawn,
+and no text gets its next one before all others had theirs.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 as is everything if there is nothing to learn from; repeated rows get equal
@@ -14,6 +15,7 @@ results; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import sample
+from .features import sample_texts
 from .words import chunks, offsets
 
-MAX_DOCS, DOC_WINDOWS = 3000, 4
+#: Labelled texts, and labelled windows of them, to learn from.
+MAX_DOCS, MAX_WINDOWS = 3000, 12_000
 WINDOW = 256
 EMBEDDED, WIDTHS, FILTERS = 4, (2, 3, 4), 8
 EPOCHS, BATCH, RATE = 4, 64, 0.004
@@ -126,21 +129,22 @@ def fit(x: np.ndarray, languages: list[str], y: np.ndarray, seed: int = 7) -> Ne
 
 
 def train(docs: DataFrame) -> Network | None:
-    """From at most MAX_DOCS documents with a language and a text; None if there are none."""
-    known = docs.where("lang is not null and text is not null and text <> ''")
-    # no more ids than MAX_DOCS: only they are sorted, sent and broadcast
-    chosen = sample(known.select("doc_id"), MAX_DOCS).distinct()
+    """From at most MAX_DOCS texts with a language, and MAX_WINDOWS of their windows; None if there are none."""
+    known = sample_texts(docs.where("lang is not null and text is not null and text <> ''"), MAX_DOCS, "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 row, _, x = windows(part.column("text"))
-                keep = []
-                for r, start, n in zip(*np.unique(row, return_index=True, return_counts=True)):
-                    keep += (start + np.unique(np.linspace(0, n - 1, DOC_WINDOWS).astype(int))).tolist()
-                yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(row[keep])), pa.array([w.tobytes() for w in x[keep]], pa.binary())], ["lang", "bytes"])
-
-    got = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(cut, "lang string, bytes binary").orderBy(F.xxhash64("bytes"), "lang").collect()
+                hashes = np.array([zlib.crc32(w) for w in x], np.int64)
+                order = np.lexsort((hashes, row))
+                turn = np.empty(len(x), np.int64)  # each text's windows in the order of their hashes
+                turn[order] = np.arange(len(x)) - np.searchsorted(row, row)[order]
+                for a in range(0, len(x), 4096):
+                    b = a + 4096
+                    yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(row[a:b])), pa.array(turn[a:b]), pa.array([w.tobytes() for w in x[a:b]], pa.binary())], ["lang", "turn", "bytes"])
+
+    got = known.select("lang", "text").mapInArrow(cut, "lang string, turn long, bytes binary").orderBy("turn", F.xxhash64("bytes"), "lang").limit(MAX_WINDOWS).collect()
     if not got:
         return None
     languages = sorted({r.lang for r in got})

@@ -6,8 +6,10 @@ the positives, plus the unlabelled risk of the negative class corrected for the
 class prior; where that correction falls below zero, the step goes the other
 way, so that the estimate stays non-negative.
 
-Only features with enough evidence take part.  The sample is bounded by
-``MAX_POSITIVE`` and ``MAX_UNLABELLED`` documents; every whole text is scored.
+Only features with enough evidence take part; the documents that show a feature
+are counted in Spark, and no more than ``MAX_FEATURES`` features are sent to the
+driver.  The sample is bounded by ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts,
+which take part whole, as every text that is scored does.
 
 Defined results: null and empty texts get the score of a text without features;
 a training set without positives or without text gives a classifier that scores
@@ -17,6 +19,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import sample
+from .features import sample_texts
+from .scratch import written
 from .words import Words, chunks, mix
 
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
@@ -33,8 +37,6 @@ MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
 BEGINNINGS = (4, 5, 6)
 #: Features kept, and the least documents that show one.
 MAX_FEATURES, LEAST_DOCS = 4096, 4
-#: Hashes kept of a training document with more features; every document is cut by the same order.
-MAX_HASHES = 4000
 ROUNDS, RATE, WEIGHT_DECAY = 300, 0.05, 1e-3
 THRESHOLD = 0.3
 
@@ -51,14 +53,13 @@ def feature_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch):
-            rows, hashes = feature_hashes(Words(part.column("text"), lower=True))
-            order = np.argsort(rows, kind="stable")
-            cuts = np.searchsorted(rows[order], np.arange(part.num_rows + 1))
-            out = [np.unique(hashes[order[a:b]])[:MAX_HASHES].astype("<u8").tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("positive"), pa.array(out, pa.binary())], ["positive", "hashes"])
+def _by_row(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The distinct feature hashes of each text."""
+    for part in chunks(batch):
+        rows, hashes = feature_hashes(Words(part.column("text"), lower=True))
+        order = np.argsort(rows, kind="stable")
+        cuts = np.searchsorted(rows[order], np.arange(part.num_rows + 1))
+        yield part, [np.unique(hashes[order[a:b]]) for a, b in zip(cuts, cuts[1:])]
 
 
 @dataclass
@@ -80,47 +81,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(x_positive: list[np.ndarray], x_unlabelled: list[np.ndarray], prior: float) -> Model:
-    """From the feature hashes of documents; prior is the share of positives among the unlabelled."""
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    if not x_positive or not x_unlabelled:
-        return nothing
-    values, counts = np.unique(np.concatenate(x_positive), return_counts=True)
-    all_values, all_counts = np.unique(np.concatenate(x_unlabelled), return_counts=True)
-    tried = len(values)
-    values, counts = values[counts >= LEAST_DOCS], counts[counts >= LEAST_DOCS]
-    at = np.minimum(np.searchsorted(all_values, values), max(0, len(all_values) - 1))
-    elsewhere = np.where(all_values[at] == values, all_counts[at], 0) if len(all_values) else np.zeros(len(values))
-    lift = np.maximum(1, (counts / len(x_positive)) / ((elsewhere + 1) / len(x_unlabelled)))
-    # a feature of toxic text shows up among the unlabelled about prior times as often as among the
-    # positives; Chernoff's bound holds chance down, over all the features that are looked at
-    chosen = (lift > 0.5 / prior) & (counts * (np.log(lift) - 1 + 1 / lift) > np.log(tried))
-    order = np.argsort(-(counts * np.log(lift))[chosen], kind="stable")[:MAX_FEATURES]
-    kept = np.sort(values[chosen][order])
-    if not len(kept):
-        return nothing
-
-    def matrix(docs: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(docs), len(kept)), np.float32)
-        for i, d in enumerate(docs):
-            j = np.minimum(np.searchsorted(kept, d), len(kept) - 1)
-            x[i, j[kept[j] == d]] = 1
-        return x
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risks(w: np.ndarray, b: float, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The risk of the positives, that of the negatives as the unlabelled show it, and both gradients (weights, then bias).
+
+    Logistic losses: -log(s) as positive, -log(1 - s) as negative.
+    """
+    w32 = w.astype(np.float32)
+    sp, su = _sigmoid((p @ w32).astype(float) + b), _sigmoid((u @ w32).astype(float) + b)
+    positive = -prior * np.log(sp).mean()
+    negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
+    g_positive = prior * np.append((sp - 1).astype(np.float32) @ p / len(p), (sp - 1).mean())
+    g_negative = np.append(su.astype(np.float32) @ u / len(u) - prior * (sp.astype(np.float32) @ p) / len(p), su.mean() - prior * sp.mean())
+    return positive, negative, g_positive, g_negative
 
-    p, u = matrix(x_positive), matrix(x_unlabelled)
+
+def fit(kept: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> Model:
+    """From sorted feature hashes and 0/1 matrices of positive and unlabelled texts; prior is the share of positives among the unlabelled."""
+    if not len(kept) or not len(p) or not len(u):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     w, b = np.zeros(len(kept)), 0.0
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for k in range(1, ROUNDS + 1):
-        w32 = w.astype(np.float32)
-        sp, su = sigmoid((p @ w32).astype(float) + b), sigmoid((u @ w32).astype(float) + b)
-        # logistic losses: -log(s) as positive, -log(1 - s) as negative
-        negative_risk = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        g_negative = np.append(su.astype(np.float32) @ u / len(u) - prior * (sp.astype(np.float32) @ p) / len(p), su.mean() - prior * sp.mean())
-        if negative_risk < 0:
-            grad = -g_negative
-        else:
-            grad = g_negative + prior * np.append((sp - 1).astype(np.float32) @ p / len(p), (sp - 1).mean())
+        _, negative, g_positive, g_negative = risks(w, b, p, u, prior)
+        grad = -g_negative if negative < 0 else g_negative + g_positive
         grad[:-1] += WEIGHT_DECAY * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
@@ -128,14 +115,55 @@ def fit(x_positive: list[np.ndarray], x_unlabelled: list[np.ndarray], prior: flo
     return Model(kept, w, float(b))
 
 
+def chosen_features(counts: DataFrame, n_positive: int, n_unlabelled: int, prior: float) -> DataFrame:
+    """hash of the features with enough evidence, the strongest MAX_FEATURES at most.
+
+    counts has hash, and the positive and unlabelled texts that show it.  A
+    feature of toxic text shows up among the unlabelled about prior times as
+    often as among the positives; Chernoff's bound holds chance down, over all
+    the features that are looked at.
+    """
+    tried = counts.where("positive > 0").count()
+    lift = F.greatest(F.lit(1.0), (F.col("positive") / n_positive) / ((F.col("unlabelled") + 1) / n_unlabelled))
+    strong = (F.col("positive") >= LEAST_DOCS) & (F.col("lift") > 0.5 / prior) & (F.col("positive") * (F.log("lift") - 1 + 1 / F.col("lift")) > math.log(max(tried, 1)))
+    return counts.withColumn("lift", lift).where(strong).orderBy(F.desc(F.col("positive") * F.log("lift")), "hash").limit(MAX_FEATURES).select("hash")
+
+
 def train(docs: DataFrame, positive: DataFrame, unlabelled: DataFrame, prior: float) -> Model:
-    """From the texts in docs of at most MAX_POSITIVE and MAX_UNLABELLED of the given doc_ids."""
-    # the ids are few by these bounds; only they are broadcast, and no text is sorted
-    ids = sample(positive.select("doc_id"), MAX_POSITIVE).withColumn("positive", F.lit(True)).unionByName(sample(unlabelled.select("doc_id"), MAX_UNLABELLED).withColumn("positive", F.lit(False)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "positive")
-    got = rows.mapInArrow(_hashed, "positive boolean, hashes binary").collect()
-    split = lambda want: [np.frombuffer(bytes(r.hashes), "<u8") for r in got if r.positive is want]
-    return fit(split(True), split(False), prior)
+    """From at most MAX_POSITIVE and MAX_UNLABELLED different texts: those of the positive doc_ids, and of unlabelled."""
+    toxic = sample_texts(docs.where("text is not null"), MAX_POSITIVE, ids=positive)
+    drawn = toxic.withColumn("positive", F.lit(True)).unionByName(sample_texts(unlabelled, MAX_UNLABELLED).withColumn("positive", F.lit(False)))
+    texts = written(drawn.select("text", "positive"), "labelled")
+    sizes = {r.positive: r["count"] for r in texts.groupBy("positive").count().collect()}
+    nothing = np.zeros((0, 0), np.float32)
+    if len(sizes) < 2:
+        return fit(np.zeros(0, np.uint64), nothing, nothing, prior)
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, hashes in _by_row(batch):
+                of = np.repeat(part.column("positive").to_numpy(zero_copy_only=False).astype(np.int64), [len(h) for h in hashes])
+                every = np.concatenate(hashes)
+                values, at = np.unique(every, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(pa.array(np.bincount(at, x, len(values)).astype(np.int64)) for x in (of, 1 - of))], ["hash", "positive", "unlabelled"])
+
+    counts = written(texts.mapInArrow(shown, "hash long, positive long, unlabelled long").groupBy("hash").agg(F.sum("positive").alias("positive"), F.sum("unlabelled").alias("unlabelled")).where("positive > 0"), "counts")
+    kept = np.sort(np.array([r.hash for r in chosen_features(counts, sizes[True], sizes[False], prior).collect()], np.int64).view(np.uint64))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, hashes in _by_row(batch):
+                yield pa.RecordBatch.from_arrays([part.column("positive"), pa.array([np.flatnonzero(np.isin(kept, h, assume_unique=True)).astype(np.int16) for h in hashes], pa.list_(pa.int16()))], ["positive", "places"])
+
+    got = texts.mapInArrow(reduced, "positive boolean, places array<smallint>").orderBy("positive", F.xxhash64("places")).collect()
+
+    def matrix(rows: list) -> np.ndarray:
+        x = np.zeros((len(rows), len(kept)), np.float32)
+        for i, r in enumerate(rows):
+            x[i, r.places] = 1
+        return x
+
+    return fit(kept, *(matrix([r for r in got if r.positive is want]) for want in (True, False)), prior)
 
 
 def train_on_labels(docs: DataFrame, labels: DataFrame) -> Model:
