@@ -43,14 +43,19 @@ GATHERED, SHARE = 2000, 0.45
 CROWDED = 4
 #: Entries of a part of a list: twice the mean list, within these bounds.
 PART = (256, 65_536)
+#: Queries that meet a part of a list at once.
+QUERIES = 16_384
 K = 10
 
 
-def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+def usable(vectors: DataFrame, length: int | None = None, column: str = "embedding") -> tuple[DataFrame, int]:
+    """The vectors that take part, and their length: that of most of them, if it is not given."""
     v = F.col(column)
     plain = vectors.where(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    length = plain.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return plain.where(F.size(v) == (length[0].n if length else 0))
+    if length is None:
+        most = plain.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+        length = most[0].n if most else 0
+    return plain.where(F.size(v) == length), length
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -141,7 +146,13 @@ def entries(vectors: DataFrame, index: MultiIndex) -> DataFrame:
                 part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % index.parts()[row]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row.astype(np.int64)), pa.array(part), pa.array(b.argmin(1).astype(np.int64))], ["vec_id", "embedding", "list", "part", "cell"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(assign, "vec_id long, embedding array<float>, list long, part long, cell long")
+    return vectors.select("vec_id", "embedding").mapInArrow(assign, f"vec_id long, embedding {_kind(vectors)}, list long, part long, cell long")
+
+
+def _kind(vectors: DataFrame) -> str:
+    """Vectors move as they are; distances are taken in double precision."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return kind if kind == "array<float>" else "array<double>"
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -149,8 +160,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     vectors has vec_id and embedding; queries has query_id and embedding.
     """
-    vectors = usable(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).where("vec_id is not null"))
-    queries = usable(queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<float>")))
+    kind = _kind(vectors)
+    vectors, length = usable(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind)).where("vec_id is not null"))
+    queries, _ = usable(queries.select(F.col("query_id").cast("long"), F.col("embedding").cast(kind)), length)
     index = build(vectors)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -185,7 +197,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             out = [np.concatenate(c) for c in zip(*parts)]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    placed = queries.mapInArrow(visit, "query_id long, embedding array<float>, list long, part long, cells array<smallint>")
-    near = entries(vectors, index).groupBy("list", "part").cogroup(placed.groupBy("list", "part")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    # neither side of a group grows with the tables: entries have parts, and queries turns
+    turns = max(1, -(-queries.count() // QUERIES))
+    placed = queries.mapInArrow(visit, f"query_id long, embedding {kind}, list long, part long, cells array<smallint>").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)))
+    listed = entries(vectors, index).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
+    key = ["list", "part", "turn"]
+    near = listed.groupBy(*key).cogroup(placed.groupBy(*key)).applyInArrow(rerank, "query_id long, vec_id long, score double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
