@@ -1,12 +1,16 @@
 """Quality rules by cross-document line frequency (operator 7); DataFrame functions only.
 
 Every line is normalised and hashed together with its host (the document's
-source), the documents that hold it are counted per host, and lines in more
-documents than the limit are removed.  A document is rejected once too little
-of it is left, or by the per-document base rules.
+source), the distinct documents that hold it are counted per host, and lines in
+more documents than the limit are removed.  A document is rejected once too
+little of it is left, or by the per-document base rules.
+
+Lines are made once and written, as hashes and lengths.  The rows that hold a
+line are counted first, with partial sums; only for lines in more rows than the
+limit are distinct documents told apart.
 
 Defined results: null text has no words and fails the base rules; a null host
-is a host of its own; repeated rows count as documents of their own and get
+is a host of its own; rows of equal id, text and host are one document, and get
 equal results; other columns are ignored; an empty table gives no rows.
 """
 
@@ -23,6 +27,8 @@ from .scratch import written
 MAX_DOCS = 20
 #: A document keeps its place while this share of the characters of its distinct lines is left.
 MIN_LEFT = 0.3
+#: Lines (of 8 bytes) that are broadcast at most, and the parts of a line's documents beyond that.
+BROADCAST, SALTS = 500_000, 32
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -94,29 +100,56 @@ def hashed_lines(text: Column, host: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(host, x).alias("line"), F.length(x).cast("long").alias("n")))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
-    """Hashes of the lines that stand in more than max_docs documents of one host."""
-    lines = docs.select(F.explode(F.transform(hashed_lines(F.col("text"), F.col(host)), lambda x: x.line)).alias("line"))
-    return lines.groupBy("line").count().where(F.col("count") > max_docs).select("line")
+def _key(host: str) -> list[Column]:
+    """What a document is known by: id and key, a hash of its text and host."""
+    return [F.col("doc_id").cast("long").alias("id"), F.xxhash64("text", host, F.col("text").isNull(), F.col(host).isNull()).alias("key")]
+
+
+def line_table(docs: DataFrame, host: str = "source") -> DataFrame:
+    """id, key and lines (array of line hash and length) of every row, written."""
+    return written(docs.select(*_key(host), hashed_lines(F.col("text"), F.col(host)).alias("lines")), "lines")
+
+
+def _of(each: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows of each whose line is in lines (line): broadcast up to BROADCAST lines, else dealt out with a salt, since a line may be very common."""
+    if lines.count() <= BROADCAST:
+        return each.join(F.broadcast(lines), "line")
+    salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return each.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"]).drop("salt")
+
+
+def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """id, key, line and n of the lines that stand in more than max_docs distinct documents of one host; of a line_table, written."""
+    each = lines.select("id", "key", F.explode("lines").alias("x")).select("id", "key", "x.line", "x.n")
+    often = written(each.groupBy("line").count().where(F.col("count") > max_docs).select("line"), "often")
+    held = written(_of(each, often).groupBy("line", "id", "key").agg(F.max("n").alias("n")), "held")
+    frequent = written(held.groupBy("line").count().where(F.col("count") > max_docs).select("line"), "frequent")
+    return written(_of(held, frequent), "removed")
 
 
 def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """Documents' doc_id with base features, line_chars, removed_chars and the verdict ``kept``."""
-    key = [F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash")]
-    frequent = written(frequent_lines(docs, host, max_docs), "lines")
-    each = docs.select(*key, F.explode(hashed_lines(F.col("text"), F.col(host))).alias("x")).select("id", "text_hash", "x.line", "x.n")
-    # repeated rows have equal ids and texts: their removed lines are counted once
-    removed = (
-        each.join(frequent, "line").groupBy("id", "text_hash", "line").agg(F.max("n").alias("n"))
-        .groupBy("id", "text_hash").agg(F.sum("n").alias("removed_chars"))
-        .select(F.col("id").alias("removed_id"), F.col("text_hash").alias("removed_text"), "removed_chars")
-    )
-    total = F.aggregate(hashed_lines(F.col("text"), F.col(host)), F.lit(0).cast("long"), lambda a, x: a + x.n)
-    base = features(docs.select("doc_id", "text", host)).withColumn("line_chars", total).withColumn("text_hash", F.xxhash64("text")).drop("text", host)
-    joined = base.join(written(removed, "removed"), F.col("doc_id").eqNullSafe(F.col("removed_id")) & (F.col("text_hash") == F.col("removed_text")), "left")
-    left = F.col("line_chars") - F.coalesce("removed_chars", F.lit(0))
+    lines = line_table(docs, host)
+    removed = frequent_lines(lines, max_docs).groupBy("id", "key").agg(F.sum("n").alias("removed_chars"))
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x.n)
+    sums = lines.select("id", "key", total.alias("line_chars"), F.lit(0).cast("long").alias("removed_chars")).unionByName(removed.withColumn("line_chars", F.lit(0).cast("long")))
+    sums = sums.groupBy("id", "key").agg(F.max("line_chars").alias("line_chars"), F.max("removed_chars").alias("removed_chars"))
+    base = features(docs.select("doc_id", "text", host)).select("*", *_key(host)).drop("text", host)
+    joined = base.alias("b").join(written(sums, "sums").alias("s"), F.col("b.id").eqNullSafe(F.col("s.id")) & (F.col("b.key") == F.col("s.key")))
+    left = F.col("line_chars") - F.col("removed_chars")
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars",
-        F.coalesce("removed_chars", F.lit(0)).cast("long").alias("removed_chars"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars", "removed_chars",
         (~F.col("base_failed") & (left >= min_left * F.col("line_chars"))).alias("kept"),
     )
+
+
+def without_frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """docs with the frequent lines taken out of their texts; other lines stay as they are."""
+    marks = frequent_lines(line_table(docs, host), max_docs).groupBy("id", "key").agg(F.collect_set("line").alias("frequent"))
+    marks = marks.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("frequent").alias("_frequent"))
+    plain = docs.drop("_id", "_key", "_frequent")
+    own_id, own_key = _key(host)
+    joined = plain.join(marks, own_id.eqNullSafe(F.col("_id")) & (own_key == F.col("_key")), "left")
+    line_hash = lambda x: F.get(F.transform(hashed_lines(x, F.col(host)), lambda h: h.line), 0)
+    kept = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_frequent", line_hash(x)), F.lit(False)))
+    return joined.withColumn("text", F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*plain.columns)
