@@ -6,10 +6,12 @@ more rows through, so whatever follows a filter must be exact by itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A filter has at most 2 ** MAX_BITS bits (32 MB), 16 for each key up to some 17 million keys.
@@ -37,11 +39,11 @@ def might_hold(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_be_in(held: Broadcast, key: Column) -> Column:
-    """The same for a column of keys that are not null."""
+def picked(rows: DataFrame, held: Broadcast, key: str, inside: bool = True) -> DataFrame:
+    """The rows whose key (a column that is not null) may be in the filter, or those whose key is not."""
 
-    @F.arrow_udf("boolean")
-    def test(keys: pa.Array) -> pa.Array:
-        return pa.array(might_hold(held.value, keys.to_numpy(zero_copy_only=False).astype(np.int64)))
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(might_hold(held.value, batch.column(key).to_numpy()) == inside))
 
-    return test(key)
+    return rows.mapInArrow(pick, rows.schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import MAX_BITS, key_filter, might_hold
+from .bloom import MAX_BITS, key_filter, might_hold, picked
 from .scratch import written
 from .words import Words, chunks, mix, runs
 
@@ -122,13 +122,8 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
 
 def _some(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """The sets of the given classes, and few others."""
-    held = key_filter(classes.select(F.xxhash64("class").alias("key")), FILTER_BITS)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(might_hold(held.value, batch.column("key").to_numpy()))).select(["class", "shingles"])
-
-    return sets.select("class", "shingles", F.xxhash64("class").alias("key")).mapInArrow(pick, "class binary, shingles binary")
+    key = F.xxhash64("class").alias("key")
+    return picked(sets.select("class", "shingles", key), key_filter(classes.select(key), FILTER_BITS), "key").drop("key")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -265,6 +260,25 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, for every row of docs."""
+    return verdicts(docs, shingle, similar, bands, rows).drop("key")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """docs without near duplicates: of each group the document of smallest id stays, once.
+
+    Documents without an id stay if their group has none with an id; only rows
+    that may go are shuffled.
+    """
+    rows = written(verdicts(docs, shingle, similar).groupBy("key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "going")
+    held = key_filter(rows.select("key"))
+    keyed = docs.withColumn("_key", _key())
+    some = picked(keyed, held, "_key").join(rows.select(F.col("key").alias("_key"), "kept", "n").withColumnsRenamed({"kept": "_kept", "n": "_n"}), "_key", "left").where("_kept is null or _kept")
+    once = some.where("_n > 1").dropDuplicates(["_key"]).unionByName(some.where("_n is null or _n = 1"))
+    return picked(keyed, held, "_key", inside=False).select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def verdicts(docs: DataFrame, shingle: int, similar: tuple[int, int], bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The same as near_duplicates, and each row's key."""
     sketched = written(sketches(docs, shingle, bands, rows), "sketches")
     # a class has one set, so all its rows have the same bands
     classes = written(
@@ -308,6 +322,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
     linked = written(_with(label, smallest, "class").select("class", "smallest"), "linked")
     alone = classes.select("class", F.col("doc_id").alias("own"))
     first = written(alone.join(linked, "class", "left").select("class", F.coalesce("smallest", "own").alias("first")), "first")
-    return sketched.select("doc_id", "n_shingles", "class").join(first, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("first", "doc_id"), F.lit(True)).alias("kept")
-    )
+    smallest_id = F.coalesce("first", "doc_id")
+    return sketched.select("doc_id", "key", "n_shingles", "class").join(first, "class", "left").select("doc_id", "n_shingles", smallest_id.alias("component_id"), F.col("doc_id").eqNullSafe(smallest_id).alias("kept"), "key")
