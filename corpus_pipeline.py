@@ -11,7 +11,7 @@ to one; empty tables give empty tables of the same columns.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import language, neardup, packing, substrings, toxicity
@@ -21,40 +21,38 @@ from weft.llm.scratch import table, written
 LEAST_LANGUAGE = 0.35
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """doc_id, text and all other columns as one, so that no name of theirs meets one that an operator adds; and how to get them back."""
+    own = ("doc_id", "text")
+    rest = [F.col(c) for c in docs.columns if c not in own] or [F.lit(None).cast("string").alias("none")]
+    return docs.select(*own, F.struct(*rest).alias("_rest")), [F.col(c) if c in own else F.col("_rest")[c].alias(c) for c in docs.columns]
+
+
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of operator 5, trained on all labels of the corpus."""
     model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    return toxicity.score(docs.withColumnsRenamed({"score": "_score"}), model).where(F.col("score") < toxicity.THRESHOLD).drop("score").withColumnsRenamed({"_score": "score"}).select(*columns)
+    rows, columns = _apart(docs)
+    return toxicity.score(rows, model).where(F.col("score") < toxicity.THRESHOLD).select(*columns)
 
 
 def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that operator 4 has learned from the corpus and is sure enough of."""
     net = language.train(docs)
-    columns = docs.columns
-    own = {"score": "_score", "lang_pred": "_lang_pred"}
-    told = language.predict(docs.withColumnsRenamed(own), net)
-    kept = told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).drop("score", "lang_pred")
-    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*columns)
+    rows, columns = _apart(docs)
+    return language.predict(rows, net).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates, once."""
-    verdict = neardup.near_duplicates(docs)
-    ids = written(verdict.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
-    stay = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    again = F.col("_id").isNotNull() & (F.col("_n") > 1)
-    if ids.where(again).limit(1).count():  # rows of equal ids and texts are one document
-        stay = stay.where(~again).unionByName(stay.where(again).dropDuplicates(["doc_id", "text"]))
-    return stay.select(*docs.columns)
+    rows, columns = _apart(docs)
+    return neardup.one_of_each_group(rows).select(*columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that operator 9 removes; those with nothing left go."""
-    cut = substrings.cut_texts(substrings.without_repeats(docs))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    rows, columns = _apart(docs)
+    cut = substrings.cut_texts(rows).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*columns)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
