@@ -1,4 +1,8 @@
-"""Literal cases of URL, text, mail, robots and listing functions."""
+"""Literal cases of URL, text, mail, robots and listing functions.
+
+Fixed values: listing lines, robots bodies, addresses and links of the cases are
+given formats, and must be read as they stand.
+"""
 
 import pytest
 from pyspark.sql import functions as F

@@ -1,6 +1,7 @@
 """Queries that plant known cases into the pages' rows: page p gets case p modulo their number.
 
-Expected values are written by hand from the stated rules, and are what the SQL
+Fixed values: inputs such as listing lines, robots bodies and addresses are given
+formats.  Expected values are written by hand from the stated rules, and are what the SQL
 returns; the Spark side computes them with the library's functions.
 """
 
