@@ -164,7 +164,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> D
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
-    side = lambda name, own: _some(sets, pairs.select(F.col(name).alias("class")).distinct()).select(F.col("class").alias(name), F.col("shingles").alias(own))
+    # written, so that no stage has two Python workers a task
+    few = written(_some(sets, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "few")
+    side = lambda name, own: few.select(F.col("class").alias(name), F.col("shingles").alias(own))
     with_sets = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return with_sets.select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary")
 

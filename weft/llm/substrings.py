@@ -333,7 +333,8 @@ def _apart(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame, Bro
 
 def _joined(some: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
     same = F.col("d._id").eqNullSafe(F.col("s._id")) & (F.col("d._hash") == F.col("s._hash"))
-    return some.alias("d").join(spans.alias("s"), same, "left").select(*[F.col(f"d.`{c}`") for c in columns], "spans")
+    # merged, not broadcast: the exchange keeps the Python steps on both sides of it in stages of their own
+    return some.alias("d").join(spans.hint("merge").alias("s"), same, "left").select(*[F.col(f"d.`{c}`") for c in columns], "spans")
 
 
 def _parted(docs: DataFrame, window: int, anchor: int, shard: int) -> tuple[DataFrame, DataFrame]:
