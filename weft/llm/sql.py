@@ -6,7 +6,7 @@ are tested against brute force on small frames, and the given tables have none.
 
 from __future__ import annotations
 
-from . import licenses, quality
+from . import divergence, licenses, quality
 
 
 def _list(words: list[str]) -> str:
@@ -81,4 +81,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM feature LEFT JOIN left_over USING (doc_id)
 """
 
-SQL = {"op3_license_scan": OP3, "op7_quality_rules": OP7}
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_WEIGHT = f"1 + CAST({{n}} + 1 AS HUGEINT) * {divergence.SCALE} // ({{total}} + v)"
+
+OP12 = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS terms
+  FROM documents),
+place AS (SELECT d, lang, source, unnest(terms) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM place GROUP BY lang, term HAVING count(DISTINCT d) >= {divergence.LEAST_DOCS}),
+size AS (SELECT l.lang, count(k.term) AS v, coalesce(sum(k.lang_n), 0) AS lang_total FROM (SELECT DISTINCT lang FROM doc) l LEFT JOIN kept k ON k.lang = l.lang GROUP BY l.lang),
+held AS (SELECT p.lang, p.source, p.term, count(*) AS n FROM place p JOIN kept k ON p.lang = k.lang AND p.term = k.term GROUP BY 1, 2, 3),
+grp AS (
+  SELECT g.lang, g.source, coalesce(sum(h.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source GROUP BY 1, 2),
+weight AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, {_WEIGHT.format(n="coalesce(h.n, 0)", total="g.total")} AS p, {_WEIGHT.format(n="k.lang_n", total="s.lang_total")} AS q
+  FROM grp g JOIN size s ON s.lang = g.lang JOIN kept k ON k.lang = g.lang LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN weight x ON x.lang = a.lang AND x.source = a.source LEFT JOIN weight y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 4
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM weight WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= {divergence.TOP}
+"""
+
+
+def _nearest(centroids: str) -> str:
+    """Each vector's nearest centroid of a table (c, x); ties to the smaller number."""
+    distance = "list_sum(list_transform(list_zip(v.x, m.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"SELECT v.row, v.vec_id, v.x, min(struct_pack(d := CAST({distance} AS BIGINT), c := m.c)) AS near FROM vec v, {centroids} m GROUP BY 1, 2, 3"
+
+
+def _next(centroids: str, assigned: str) -> str:
+    """Floors of the means by component; centroids without vectors stay."""
+    mean = f"SELECT c, i, (s - ((s % n) + n) % n) // n AS m FROM (SELECT near.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT near, x, unnest(range(1, 65)) AS i FROM {assigned}) GROUP BY 1, 2)"
+    return f"SELECT k.c, coalesce(list_sort(list({{'i': i, 'm': CAST(m AS BIGINT)}}) FILTER (m IS NOT NULL)).list_transform(lambda z: z.m), any_value(k.x)) AS x FROM {centroids} k LEFT JOIN ({mean}) n ON n.c = k.c GROUP BY k.c"
+
+
+OP13 = f"""
+WITH vec AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda z: CAST(floor(64 * CAST(z AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h, x FROM vec ORDER BY 1, 2 LIMIT 16)),
+a0 AS MATERIALIZED ({_nearest("c0")}), c1 AS MATERIALIZED ({_next("c0", "a0")}),
+a1 AS MATERIALIZED ({_nearest("c1")}), c2 AS MATERIALIZED ({_next("c1", "a1")}),
+a2 AS MATERIALIZED ({_nearest("c2")}), c3 AS MATERIALIZED ({_next("c2", "a2")}),
+a3 AS MATERIALIZED ({_nearest("c3")})
+SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, near.d AS distance, CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia, CAST(sum(near.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c3.x, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON c3.c = a3.near.c
+"""
+
+SQL = {"op3_license_scan": OP3, "op7_quality_rules": OP7, "op12_source_divergence": OP12, "op13_centroid_clustering": OP13}
