@@ -7,6 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound, record
 from .urls import part, unquote
 
 _V4 = r"[0-9]{1,3}(\.[0-9]{1,3}){3}"
@@ -83,17 +84,18 @@ def resolved(text: Column) -> Column:
     """Entities by name, decimal or hexadecimal number, once; unknown ones are left out."""
     names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
 
-    def one(piece: Column) -> Column:
-        inner = F.substring(piece, 2, F.length(piece) - 2)
-        digits = F.regexp_extract(piece, "^&#[xX]?([0-9A-Fa-f]+);$", 1)
-        number = F.when(piece.rlike("^&#[xX]"), F.conv(F.when(F.length(digits) <= 8, digits), 16, 10)).when(digits.rlike("^[0-9]+$"), F.when(F.length(digits) <= 8, digits))
-        return (
-            F.when(~piece.rlike(f"^{ENTITY}$"), piece).when(piece.startswith("&#"), F.coalesce(_character(number.cast("long")), F.lit("")))
-            .otherwise(F.coalesce(F.try_element_at(names, inner), F.lit("")))
-        )
-
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s){ENTITY}|[^&]+|&"), F.lit(0))
-    return F.when(text.rlike(ENTITY), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+    def one(p: Column) -> Column:
+        number = F.when(F.length(p.digits) <= 8, F.when(p.piece.rlike("^&#[xX]"), F.conv(p.digits, 16, 10)).when(p.digits.rlike("^[0-9]+$"), p.digits))
+        character = bound(number.cast("long"), _character)
+        return F.when(~p.piece.rlike(f"^{ENTITY}$"), p.piece).when(p.piece.startswith("&#"), F.coalesce(character, F.lit(""))).otherwise(
+            F.coalesce(F.try_element_at(names, F.substring(p.piece, 2, F.length(p.piece) - 2)), F.lit("")))
+
+    def parts(whole: Column) -> Column:
+        pieces = F.regexp_extract_all(whole, F.lit(f"(?s){ENTITY}|[^&]+|&"), F.lit(0))
+        with_digits = F.transform(pieces, lambda x: record(piece=x, digits=F.regexp_extract(x, "^&#[xX]?([0-9A-Fa-f]+);$", 1)))
+        return F.when(whole.contains("&"), F.array_join(F.transform(with_digits, one), "")).otherwise(whole)
+
+    return bound(text, parts)
 
 
 def without_comments(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables
+from ..functions.binding import bound, record
 from ..functions.scalars import resolved, unquoted, without_markup
 
 #: What is in a tag up to its >; possessive, so that an unclosed tag takes no stack.
@@ -25,31 +26,39 @@ NEAR = 256
 def start_tags(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """The start tags of each page: key, url, seq (token number), tag, body, and the base_ref that holds at each."""
     t = pages.select(key, "url", "html", F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)).alias("t"))
-    own = F.filter(F.transform("t", lambda x, i: F.named_struct(F.lit("seq"), i, F.lit("body"), x)), lambda x: x.body.rlike("(?i)^<base(?![a-zA-Z0-9])") & (F.coalesce(attribute(x.body, "href"), F.lit("")) != ""))
+    base = lambda x, i: F.when(x.rlike("(?i)^<base(?![a-zA-Z0-9])"), record(seq=i, href=attribute(x, "href")))
+    own = F.filter(F.transform("t", base), lambda b: F.coalesce(b.href, F.lit("")) != "")
     first = F.when(F.col("html").rlike("(?i)<base"), F.get(own, F.lit(0)))  # the first one that has a reference
     cut = t.select(key, "url", first.alias("base"), F.posexplode("t").alias("seq", "body"))
-    codebase = F.when(F.col("tag") == "applet", F.nullif(attribute(F.col("body"), "codebase"), F.lit("")))
     tags = cut.where(F.col("body").rlike("^<[a-zA-Z]")).select(
         key, "url", "seq", "base", F.lower(F.regexp_extract("body", "^<([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"), F.regexp_extract("body", _START, 1).alias("body"),
     )
-    return tags.select(key, "url", "seq", "tag", "body", F.coalesce(codebase, F.when(F.col("base.seq") <= F.col("seq"), attribute(F.col("base.body"), "href"))).alias("base_ref"))
+    codebase = F.when(F.col("tag") == "applet", F.nullif(attribute(F.col("body"), "codebase"), F.lit("")))
+    return tags.select(key, "url", "seq", "tag", "body", F.coalesce(codebase, F.when(F.col("base.seq") <= F.col("seq"), F.col("base.href"))).alias("base_ref"))
 
 
 def attribute(body: Column, name: str) -> Column:
     """The value of a tag's attribute, entities resolved; null if it has none."""
     raw = F.regexp_extract(body, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
-    return F.when(raw != "", resolved(unquoted(raw)))
+    return bound(raw, lambda x: F.when(x != "", resolved(unquoted(x))))
+
+
+def attributes(body: Column) -> Column:
+    """All attributes of a tag with a value, in order, as (name, value), entities resolved."""
+    pairs = F.transform(F.regexp_extract_all(body, F.lit(ATTRIBUTE), F.lit(0)), lambda x: record(name=F.lower(F.regexp_extract(x, ATTRIBUTE, 1)), value=unquoted(F.regexp_extract(x, ATTRIBUTE, 2))))
+    return F.transform(pairs, lambda p: record(name=p["name"], value=resolved(p.value)))
 
 
-def values(tag: Column, attr: Column, value: Column, body: Column) -> Column:
-    """The links that one attribute's value holds."""
-    http_equiv, rel = F.lower(attribute(body, "http-equiv")), F.lower(attribute(body, "rel"))
+def values(tag: Column, attr: Column, value: Column, attrs: Column) -> Column:
+    """The links that one attribute's value holds; attrs are all attributes of its tag."""
+    other = lambda name: F.lower(F.get(F.filter(attrs, lambda p: p["name"] == name), 0).value)
+    http_equiv, rel = other("http-equiv"), other("rel")
     refresh = F.regexp_extract(value, REFRESH, 1)
-    content = F.when((http_equiv == "refresh") & (refresh != ""), F.array(refresh)).when(F.lower(attribute(body, "scheme")) == "dcterms.uri", F.array(value))
+    content = F.when((http_equiv == "refresh") & (refresh != ""), F.array(refresh)).when(other("scheme") == "dcterms.uri", F.array(value))
     return (
         F.when((tag == "meta") & (attr == "content"), content)
         .when((tag == "meta") & (attr == "href"), F.when(rel.isin("shortcut icon", "icon"), F.array(value)))
-        .when((tag == "form") & (attr == "action"), F.when(F.coalesce(F.lower(attribute(body, "method")), F.lit("get")) != "post", F.array(value)))
+        .when((tag == "form") & (attr == "action"), F.when(F.coalesce(other("method"), F.lit("get")) != "post", F.array(value)))
         .when((tag == "link") & (rel == "dns-prefetch"), F.array(F.concat(F.lit("dns:"), F.regexp_replace(F.regexp_replace(value, "^[a-z]+:", ""), "/$", ""))))
         .when(attr == "archive", F.split(value, r"\s*,\s*"))
         .when(attr == "srcset", F.transform(F.split(value, ","), lambda x: F.split_part(F.trim(x), F.lit(" "), F.lit(1))))
@@ -66,11 +75,10 @@ def links(pages: DataFrame, tags: dict[str, str] = tables.LINK_TAGS, key: str =
     """
     wanted = F.create_map(*[F.lit(x) for tag, names in tags.items() for x in (tag, names)])
     names = F.split(F.concat_ws(" ", F.get(F.array(wanted[F.col("tag")]), 0), F.lit(tags.get("*", ""))), " ")
-    found = start_tags(pages, key).withColumn("names", names)
-    pair = found.select(key, "url", "seq", "tag", "body", "base_ref", "names", F.posexplode(F.regexp_extract_all("body", F.lit(ATTRIBUTE), F.lit(0))).alias("pos", "pair"))
-    named = pair.withColumn("attr", F.lower(F.regexp_extract("pair", ATTRIBUTE, 1))).where(F.array_contains("names", F.col("attr")))
-    value = resolved(unquoted(F.regexp_extract("pair", ATTRIBUTE, 2)))
-    return named.select(key, "url", "seq", "pos", "tag", "attr", F.explode(values(F.col("tag"), F.col("attr"), value, F.col("body"))).alias("raw_url"), "base_ref").where("raw_url <> ''")
+    found = start_tags(pages, key).where(F.col("body").contains("=")).select(key, "url", "seq", "tag", "base_ref", names.alias("names"), attributes(F.col("body")).alias("attrs"))
+    pair = found.select(key, "url", "seq", "tag", "base_ref", "names", "attrs", F.posexplode("attrs").alias("pos", "pair")).where(F.array_contains("names", F.col("pair.name")))
+    each = pair.select(key, "url", "seq", "pos", "tag", F.col("pair.name").alias("attr"), F.explode(values(F.col("tag"), F.col("pair.name"), F.col("pair.value"), F.col("attrs"))).alias("raw_url"), "base_ref")
+    return each.where("raw_url <> ''")
 
 
 def with_places(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -153,7 +161,7 @@ def forms(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Key, form (number from 1), action, and the named fields as (name, value)."""
     form = F.regexp_extract_all("html", F.lit(r"(?is)<form\b.*?(?:</form\s*>|\z)"), F.lit(0))
     each = pages.select(key, F.posexplode(form).alias("form", "body"))
-    fields = F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<input\b[^>]*>"), F.lit(0)), lambda x: F.struct(attribute(x, "name").alias("name"), attribute(x, "value").alias("value"))), lambda x: x["name"].isNotNull())
+    fields = F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<input\b[^>]*>"), F.lit(0)), lambda x: record(name=attribute(x, "name"), value=attribute(x, "value"))), lambda x: x["name"].isNotNull())
     return each.select(key, (F.col("form") + 1).alias("form"), attribute(F.regexp_extract("body", r"(?is)^(<form\b[^>]*>)", 1), "action").alias("action"), fields.alias("fields")).where("action is not null")
 
 

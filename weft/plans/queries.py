@@ -95,8 +95,8 @@ def u1_url_parts(spark, d):
 
 def u2_normalised_links(spark, d):
     """The links' URLs, joined to their pages and normalised, with cache keys."""
-    url = urls.normalise(F.col("url"))
-    return page_links(_table(spark, d, "pages")).select("page_id", F.col("seq").cast("long").alias("seq"), url.alias("url"), urls.cache_key(url).alias("cache_url"))
+    found = page_links(_table(spark, d, "pages")).select("page_id", F.col("seq").cast("long").alias("seq"), urls.normalise(F.col("url")).alias("url"))
+    return found.withColumn("cache_url", urls.cache_key(F.col("url")))
 
 
 def u7_query_params(spark, d):
@@ -153,9 +153,11 @@ def j1_link_results(spark, d):
 
 
 def j2_broken_by_host(spark, d):
-    links = page_links(_table(spark, d, "pages")).withColumn("cache_url", urls.cache_key(F.col("url")))
-    broken = joins.broken(links, targets(links)).groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n_broken"))
-    return links.groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n_links")).join(broken, "host", "left").select("host", "n_links", F.coalesce("n_broken", F.lit(0)).cast("long").alias("n_broken"))
+    """Links are counted by host and key before anything is joined, so that one on every page is a row for each host only."""
+    links = page_links(_table(spark, d, "pages"))
+    counted = joins.kept(links.groupBy(urls.host(F.col("url")).alias("host"), urls.cache_key(F.col("url")).alias("cache_url")).agg(F.count("*").alias("n")))
+    broken = joins.broken(counted, targets(counted.select(F.col("cache_url").alias("url")))).groupBy("host").agg(F.sum("n").alias("n_broken"))
+    return counted.groupBy("host").agg(F.sum("n").alias("n_links")).join(broken, "host", "left").select("host", "n_links", F.coalesce("n_broken", F.lit(0)).cast("long").alias("n_broken"))
 
 
 def j3_scope(spark, d):
