@@ -92,13 +92,28 @@ def for_aliases(results: DataFrame, ends: DataFrame) -> DataFrame:
     return results.unionByName(copies.select(*results.columns).join(results.select("cache_url"), "cache_url", "left_anti"))
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
+    """rows with numbers from 0 without gaps, in the given order.
+
+    Rows are dealt out by ranges of the order and sorted where they are; a row's
+    number is its place there behind the count of all ranges before, of which
+    there are as many as partitions.
+    """
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = kept(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_range": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def graph_nodes(records: DataFrame) -> DataFrame:
-    """The first valid record of each URL, numbered in order of seq.
+    """The first valid record of each URL, numbered from 0 without gaps in order of seq.
 
-    records has url, parent_url, label, valid and a unique, increasing seq.
+    records has url, parent_url, label, valid and a unique seq.
     """
     first = records.where("valid and url <> ''").groupBy("url").agg(F.min_by(F.struct("seq", "parent_url", "label"), "seq").alias("x")).select("url", "x.*")
-    return first.withColumn("id", F.col("seq"))
+    return numbered(first, ["seq"])
 
 
 def graph_edges(nodes: DataFrame) -> DataFrame:

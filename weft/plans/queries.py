@@ -287,7 +287,7 @@ def d2_all_links(spark, d):
     pages = _table(spark, d, "pages")
     i, path = F.col("page_id"), urls.part(F.col("url"), "path")
     kind = F.when(i % 4 == 0, "text/html").when(i % 4 == 1, "text/css").when(i % 4 == 2, "text/plain+urls").otherwise("application/xml+sitemap")
-    body = F.when(i % 4 == 0, F.concat(F.lit('<a href="'), path, F.lit('">'))).when(i % 4 == 1, F.concat(F.lit("a{b:url("), path, F.lit(")}"))).when(i % 4 == 2, F.concat(F.lit("# list\n"), "url")).otherwise(F.concat(F.lit("<urlset><url><loc>"), scalars.xml_escaped(F.col("url")), F.lit("</loc></url></urlset>")))
+    body = F.when(i % 4 == 0, F.concat(F.lit('<a href="'), path, F.lit('">'))).when(i % 4 == 1, F.concat(F.lit("a{b:url("), path, F.lit(")}"))).when(i % 4 == 2, F.concat(F.lit("# list\n"), "url")).otherwise(F.concat(F.lit("<urlset><url><loc>"), scalars.xml_escaped(F.col("url")), F.when(i % 8 == 7, "</loc></url><url><loc>cut").otherwise("</loc></url></urlset>")))
     headers = F.when(i % 5 == 0, F.create_map(F.lit("content-location"), F.concat(F.lit("/l"), i))).otherwise(F.create_map().cast("map<string,string>"))
     fetched = pages.select(F.concat(F.lit("http://h/"), i).alias("url"), kind.alias("content_type"), body.alias("body"), headers.alias("headers"))
     maps = robots.sitemaps(robots_bodies(pages))
@@ -305,9 +305,13 @@ def s6_sitemap_children(spark, d):
 
 
 def s10_bookmarks(spark, d):
-    """Each page as a bookmark two folders deep."""
-    body = F.concat(F.lit('{"roots":{"bar":{"type":"folder","children":[{"type":"folder","children":[{"type":"url","name":"n'), "page_id", F.lit('","url":"'), "url", F.lit('"}]},{"type":"url","name":"top","url":"t'), "page_id", F.lit('"}]}}}'))
-    return scans.bookmark_json(_table(spark, d, "pages").select(body.alias("body"))).select("url", "name")
+    """Each page as a bookmark below as many folders as its id says, up to 200, beside one at the top; some files are cut off."""
+    i = F.col("page_id")
+    depth, mark = F.pmod(i, F.lit(4)) * 66 + F.pmod(i, F.lit(3)), F.concat(F.lit('{"type":"url","name":"n'), i, F.lit('","url":"'), "url", F.lit('"}'))
+    folders = F.concat(F.repeat(F.lit('{"type":"folder","children":['), depth), mark, F.repeat(F.lit("]}"), depth))
+    body = F.concat(F.lit('{"roots":{"bar":{"type":"folder","children":['), folders, F.lit(',{"type":"url","name":"top","url":"t'), i, F.lit('"}]}}'), F.when(i % 5 == 4, "").otherwise("}"))
+    files = _table(spark, d, "pages").select("page_id", body.alias("body"))
+    return scans.bookmark_json(files).select("url", "name").unionByName(scans.bookmark_faults(files, "page_id").select(F.col("page_id").cast("string").alias("url"), F.col("msg").alias("name")))
 
 
 def s11_bookmark_tables(spark, d):
@@ -475,8 +479,21 @@ def s4_css_links(spark, d):
 
 
 def s5_sitemaps(spark, d):
-    body = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), scalars.xml_escaped(F.col("url")), F.lit("</loc></url></urlset>"))
-    return scans.sitemap(_table(spark, d, "pages").select("page_id", body.alias("body")), "page_id").select("page_id", "raw_url")
+    """Sitemaps of the pages' URLs, some of them cut off, empty, ill-nested or with a bare ampersand, as their ids say, and their warnings."""
+    i, loc = F.col("page_id") % 6, scalars.xml_escaped(F.col("url"))
+    told = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    body = (
+        F.when(i == 0, told('<?xml version="1.0"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><!-- <loc>no</loc> --><url><loc>\n', loc, " </loc></url></urlset>"))
+        .when(i == 1, told('<s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:url><s:loc><![CDATA[', F.col("url"), "]]></s:loc><s:x/></s:url></s:urlset>\n"))
+        .when(i == 2, told("<urlset><url><loc>", loc, "</loc></url>\n<url><loc>http://cut"))
+        .when(i == 3, "")
+        .when(i == 4, told("<urlset>\n<url><loc>", loc, "</loc>\n</urls><url><loc>http://late/</loc></url></urlset>"))
+        .otherwise(told("<urlset><url><loc>", loc, "</loc></url>\n<url><loc>http://h/?a&b=c</loc></url></urlset>"))
+    )
+    maps = _table(spark, d, "pages").select("page_id", body.alias("body"))
+    none = F.lit(None).cast("string")
+    warned = scans.sitemap_warnings(maps, "page_id").select("page_id", none.alias("raw_url"), F.concat("tag", F.lit(": "), "msg").alias("warning"))
+    return scans.sitemap(maps, "page_id").select("page_id", "raw_url", none.alias("warning")).unionByName(warned)
 
 
 def s8_binary_urls(spark, d):

@@ -54,7 +54,8 @@ record AS (
          (CASE WHEN status = 204 THEN 1 ELSE 0 END) + (CASE WHEN size > 20000 THEN 1 ELSE 0 END) AS n_warnings,
          concat_ws(chr(10), CASE WHEN status = 204 THEN 'No content' END, CASE WHEN size > 20000 THEN 'Content is too large' END) AS warning
   FROM pages p JOIN fetches f USING (page_id))"""
-_NODES = f"{_RECORDS}, node AS (SELECT * FROM record WHERE valid QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)"
+_NODES = f"""{_RECORDS}, first AS (SELECT * FROM record WHERE valid QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1),
+node AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS id FROM first)"""
 _LABEL = "trim(regexp_replace(label, '[^-A-Za-z0-9_.,:/ ]', ' ', 'g'))"
 
 _ROBOTS = """body AS (SELECT origin, length(origin) % 4 AS n FROM (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages))"""
@@ -128,12 +129,12 @@ WITH RECURSIVE {_FETCHES},
 hop AS (SELECT {_KEY.replace('url', 'a.url')} AS from_url, min({_KEY.replace('url', 'b.url')}) AS to_url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 8 IN (3, 4, 5) AND a.page_id % 20 <> 7 GROUP BY 1),
 chain AS (SELECT from_url, to_url, 1 AS hops FROM hop UNION ALL SELECT c.from_url, h.to_url, c.hops + 1 FROM chain c JOIN hop h ON c.to_url = h.from_url WHERE c.hops < 10)
 SELECT c.from_url, c.to_url AS final_url, CAST(c.hops AS BIGINT) AS hops, CAST(f.status AS BIGINT) AS status FROM chain c LEFT JOIN hop h ON c.to_url = h.from_url LEFT JOIN fetches f ON f.url = c.to_url WHERE h.from_url IS NULL""",
-    "j9_graph": f"WITH {_NODES} SELECT p.seq AS source_id, r.seq AS target_id, r.label FROM node r JOIN node p ON r.parent_url = p.url",
+    "j9_graph": f"WITH {_NODES} SELECT p.id AS source_id, r.id AS target_id, r.label FROM node r JOIN node p ON r.parent_url = p.url",
     "k6_dot": f"""
 WITH {_NODES}
 SELECT CAST(0 AS BIGINT) AS part, CAST(NULL AS BIGINT) AS id, 'digraph G {{' AS value UNION ALL SELECT 3, NULL, '}}'
-UNION ALL SELECT 1, seq, '  n' || seq || ' [label="' || {_LABEL} || '"];' FROM node
-UNION ALL SELECT 2, r.seq, '  n' || p.seq || ' -> n' || r.seq || ' [label="' || {_LABEL.replace('label', 'r.label')} || '"];' FROM node r JOIN node p ON r.parent_url = p.url""",
+UNION ALL SELECT 1, id, '  n' || id || ' [label="' || {_LABEL} || '"];' FROM node
+UNION ALL SELECT 2, r.id, '  n' || p.id || ' -> n' || r.id || ' [label="' || {_LABEL.replace('label', 'r.label')} || '"];' FROM node r JOIN node p ON r.parent_url = p.url""",
     "j11_locations": "SELECT user_id, (user_id % 256) || '.1.2.3' AS ip, 'country' || ((user_id % 256) % 7) AS country, 'city' || (user_id % 256) AS city FROM (SELECT DISTINCT user_id FROM events)",
     "j14_mail_hosts": """
 WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@([A-Za-z0-9.]+)', 1)) AS domain FROM documents)
@@ -170,7 +171,10 @@ SQL |= {
     "s2_url_list": f"SELECT {_HOST} AS host, CAST(row_number() OVER (PARTITION BY {_HOST} ORDER BY url) + 2 AS BIGINT) AS line, url AS raw_url FROM pages",
     "s3_seed_words": f"SELECT url AS raw_url FROM pages UNION ALL SELECT {_SCHEME} || '://' || {_NETLOC} || '/robots.txt' FROM pages",
     "s4_css_links": f"SELECT page_id, CAST(1 AS BIGINT) AS line, {_PATH} AS raw_url FROM pages UNION ALL SELECT page_id, 2, 'y' || page_id FROM pages",
-    "s5_sitemaps": "SELECT page_id, url AS raw_url FROM pages",
+    "s5_sitemaps": """
+SELECT page_id, url AS raw_url, CAST(NULL AS VARCHAR) AS warning FROM pages WHERE page_id % 6 <> 3
+UNION ALL SELECT page_id, NULL, CASE page_id % 6 WHEN 2 THEN 'xml-parse-error: not well-formed at line 2' WHEN 3 THEN 'xml-parse-error: not well-formed at line 1' WHEN 4 THEN 'xml-parse-error: not well-formed at line 3' ELSE 'xml-parse-error: not well-formed at line 2' END
+FROM pages WHERE page_id % 6 > 1""",
     "s8_binary_urls": f"SELECT page_id, {_SCHEME} || '://' || {_NETLOC} || '/robots.txt' AS raw_url FROM pages",
     "s9_markdown_links": "SELECT page_id, CAST(0 AS BIGINT) AS n, url AS raw_url FROM pages UNION ALL SELECT page_id, 1, '/p' || page_id FROM pages",
     "s13_directory": f"SELECT '/' || {_HOST} || '/' AS parent_url, page_id || '.html' AS raw_url FROM pages",
@@ -236,7 +240,7 @@ UNION ALL SELECT 'http://h/' || page_id, 'header', NULL, '/l' || page_id FROM pa
 UNION ALL SELECT origin, 'robots', 9, '/s.xml' FROM body WHERE n = 2
 UNION ALL SELECT NULL, 'bookmark', NULL, url FROM pages WHERE page_id % 6 = 0""",
     "s6_sitemap_children": "SELECT 'http://h/' || page_id || '.xml' AS url, url AS raw_url FROM pages WHERE page_id % 3 > 0",
-    "s10_bookmarks": "SELECT url, 'n' || page_id AS name FROM pages UNION ALL SELECT 't' || page_id, 'top' FROM pages",
+    "s10_bookmarks": "SELECT url, 'n' || page_id AS name FROM pages WHERE page_id % 5 <> 4 UNION ALL SELECT 't' || page_id, 'top' FROM pages WHERE page_id % 5 <> 4 UNION ALL SELECT CAST(page_id AS VARCHAR), 'no JSON' FROM pages WHERE page_id % 5 = 4",
     "s11_bookmark_tables": "SELECT url, CASE WHEN page_id % 4 = 0 THEN url ELSE 't' || page_id END AS name FROM pages WHERE page_id % 2 = 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0",
     "f17_missing_slashes": "SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 2 = 0 THEN 'file-missing-slash' END AS tag FROM pages",
     "p1_enabled_rules": f"WITH {_FETCHES} SELECT page_id, CASE WHEN size > 20000 THEN 'url-content-too-large' ELSE '' END AS tags, CASE WHEN content_type LIKE 'text/%' THEN string_split(content_type, ';')[1] ELSE '' END AS info FROM fetches",
@@ -253,13 +257,13 @@ SELECT url, '<urldata><url>' || {_XML('url')} || '</url>' || coalesce('<name>' |
     "k6_gml": f"""
 WITH {_NODES}
 SELECT CAST(0 AS BIGINT) AS part, CAST(NULL AS BIGINT) AS id, 'graph [ directed 1' AS value UNION ALL SELECT 3, NULL, ']'
-UNION ALL SELECT 1, seq, '  node [ id ' || seq || ' label "' || {_LABEL} || '" ]' FROM node
-UNION ALL SELECT 2, r.seq, '  edge [ source ' || p.seq || ' target ' || r.seq || ' label "' || {_LABEL.replace('label', 'r.label')} || '" ]' FROM node r JOIN node p ON r.parent_url = p.url""",
+UNION ALL SELECT 1, id, '  node [ id ' || id || ' label "' || {_LABEL} || '" ]' FROM node
+UNION ALL SELECT 2, r.id, '  edge [ source ' || p.id || ' target ' || r.id || ' label "' || {_LABEL.replace('label', 'r.label')} || '" ]' FROM node r JOIN node p ON r.parent_url = p.url""",
     "k6_graphxml": f"""
 WITH {_NODES}
 SELECT CAST(0 AS BIGINT) AS part, CAST(NULL AS BIGINT) AS id, '<GraphXML><graph isDirected="true">' AS value UNION ALL SELECT 3, NULL, '</graph></GraphXML>'
-UNION ALL SELECT 1, seq, '  <node name="' || seq || '"><label>' || {_XML_ALL('label')} || '</label></node>' FROM node
-UNION ALL SELECT 2, r.seq, '  <edge source="' || p.seq || '" target="' || r.seq || '"/>' FROM node r JOIN node p ON r.parent_url = p.url""",
+UNION ALL SELECT 1, id, '  <node name="' || id || '"><label>' || {_XML_ALL('label')} || '</label></node>' FROM node
+UNION ALL SELECT 2, r.id, '  <edge source="' || p.id || '" target="' || r.id || '"/>' FROM node r JOIN node p ON r.parent_url = p.url""",
     "k8_failure_table": f"""
 WITH a AS ({_STREAK.format(0)}), b AS ({_STREAK.format(1)}), v AS (SELECT DISTINCT user_id FROM events WHERE event_type <> 'error' AND event_id % 2 = 1),
 m AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS now FROM a FULL JOIN b ON a.user_id = b.user_id)

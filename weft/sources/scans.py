@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..functions.scalars import mime, unquoted, without_comments, xml_escaped
+from ..functions.binding import record
+from ..functions.scalars import mime, resolved, unquoted, without_comments, xml_escaped
 from ..functions.urls import SAFE, part, quote, unquote
 from ..operators.extract import CSS_URL, links
+from ..operators.joins import kept
 
 _LINE = "\r\n|\r|\n"
 
@@ -32,9 +34,77 @@ def css(files: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
     return found.select(key, "line", "n", unquoted(F.col("raw")).alias("raw_url"))
 
 
+_NAME = r"[A-Za-z_:][\w:.-]*"
+_REFERENCE = r"&(?:lt|gt|amp|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);"
+_QUOTED = rf"""(?:"(?:[^"<&]|{_REFERENCE})*+"|'(?:[^'<&]|{_REFERENCE})*+')"""
+_XML_TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE(?:[^\[>]|\[[^\]]*\])*+>|<(?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|[^<]++|<"""
+_XML_TAG = rf"(?s)^<({_NAME})(?:\s+{_NAME}\s*=\s*{_QUOTED})*+\s*+/?>$"
+_LOC = r"(?s)<(?:[\w.-]+:)?loc(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?loc\s*>"
+
+
+def _xml_fault(tokens: Column) -> Column:
+    """The number of the first token at which a document is not well-formed (from 0; their count if it ends too early); null if it is.
+
+    The names of open elements are a path in the state, so a document may be as deep as it likes.
+    """
+    state = lambda path, done, fault: record(path=path, done=done, fault=fault)
+
+    def step(s: Column, x: Column) -> Column:
+        bad = state(s.path, s.done, x.at)
+        outside, pushed, popped = s.path == "", F.concat(s.path, F.lit("/"), x["name"]), F.left(s.path, F.length(s.path) - F.length(x["name"]) - 1)
+        return (
+            F.when(s.fault.isNotNull() | (x.kind == "other"), s)
+            .when(x.kind == "open", F.when(outside & s.done, bad).otherwise(state(pushed, s.done, s.fault)))
+            .when(x.kind == "empty", F.when(outside & s.done, bad).otherwise(state(s.path, s.done | outside, s.fault)))
+            .when(x.kind == "close", F.when(s.path.endswith(F.concat(F.lit("/"), x["name"])), state(popped, s.done | (popped == ""), s.fault)).otherwise(bad))
+            .when(x.kind == "text", F.when(outside, bad).otherwise(s))
+            .otherwise(bad)
+        )
+
+    def kind(x: Column, i: Column) -> Column:
+        tag = x.rlike(_XML_TAG)
+        return (
+            F.when(x.startswith("<!--") | x.startswith("<!DOCTYPE") | (x.startswith("<?") & (~x.rlike(r"^<\?xml\s") | (i == 0))) | x.rlike(r"^\s+$"), "other")
+            .when(x.startswith("<![CDATA["), "text").when(x.rlike(rf"^</{_NAME}\s*>$"), "close").when(tag & x.endswith("/>"), "empty").when(tag, "open")
+            .when(~x.startswith("<") & x.rlike(rf"^(?:[^&]|{_REFERENCE})*+$"), "text").otherwise("fault")
+        )
+
+    each = F.transform(tokens, lambda x, i: record(at=i, kind=kind(x, i), name=F.regexp_extract(x, rf"^</?({_NAME})", 1)))
+    start = state(F.lit(""), F.lit(False), F.lit(None).cast("int"))
+    return F.aggregate(each, start, step, lambda s: F.coalesce(s.fault, F.when((s.path != "") | ~s.done, F.size(tokens))))
+
+
+def _loc_text(x: Column) -> Column:
+    """What an element holds: its text and sections of raw text, without tags in it."""
+    pieces = F.regexp_extract_all(x, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|[^<]+"), F.lit(0))
+    text = F.array_join(F.transform(F.when(x.contains("<"), pieces).otherwise(F.array(x)), lambda t: F.when(t.startswith("<![CDATA["), F.substring(t, 10, F.length(t) - 12)).otherwise(resolved(t))), "")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def sitemap_contents(files: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
+    """Key, locs (array) and warning (tag, msg; null if the body is well-formed XML).
+
+    A body that is not is read up to its first fault, never given up as a whole.
+    """
+    tokens = files.where(F.col(body).isNotNull()).select(key, F.regexp_extract_all(body, F.lit(_XML_TOKEN), F.lit(0)).alias("t"))
+    judged = tokens.select(key, "t", _xml_fault(F.col("t")).alias("fault"))
+    sound = F.when(F.col("fault").isNull(), F.col("t")).otherwise(F.slice("t", 1, F.greatest(F.col("fault"), F.lit(0))))
+    text = F.array_join(F.filter(sound, lambda x: ~x.startswith("<!--")), "")
+    read = judged.select(key, "fault", text.alias("text"))
+    line = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    warning = F.when(F.col("fault").isNotNull(), F.struct(F.lit("xml-parse-error").alias("tag"), F.concat(F.lit("not well-formed at line "), line).alias("msg")))
+    locs = F.filter(F.transform(F.regexp_extract_all("text", F.lit(_LOC), F.lit(1)), _loc_text), lambda x: x != "")
+    return read.select(key, locs.alias("locs"), warning.alias("warning"))
+
+
 def sitemap(files: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
-    """Every loc, of pages or of further sitemaps."""
-    return files.select(key, F.posexplode(F.xpath(F.col(body), F.lit('//*[local-name()="loc"]/text()'))).alias("n", "raw")).select(key, "n", F.trim("raw").alias("raw_url"))
+    """Every loc, of pages or of further sitemaps; of a faulty body those that stand before the fault."""
+    return sitemap_contents(files, key, body).select(key, F.posexplode("locs").alias("n", "raw_url"))
+
+
+def sitemap_warnings(files: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
+    """Key, tag and msg of every body that is not well-formed."""
+    return sitemap_contents(files, key, body).where("warning is not null").select(key, "warning.*")
 
 
 def sitemap_children(indexes: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -72,18 +142,37 @@ def markdown(files: DataFrame, key: str = "url", body: str = "body") -> DataFram
     return each.select(key, "n", F.regexp_replace(got, r"[\r\n]", "").alias("raw_url"), line.alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("col"))
 
 
-def bookmark_json(files: DataFrame, column: str = "body", depth: int = 32) -> DataFrame:
-    """(url, name) of all bookmarks below the roots, by levels of folders."""
-    node = files.select(F.explode(F.map_values(F.from_json(F.get_json_object(column, "$.roots"), "map<string,string>"))).alias("node"))
-    found = None
-    for _ in range(depth):
-        level = node.select(F.get_json_object("node", "$.type").alias("type"), F.get_json_object("node", "$.url").alias("url"), F.get_json_object("node", "$.name").alias("name"), F.get_json_object("node", "$.children").alias("children"))
-        here = level.where("type = 'url' and url is not null").select("url", "name")
+#: Levels of folders that one job goes through.
+_LEVELS = 16
+
+
+def bookmark_json(files: DataFrame, column: str = "body") -> DataFrame:
+    """(url, name) of all bookmarks below the roots, at any depth.
+
+    A body is parsed once, to a variant.  A job opens the folders of several
+    levels, in one pass each; what are folders still is written and opened by the
+    next job.  Bodies that are not such JSON have none; see bookmark_faults.
+    """
+    roots = F.try_variant_get(F.try_parse_json(column), "$.roots", "map<string,variant>")
+    node, found = files.select(F.explode(F.map_values(roots)).alias("node")), None
+    of = lambda name: F.try_variant_get("node", f"$.{name}", "string")
+    while True:
+        for _ in range(_LEVELS):
+            children = F.coalesce(F.try_variant_get("node", "$.children", "array<variant>"), F.array().cast("array<variant>"))
+            node = node.select(F.explode(F.when(of("type") == "folder", children).otherwise(F.array("node"))).alias("node"))
+        level = kept(node.where(of("type").isin("url", "folder")))
+        here = level.where((of("type") == "url") & of("url").isNotNull()).select(of("url").alias("url"), of("name").alias("name"))
         found = here if found is None else found.unionByName(here)
-        node = level.where("children is not null").select(F.explode(F.from_json("children", "array<string>")).alias("node"))
+        node = level.where(of("type") == "folder")
         if not node.limit(1).count():
-            break
-    return found
+            return found
+
+
+def bookmark_faults(files: DataFrame, key: str = "url", column: str = "body") -> DataFrame:
+    """The bodies that are not bookmark files: no JSON (or nested deeper than the parser's 1000 levels), or without roots."""
+    value = F.try_parse_json(column)
+    msg = F.when(value.isNull(), "no JSON").when(F.try_variant_get(value, "$.roots", "map<string,variant>").isNull(), "no roots")
+    return files.where(F.col(column).isNotNull()).select(key, F.lit("json-parse-error").alias("tag"), msg.alias("msg")).where("msg is not null")
 
 
 def bookmark_tables(places: DataFrame, bookmarks: DataFrame) -> DataFrame:
