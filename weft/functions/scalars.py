@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from email.utils import getaddresses
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .binding import bound, record
 from .urls import part, unquote
@@ -198,10 +201,36 @@ def tls_time(text: Column) -> Column:
     return F.coalesce(F.timestamp_seconds(at), F.try_to_timestamp(named, F.lit("MMM d HH:mm:ss yyyy")))
 
 
-def mail_addresses(url: Column) -> Column:
-    """Of a mailto URL: its path and its to, cc and bcc; a comma within quotation marks does not part addresses."""
+@F.arrow_udf(ArrayType(StringType()))
+def _listed(texts: pa.Array) -> pa.Array:
+    """The addresses of lists with groups, comments or quoted marks; null for null."""
+    out = []
+    for text in texts.to_pylist():
+        out.append(None if text is None else [a.strip() for _, a in getaddresses([text], strict=False) if a.strip()])
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def with_mail_addresses(rows: DataFrame, url: str, name: str = "addresses") -> DataFrame:
+    """Rows with the addresses of a column of mailto URLs, sorted and each once.
+
+    Lists with the marks of groups, comments or quoted pairs go through a lexer
+    of mail headers in batches; for all others the lexer sees nulls only.
+    """
+    lists = _mail_lists(F.col(url))
+    hard = F.exists(lists, lambda x: x.rlike(r"[():;\\]"))
+    lexed = rows.withColumn("_lexed", _listed(F.when(hard, F.array_join(lists, ","))))
+    return lexed.withColumn(name, F.coalesce(F.array_sort(F.array_distinct("_lexed")), mail_addresses(F.col(url)))).drop("_lexed")
+
+
+def _mail_lists(url: Column) -> Column:
+    """The lists of addresses in a mailto URL: its path and its to, cc and bcc."""
     path = F.regexp_extract(url, "(?i)^mailto:([^?#]*)", 1)
     more = F.transform(F.filter(F.split(part(url, "query"), "[&;]"), lambda x: x.rlike("(?i)^(to|cc|bcc)=")), lambda x: F.regexp_replace(x, "^[^=]*=", ""))
-    every = F.flatten(F.transform(F.concat(F.array(path), more), lambda x: F.regexp_extract_all(unquote(x), F.lit(r'(?:"[^"]*"|[^,"]|")+'), F.lit(0))))
+    return F.filter(F.transform(F.concat(F.array(path), more), unquote), lambda x: x != "")
+
+
+def mail_addresses(url: Column) -> Column:
+    """Of a mailto URL: its path and its to, cc and bcc; a comma within quotation marks does not part addresses."""
+    every = F.flatten(F.transform(_mail_lists(url), lambda x: F.regexp_extract_all(x, F.lit(r'(?:"[^"]*"|[^,"]|")+'), F.lit(0))))
     bare = F.transform(every, lambda x: F.when(x.rlike("<[^>]+>"), F.regexp_extract(x, "<([^>]+)>", 1)).otherwise(F.trim(x)))
     return F.array_sort(F.array_distinct(F.filter(bare, lambda x: x != "")))

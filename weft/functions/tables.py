@@ -27,18 +27,21 @@ CHARSETS = ("utf-8", "iso-8859-1", "iso-8859-15")
 
 # Schemes by what can be said of their links; all others are unknown.
 CHECKED = {"http": "http", "https": "http", "ftp": "ftp", "file": "file", "telnet": "telnet", "mailto": "mailto", "nntp": "nntp", "news": "nntp", "snews": "nntp", "dns": "dns", "itms-services": "itms-services"}
-#: Registered schemes that are fine in syntax but cannot be checked; callers add others.
+# Schemes that are fine in syntax but cannot be checked; those above are looked up first.
 IGNORED = [
-    "aaa", "aaas", "about", "acap", "acct", "cap", "cid", "coap", "coaps", "crid", "data", "dav", "dict", "geo", "go", "gopher", "h323", "iax",
+    "aaa", "aaas", "about", "acap", "acct", "cap", "cid", "coap", "coaps", "crid", "data", "dav", "dict", "dns", "geo", "go", "gopher", "h323", "iax",
     "icap", "im", "imap", "info", "ipp", "iris", "iris.beep", "iris.lwz", "iris.xpc", "iris.xpcs", "jabber", "ldap", "mid", "msrp", "msrps", "mtqp",
     "mupdate", "nfs", "ni", "nih", "opaquelocktoken", "pop", "pres", "reload", "rtsp", "rtsps", "rtspu", "service", "session", "shttp", "sieve",
-    "sip", "sips", "sms", "snmp", "soap.beep", "soap.beeps", "stun", "stuns", "tag", "tel", "tftp", "thismessage", "tip", "tn3270", "turn", "turns",
-    "tv", "urn", "vemmi", "ws", "wss", "xcon", "xcon-userid", "xmlrpc.beep", "xmlrpc.beeps", "xmpp", "z39.50r", "z39.50s", "adiumxtra", "afp", "afs",
-    "aim", "apt", "attachment", "aw", "barion", "beshare", "bitcoin", "bolo", "callto", "chrome", "chrome-extension", "content", "cvs", "dtn", "dvb",
-    "ed2k", "facetime", "feed", "finger", "fish", "git", "gizmoproject", "gtalk", "hcp", "icon", "irc", "irc6", "ircs", "javascript", "jms",
-    "keyparc", "lastfm", "magnet", "maps", "market", "message", "mms", "mumble", "mvn", "notes", "oid", "paparazzi", "platform", "proxy", "psyc",
-    "query", "res", "resource", "rmi", "rsync", "rtmp", "secondlife", "sftp", "sgn", "skype", "smb", "soldat", "spotify", "ssh", "steam", "svn",
-    "teamspeak", "things", "udp", "unreal", "ut2004", "ventrilo", "view-source", "webcal", "wtai", "wyciwyg", "xfire", "xri", "ymsgr",
+    "sip", "sips", "sms", "snmp", "soap.beep", "soap.beeps", "stun", "stuns", "tag", "tel", "telnet", "tftp", "thismessage", "tip", "tn3270", "turn",
+    "turns", "tv", "urn", "vemmi", "ws", "wss", "xcon", "xcon-userid", "xmlrpc.beep", "xmlrpc.beeps", "xmpp", "z39.50r", "z39.50s", "adiumxtra",
+    "afp", "afs", "aim", "apt", "attachment", "aw", "barion", "beshare", "bitcoin", "bolo", "callto", "chrome", "chrome-extension",
+    "com-eventbrite-attendee", "content", "cvs", "dlna-playcontainer", "dlna-playsingle", "dtn", "dvb", "ed2k", "facetime", "feed", "feedready",
+    "finger", "fish", "gg", "git", "gizmoproject", "gtalk", "ham", "hcp", "icon", "ipn", "irc", "irc6", "ircs", "itms", "jar", "jms", "keyparc",
+    "lastfm", "ldaps", "magnet", "maps", "market", "message", "mms", "ms-help", "ms-settings-power", "msnim", "mumble", "mvn", "notes", "oid", "palm",
+    "paparazzi", "pkcs11", "platform", "proxy", "psyc", "query", "res", "resource", "rmi", "rsync", "rtmp", "secondlife", "sftp", "sgn", "skype",
+    "smb", "smtp", "soldat", "spotify", "ssh", "steam", "submit", "svn", "teamspeak", "things", "udp", "unreal", "ut2004", "ventrilo", "view-source",
+    "webcal", "wtai", "wyciwyg", "xfire", "xri", "ymsgr", "fax", "mailserver", "modem", "pack", "prospero", "snews", "videotex", "wais", "z39.50",
+    "clsid", "find", "isbn", "javascript",
 ]
 
 # Default ports, and heads of files by content type, in order.

@@ -153,30 +153,48 @@ def resolves(hosts: DataFrame, dns: DataFrame) -> DataFrame:
     return hosts.select("host").distinct().join(dns.where("type = 'A'").select(F.col("domain").alias("host"), F.lit(True).alias("valid")).distinct(), "host", "left").fillna(False, ["valid"])
 
 
+def within_budget(occurrences: DataFrame, budget: int, order: Sequence[str] = ("level", "seq"), key: str = "url") -> DataFrame:
+    """L1: the occurrences up to the one that brings the budget's last new key; all later ones go, known or not.
+
+    order names columns that no two occurrences share.  First occurrences are
+    numbered across partitions, and the place of the last one is one row.
+    """
+    place = F.struct(*order)
+    first = occurrences.groupBy(key).agg(F.min(place).alias("_first")).select("_first.*")
+    cut = numbered(first, order, "_n").where(F.col("_n") == budget - 1).select(place.alias("_cut"))
+    if budget <= 0:
+        return occurrences.limit(0)
+    return occurrences.join(F.broadcast(cut.agg(F.min("_cut").alias("_cut")))).where(F.col("_cut").isNull() | (place <= F.col("_cut"))).drop("_cut")
+
+
 def crawl(seeds: DataFrame, links: DataFrame, results: DataFrame, max_level: int | None = None, budget: int | None = None) -> DataFrame:
     """Url and level of all that is reached from the seeds.
 
-    seeds has url; links has parent_url and url; results has url and recurse,
+    seeds has url; links has parent_url and url; both may have seq, the order of
+    their occurrences (else that of their names).  results has url and recurse,
     whether a page's links are followed.  A round expands one level; what was
     seen is left out, and the rounds end when nothing new is found, or at
-    max_level, if it is given (L2), or when budget new URLs were taken, those
-    of a level by their names (L1).
+    max_level, if it is given (L2), or when budget new URLs were taken, in the
+    order of their first occurrences (L1).
     """
     follow = results.where("recurse").select(F.col("url").alias("parent_url")).distinct()
-    edges = kept(links.select("parent_url", "url").distinct().join(follow, "parent_url", "left_semi"))
+    ordered = lambda df: df if budget is not None and "seq" in df.columns else df.withColumn("seq", F.lit(0))
+    edges = kept(ordered(links).groupBy("parent_url", "url").agg(F.min("seq").alias("seq")).join(follow, "parent_url", "left_semi"))
     taken = 0
 
     def within(found: DataFrame) -> DataFrame:
-        return found if budget is None else found.orderBy("url").limit(budget - taken)
+        """The URLs of a level's new occurrences, as far as the budget goes."""
+        first = found.groupBy("url").agg(F.min("seq").alias("seq"))
+        return (first if budget is None else numbered(first, ["seq", "url"], "n").where(F.col("n") < budget - taken)).select("url")
 
-    frontier = kept(within(seeds.select("url").distinct()).withColumn("level", F.lit(0)))
+    frontier = kept(within(ordered(seeds).select("url", "seq")).withColumn("level", F.lit(0)))
     seen = frontier
     for level in itertools.count(1) if max_level is None else range(1, max_level + 1):
         n = frontier.count()
         taken += n
         if not n or taken == budget:
             break
-        found = edges.join(frontier.select(F.col("url").alias("parent_url")), "parent_url").select("url").distinct()
+        found = edges.join(frontier.select(F.col("url").alias("parent_url")), "parent_url").select("url", "seq")
         frontier = kept(within(found.join(seen, "url", "left_anti")).withColumn("level", F.lit(level)))
         seen = seen.unionByName(frontier)
         if level % 16 == 0:

@@ -24,6 +24,25 @@ def statistics(records: DataFrame) -> DataFrame:
     )
 
 
+#: Precision of sketches of distinct keys: 2 ** SKETCH_BITS registers, a standard error of 0.8 %.
+SKETCH_BITS = 14
+
+
+def volume(records: DataFrame) -> DataFrame:
+    """G4 as a state that can be kept and merged: bytes, and a sketch of the result keys; one row."""
+    return records.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.hll_sketch_agg("cache_url", SKETCH_BITS).alias("keys"))
+
+
+def merged_volume(states: DataFrame) -> DataFrame:
+    """The state of several runs together, each key counted once."""
+    return states.agg(F.sum("bytes").alias("bytes"), F.hll_union_agg("keys").alias("keys"))
+
+
+def volume_of(states: DataFrame) -> DataFrame:
+    """Bytes and about how many results a state stands for."""
+    return states.select("bytes", F.hll_sketch_estimate("keys").alias("results"))
+
+
 def content_kinds(records: DataFrame) -> DataFrame:
     """Kind and number, with rows for kinds that do not occur."""
     family = F.split_part(scalars.mime(F.col("content_type")), F.lit("/"), F.lit(1))

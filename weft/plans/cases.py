@@ -55,7 +55,7 @@ SCALARS: dict[str, tuple[Callable[..., Column], list[tuple]]] = {
     "u16_guessed": (lambda x: urls.fix_typos(urls.guess(x)), [("www.x.org", "http://www.x.org"), ("WWW.x", "http://WWW.x"), ("ftp.x.org", "ftp://ftp.x.org"), ("http//x", "http://x"), ("https//x", "https://x"), ("x.org", "x.org"), ("http://x", "http://x")]),
     "u18_scheme_classes": (urls.scheme_class, [
         ("http://x", "http"), ("HTTPS://x", "http"), ("ftp://x", "ftp"), ("file:///x", "file"), ("telnet://x", "telnet"), ("mailto:x", "mailto"), ("nntp://x", "nntp"), ("news:x", "nntp"), ("dns:x", "dns"), ("itms-services://x", "itms-services"),
-        ("skype:x", "ignored"), ("irc://x", "ignored"), ("steam://x", "ignored"), ("feed:x", "ignored"), ("javascript:x", "ignored"), ("nosuch:x", "unknown"), ("x", "unknown"),
+        ("skype:x", "ignored"), ("irc://x", "ignored"), ("steam://x", "ignored"), ("feed:x", "ignored"), ("javascript:x", "ignored"), ("nosuch:x", "unknown"), ("LDAPS://h", "ignored"), ("jar:x", "ignored"), ("isbn:1", "ignored"), ("fax:1", "ignored"), ("ms-help://x", "ignored"), ("smtp://h", "ignored"), ("z39.50://h", "ignored"), ("snews:x", "nntp"), ("x", "unknown"),
     ]),
     "u20_quoting": (lambda x: _flag(urls.needs_quoting(x)), [("http://h/a", "no"), ("http://h/a ", "yes"), ("http://h/a b", "yes"), ("http://h/ü", "yes"), ("a?b=c&d#e", "no"), ("a\\b", "yes"), ("a|b", "yes")]),
     "u21_safe_parts": (lambda kind, x: _flag(F.reduce(F.array(*[(kind == k) & urls.is_safe(x, k) for k in urls.SAFE]), F.lit(False), lambda a, b: a | b)), [
@@ -183,7 +183,16 @@ TABLES: dict[str, tuple[Callable[[DataFrame], DataFrame], list[tuple[str, list[s
     "s7_wml": (lambda df: scans.wml(_pages_of("html")(df)).select("page_id", F.struct("seq", "pos").alias("o"), F.concat_ws(" ", "tag", "raw_url").alias("value")), [('<wml><a href="a">x</a><go href="b"/><img src="c"/><link href="no"/></wml>', ["a a", "go b", "img c"]), ("<card/>", [])]),
     "s8_binary": (lambda df: scans.binary_urls(df.select("page_id", F.encode("a", "ISO-8859-1").alias("content")), "page_id").select("page_id", F.col("n").alias("o"), F.col("raw_url").alias("value")), [("\x01ÿhttp://a.b/c\x00ftp://d.e\x02", ["http://a.b/c", "ftp://d.e"]), ("gopher://x", []), ("xhttps://h:8080/p#f<", ["https://h:8080/p#f"])]),
     "s9_markdown": (lambda df: scans.markdown(_bodies(df), "page_id").select("page_id", F.col("n").alias("o"), F.concat_ws(" ", "raw_url", "line", "col").alias("value")), [
-        ('see <http://a.b> and [t](/u "title")\n[id]: http://c.d\n', ["http://a.b 1 5", "/u 1 22", "http://c.d 2 1"]), ("[a [b] c](/n)", ["/n 1 1"]), ("x\n ![i](/i.png)", ["/i.png 2 3"]), ("[a](</b>)", ["/b 1 1"]), ("[x](/a(b))", ["/a(b) 1 1"]), ("[![i](/i)](/o)", ["/o 1 1", "/i 1 2"]), ("[no] (x)", []),
+        ('see <http://a.b> and [t](/u "title")\n[id]: http://c.d\n', ["http://a.b 1 6", "/u 1 25", "http://c.d 2 7"]), ("[a [b] c](/n)", ["/n 1 10"]), ("x\n ![i](/i.png)", ["/i.png 2 6"]), ("[a](</b>)", ["/b 1 4"]), ("[x](/a(b))", ["/a(b) 1 4"]), ("[![i](/i)](/o)", ["/o 1 11", "/i 1 6"]), ("[no] (x)", []),
+        ("[a [b [c [d] e] f] g](/n)", ["/n 1 22"]), ("x [u](/u (v (w))) [u](/u (v (w)))", ["/u(v(w)) 1 6", "/u(v(w)) 1 22"]), ("[" * 1500 + "deep" + "]" * 1500 + "(/d)", ["/d 1 3005"]), ("[a](/b 'c')\n\n[e](/f\n/g) [h] [i](", ["/b 1 4", "/f/g 3 4"]), ("[a](b](c)", ["b](c 1 4"]),
+    ]),
+    "x22_address_groups": (lambda df: scalars.with_mail_addresses(df, "a").select("page_id", F.posexplode("addresses").alias("o", "value")), [
+        ("mailto:Group:a@b.c,d@e.f;", ["a@b.c", "d@e.f"]), ("mailto:a@b.c%20(x,%20y)?cc=Team:%20Ann%20%3Cann@t.u%3E,%20bob@t.u;", ["a@b.c", "ann@t.u", "bob@t.u"]), ("mailto:none:;", []), ("mailto:z@y,a@b", ["a@b", "z@y"]), ("mailto:", []),
+        ("mailto:(note)%20a@b.c,%20A%20B%20%3Cd@e.f%3E", ["a@b.c", "d@e.f"]),
+    ]),
+    "u3_idn_urls": (lambda df: urls.normalised(df.select("page_id", F.col("a").alias("url")), "url").select("page_id", F.lit(0).alias("o"), F.concat_ws(" ", "url", F.when(F.col("idn"), "idn")).alias("value")), [
+        ("http://B\u00fccher.example/\u00fc", ["http://xn--bcher-kva.example/%C3%BC idn"]), ("http://a.b/x", ["http://a.b/x"]), ("HTTP://u:p@\u043f\u0440\u0438\u043c\u0435\u0440.org:8080/?q=\u00e9#f", ["http://u:p@xn--e1afmkfd.org:8080/?q=%C3%A9#f idn"]),
+        ("http://b%C3%BCcher.example:80", ["http://xn--bcher-kva.example idn"]), ("/rel/\u00fc", ["/rel/%C3%BC"]), ("mailto:x@\u00fc.de", ["mailto:x@%C3%BC.de"]),
     ]),
     "s12_opera": (lambda df: scans.bookmark_text(_bodies(df), "page_id").select("page_id", F.col("url").alias("o"), F.concat_ws(" ", "url", "name").alias("value")), [("NAME=a\nURL=u\nX\nURL=v\nNAME=b\n\nURL=w", ["u a"]), ("URL=x", []), ("NAME=n\nURL=a\nNAME=m\nURL=b", ["a n", "b m"])]),
     "s14_listings": (_listing, [

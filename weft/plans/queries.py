@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, urls
-from ..operators import extract, joins, plugins, report, robots, rules
+from ..operators import extract, joins, lookups, plugins, report, robots, rules
 from ..sources import scans
 from ..streaming import jobs
 from . import cases
@@ -250,17 +250,104 @@ def j16_site_crawl(spark, d):
     seeds, links = records.where("parent_url is null").select("url"), records.where("parent_url is not null").select("parent_url", "url")
     denied = records.where(urls.part(F.col("url"), "path").startswith("/de")).select("url")
     rules_of = [{"kind": "extern", "pattern": "^https?://blog\\.", "strict": True}, {"kind": "extern", "pattern": "^[a-z]+://[^/]*\\.net(/|$)"}, {"kind": "intern", "pattern": "^https?://"}]
-    got = joins.crawl_site(seeds, links, records.select("url", F.col("valid").alias("recurse")), joins.scope(F.col("url"), rules_of), denied, redirects(pages), max_level=12)
+    got = joins.crawl_site(seeds, links, records.select("url", F.col("valid").alias("recurse")), joins.scope(F.col("url"), rules_of), denied, redirects(pages))
     return got.select("url", F.col("level").cast("long").alias("level"), "state")
 
 
 def l1_url_budget(spark, d):
-    """Ten URLs less than there are seeds and their followers, in order of levels and names."""
-    records = joins.kept(_records(_table(spark, d, "pages")).select("url", "parent_url"))
-    seeds, links = records.where("parent_url is null").select("url"), records.where("parent_url is not null").select("parent_url", "url")
+    """The first 40 URLs of the seeds and their followers, by levels and the order of their occurrences."""
+    records = joins.kept(_records(_table(spark, d, "pages")).select("url", "parent_url", "seq"))
+    seeds, links = records.where("parent_url is null").select("url", "seq"), records.where("parent_url is not null").select("parent_url", "url", "seq")
     return joins.crawl(seeds, links, records.select("url", F.lit(True).alias("recurse")), max_level=1, budget=40).select("url", F.col("level").cast("long").alias("level"))
 
 
+def l1_budget_occurrences(spark, d):
+    """The pages' links up to the one with the hundredth new key; later ones go, also of known keys."""
+    links = page_links(_table(spark, d, "pages")).select("page_id", "seq", "pos", urls.cache_key(F.col("url")).alias("url"))
+    return joins.within_budget(links, 100, ["page_id", "seq", "pos"]).select("page_id", F.col("seq").cast("long").alias("seq"), "url")
+
+
+def j1_hot_links(spark, d):
+    """Results of the pages' links and of one more link that stands on every page."""
+    pages = _table(spark, d, "pages")
+    links = page_links(pages).select("parent_url", F.col("seq").cast("long").alias("seq"), urls.cache_key(F.col("url")).alias("cache_url"))
+    occurrences = joins.kept(links.unionByName(pages.select(F.col("url").alias("parent_url"), F.lit(-1).cast("long").alias("seq"), F.lit("http://every/page").alias("cache_url"))))
+    got = lookups.with_results_salted(occurrences, targets(occurrences.select(F.col("cache_url").alias("url"))))
+    return got.select("parent_url", "seq", "cache_url", "valid", rules.status_result(F.col("status")).alias("result"))
+
+
+def j3_rule_table(spark, d):
+    """Scope by a table of a rule for each host, and two without a text to find them by."""
+    pages = _table(spark, d, "pages")
+    host = urls.host(F.col("url"))
+    n = F.length("host")
+    own = pages.groupBy(host.alias("host")).agg(F.min("page_id").alias("seq")).select(
+        "seq", F.when(n % 3 == 0, "extern").otherwise("intern").alias("kind"), urls.intern_pattern(F.concat(F.lit("http://"), "host", F.lit("/"))).alias("pattern"), F.lit(False).alias("negate"), (n % 2 == 0).alias("strict")).where(n % 5 > 0)
+    more = spark.createDataFrame([(1 << 40, "intern", r"\.html", True, True), ((1 << 40) + 1, "intern", "/de/|/fr/", False, False)], "seq long, kind string, pattern string, negate boolean, strict boolean")
+    return lookups.scope_by_rules(pages, own.unionByName(more))
+
+
+def j12_network_table(spark, d):
+    """Addresses of events in networks of two widths, derived from other events."""
+    e = _table(spark, d, "events")
+    b, c = F.col("event_id") % 256, F.floor(F.col("event_id") / 256) % 256
+    told = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    wide = e.where("user_id % 2 = 0").select(told("10.", F.col("user_id") % 256, ".0.0/16").alias("network")).distinct()
+    narrow = e.where("event_id % 7 = 0").select(told("10.", b, ".", c, ".0/255.255.255.0").alias("network")).distinct()
+    hosts = e.select("event_id", told("10.", b, ".", c, ".", F.col("user_id") % 300).alias("ip"))
+    return lookups.with_networks(hosts, wide.unionByName(narrow)).select("event_id", "ip", "network")
+
+
+def u22_domain_table(spark, d):
+    """Hosts in a table of names and of domains with a dot, derived from the hosts."""
+    hosts = _table(spark, d, "pages").select(urls.host(F.col("url")).alias("host")).distinct()
+    n = F.length("host")
+    domains = hosts.where(n % 3 == 0).select(F.col("host").alias("domain")).unionByName(hosts.where(n % 2 == 0).select(F.regexp_extract("host", r"^[^.]*(\..*)$", 1).alias("domain")))
+    return lookups.with_domains(hosts, domains).select("host", "domain")
+
+
+def g4_volume(spark, d):
+    """Volume of three runs, merged from their states: bytes, whether the merged state equals that of all, and whether it is near the exact number of keys."""
+    r = _records(_table(spark, d, "pages")).select("seq", "size", "cache_url")
+    states = None
+    for k in range(3):
+        run = report.volume(r.where(F.col("seq") % 3 == k))
+        states = run if states is None else states.unionByName(run)
+    merged, whole = report.volume_of(report.merged_volume(states)), report.volume_of(report.volume(r)).select(F.col("results").alias("at_once"))
+    exact = r.agg(F.countDistinct("cache_url").alias("exact"))
+    return merged.join(F.broadcast(whole)).join(F.broadcast(exact)).select("bytes", (F.col("results") == F.col("at_once")).alias("same"), (F.abs(F.col("results") - F.col("exact")) <= 0.02 * F.col("exact")).alias("near"))
+
+
+def _tree(spark, d) -> str:
+    """A folder with a folder of files for each host, which hold the URL of its robots.txt between other bytes."""
+    root = f"{_store(spark)}/tree-{uuid.uuid4().hex}"
+    rows = _table(spark, d, "pages").select(urls.host(F.col("url")).alias("host"), F.concat(F.lit("\u0001"), urls.robots_url(F.col("url")), F.lit("\u0000")).alias("value"))
+    rows.where("host <> ''").write.partitionBy("host").text(root)
+    return root
+
+
+def s8_binary_files(spark, d):
+    return scans.binary_urls(scans.files_below(spark, _tree(spark, d), content=True)).select("raw_url").distinct()
+
+
+def s13_file_tree(spark, d):
+    """Folders of files as links of the folder above them; the files are listed and not read."""
+    root = _tree(spark, d)
+    return scans.directory(scans.folders_of(scans.files_below(spark, root), root)).select("raw_url", "name")
+
+
+def p2_content_rules(spark, d):
+    """Three rules over the pages' bodies by name, two of them enabled."""
+    html = F.col("html")
+    made = [
+        plugins.Rule("year", html.contains("<article"), rules.warning(html.rlike("[0-9]{4}"), "year", "has a year")),
+        plugins.Rule("scripts", html.contains("<script"), info=F.concat(F.lit("scripts: "), F.regexp_count(html, F.lit("<script")))),
+        plugins.Rule("off", F.lit(True), rules.warning(F.lit(True), "never", "never")),
+    ]
+    got = plugins.checked(_table(spark, d, "pages"), made, ["year", "scripts"])
+    return got.select("page_id", F.array_join(F.transform("warnings", lambda x: x.tag), ",").alias("tags"), F.array_join("info", ",").alias("info"))
+
+
 def j3_seed_scope(spark, d):
     """What lies below two seeds is intern, all else extern but not strictly."""
     return _table(spark, d, "pages").select("url", joins.scope_of_seeds(F.col("url"), ["http://www.example.com/a/b.html?x", "https://blog.example.org"], [{"kind": "intern", "pattern": "\\.html$"}], check_extern=True).alias("s")).select("url", "s.*")
@@ -283,13 +370,22 @@ def j7_redirect_infos(spark, d):
 
 
 def d2_all_links(spark, d):
-    """Links of bodies of four types, of headers, of robots.txt and of bookmarks, derived from the pages."""
+    """Links of bodies of seven types and of an app's URL, of headers, of robots.txt and of bookmarks, derived from the pages."""
     pages = _table(spark, d, "pages")
     i, path = F.col("page_id"), urls.part(F.col("url"), "path")
-    kind = F.when(i % 4 == 0, "text/html").when(i % 4 == 1, "text/css").when(i % 4 == 2, "text/plain+urls").otherwise("application/xml+sitemap")
-    body = F.when(i % 4 == 0, F.concat(F.lit('<a href="'), path, F.lit('">'))).when(i % 4 == 1, F.concat(F.lit("a{b:url("), path, F.lit(")}"))).when(i % 4 == 2, F.concat(F.lit("# list\n"), "url")).otherwise(F.concat(F.lit("<urlset><url><loc>"), scalars.xml_escaped(F.col("url")), F.when(i % 8 == 7, "</loc></url><url><loc>cut").otherwise("</loc></url></urlset>")))
+    told = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    loc = scalars.xml_escaped(F.col("url"))
+    made = [  # content type and body by page_id; a sitemap's second half is cut off
+        ("text/html", told('<a href="', path, '">')), ("text/css", told("a{b:url(", path, ")}")), ("text/plain+urls", told("# list\n", F.col("url"))), ("application/xml+sitemap", told("<urlset><url><loc>", loc, "</loc></url><url><loc>cut")),
+        ("text/plain+chromium", told('{"roots":{"x":{"type":"url","name":"n","url":"', F.col("url"), '"}}}')), ("text/markdown", told("x\n[a [b [c [d]]]](", F.col("url"), ")")), ("text/x-ftp-listing", told("total 1\n-rw-r--r--   1 root     other        531 Jan 29 03:26 f", i.cast("string"), "\ndr-xr-xr-x   2 root     other        512 Apr  8  1994 d", i.cast("string"))),
+        (None, F.lit("")),
+    ]
+    kind, body, address = F.lit(None).cast("string"), F.lit(None).cast("string"), told("http://h/", i.cast("string"), F.when(i % 8 == 5, ".md").otherwise(""))
+    for k, (t, x) in enumerate(made):
+        kind, body = F.when(i % 8 == k, t).otherwise(kind), F.when(i % 8 == k, x).otherwise(body)
+    address = F.when(i % 8 == 7, told("itms-services://h/?a=1&url=http://i/", i.cast("string"))).otherwise(address)
     headers = F.when(i % 5 == 0, F.create_map(F.lit("content-location"), F.concat(F.lit("/l"), i))).otherwise(F.create_map().cast("map<string,string>"))
-    fetched = pages.select(F.concat(F.lit("http://h/"), i).alias("url"), kind.alias("content_type"), body.alias("body"), headers.alias("headers"))
+    fetched = pages.select(address.alias("url"), kind.alias("content_type"), body.alias("body"), headers.alias("headers"))
     maps = robots.sitemaps(robots_bodies(pages))
     marks = pages.where(i % 6 == 0).select("url", F.lit("n").alias("name"))
     return scans.all_links(fetched, maps, marks).select("url", "source", F.col("line").cast("long").alias("line"), "raw_url")
@@ -591,7 +687,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         g5_failure_streak, k1_csv_report, k7_sitemap, w3_schedule, t1_stream_dedup, t2_stream_streak, t3_stream_stats, s2_url_list,
         s3_seed_words, s4_css_links, s5_sitemaps, s8_binary_urls, s9_markdown_links, s13_directory, s14_ftp_listing, s16_header_links,
         s18_sniffed_types, e9_anchors, e10_meta_robots, e11_forms, x11_text_functions, x22_mail_addresses, j8_alias_results, j15_resolved_hosts,
-        k4_text_report, w2_host_audit,
+        k4_text_report, w2_host_audit, l1_budget_occurrences, j1_hot_links, j3_rule_table, j12_network_table, u22_domain_table, g4_volume,
+        s8_binary_files, s13_file_tree, p2_content_rules,
     )
 }
 QUERIES |= cases.QUERIES

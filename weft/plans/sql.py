@@ -219,12 +219,43 @@ through AS (SELECT u.url, coalesce(e.url, u.url) AS p FROM (SELECT url FROM reco
 state AS (SELECT url, CASE WHEN regexp_matches(url, '^https?://blog\.') THEN 'filtered' WHEN {_PATH} LIKE '/de%' THEN 'denied' WHEN regexp_matches(url, '^[a-z]+://[^/]*\.net(/|$)') THEN 'extern' ELSE 'checked' END AS state FROM (SELECT url FROM record UNION SELECT url FROM through)),
 reached AS (
   SELECT url, 0 AS level FROM record WHERE parent_url IS NULL
-  UNION SELECT l.url, x.level + 1 FROM reached x JOIN state s ON s.url = x.url AND s.state = 'checked' JOIN through t ON t.url = x.url JOIN record p ON p.url = t.p AND p.valid JOIN record l ON l.parent_url = t.p WHERE x.level < 12)
+  UNION SELECT l.url, x.level + 1 FROM reached x JOIN state s ON s.url = x.url AND s.state = 'checked' JOIN through t ON t.url = x.url JOIN record p ON p.url = t.p AND p.valid JOIN record l ON l.parent_url = t.p WHERE x.level < (SELECT count(DISTINCT url) FROM record))
 SELECT r.url, CAST(min(r.level) AS BIGINT) AS level, min(s.state) AS state FROM reached r JOIN state s ON s.url = r.url GROUP BY r.url""",
     "l1_url_budget": f"""
 WITH {_RECORDS}, found AS (
-  SELECT url, 0 AS level FROM record WHERE parent_url IS NULL UNION ALL SELECT r.url, 1 FROM record r JOIN record p ON r.parent_url = p.url AND p.parent_url IS NULL)
-SELECT url, CAST(min(level) AS BIGINT) AS level FROM found GROUP BY url ORDER BY 2, url LIMIT 40""",
+  SELECT url, seq, 0 AS level FROM record WHERE parent_url IS NULL UNION ALL SELECT r.url, r.seq, 1 FROM record r JOIN record p ON r.parent_url = p.url AND p.parent_url IS NULL)
+SELECT url, CAST(level AS BIGINT) AS level FROM (SELECT url, min(level) AS level, arg_min(seq, (level, seq)) AS seq FROM found GROUP BY url) ORDER BY level, seq, url LIMIT 40""",
+    "l1_budget_occurrences": f"""
+WITH {_JOINED}, o AS (SELECT page_id, seq, {_KEY} AS url FROM occurrence),
+first AS (SELECT url, min((page_id, seq)) AS place FROM o GROUP BY url),
+cut AS (SELECT place FROM first QUALIFY row_number() OVER (ORDER BY place) = 100)
+SELECT page_id, CAST(seq AS BIGINT) AS seq, url FROM o WHERE coalesce((page_id, seq) <= (SELECT place FROM cut), TRUE)""",
+    "j1_hot_links": f"""
+WITH {_JOINED}, o AS (SELECT parent_url, CAST(seq AS BIGINT) AS seq, {_KEY} AS cache_url FROM occurrence UNION ALL SELECT url, -1, 'http://every/page' FROM pages)
+SELECT *, length(cache_url) % 3 <> 0 AS valid, CASE WHEN length(cache_url) % 3 <> 0 THEN '200' ELSE '404' END AS result FROM o""",
+    "j3_rule_table": rf"""
+WITH own AS (
+  SELECT CASE WHEN length(host) % 3 = 0 THEN 0 ELSE 1 END AS intern, seq, '^https?://(www\.)?' || regexp_replace(regexp_replace(host, '^www\.', ''), '([^A-Za-z0-9_/])', '\\\1', 'g') || '/' AS pattern, FALSE AS negate, length(host) % 2 = 0 AS strict
+  FROM (SELECT {_HOST} AS host, min(page_id) AS seq FROM pages GROUP BY 1) WHERE length(host) % 5 > 0),
+rule AS (SELECT * FROM own UNION ALL SELECT 1, 1::BIGINT << 40, '\.html', TRUE, TRUE UNION ALL SELECT 1, (1::BIGINT << 40) + 1, '/de/|/fr/', FALSE, FALSE),
+best AS (SELECT p.url, arg_min((r.intern, r.strict), (r.intern, r.seq)) AS b FROM (SELECT DISTINCT url FROM pages) p JOIN rule r ON regexp_matches(p.url, r.pattern) <> r.negate GROUP BY p.url)
+SELECT p.url, coalesce(b[1] = 0, TRUE) AS is_extern, coalesce(b[2], TRUE) AS is_strict FROM (SELECT DISTINCT url FROM pages) p LEFT JOIN best ON best.url = p.url""",
+    "j12_network_table": """
+WITH e AS (SELECT event_id, user_id, event_id % 256 AS b, (event_id // 256) % 256 AS c, user_id % 300 AS d FROM events),
+narrow AS (SELECT DISTINCT b, c FROM e WHERE event_id % 7 = 0), wide AS (SELECT DISTINCT user_id % 256 AS b FROM e WHERE user_id % 2 = 0)
+SELECT event_id, '10.' || e.b || '.' || e.c || '.' || d AS ip,
+       CASE WHEN d > 255 THEN NULL WHEN n.b IS NOT NULL THEN '10.' || e.b || '.' || e.c || '.0/255.255.255.0' WHEN w.b IS NOT NULL THEN '10.' || e.b || '.0.0/16' END AS network
+FROM e LEFT JOIN narrow n ON n.b = e.b AND n.c = e.c LEFT JOIN wide w ON w.b = e.b""",
+    "u22_domain_table": rf"""
+WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages),
+d AS (SELECT host AS domain FROM h WHERE length(host) % 3 = 0 UNION SELECT regexp_extract(host, '^[^.]*(\..*)$', 1) FROM h WHERE length(host) % 2 = 0)
+SELECT host, arg_max(domain, length(domain)) AS domain FROM h LEFT JOIN d ON domain = host OR (domain LIKE '.%' AND ends_with(host, domain)) GROUP BY host""",
+    "g4_volume": f"WITH {_RECORDS} SELECT CAST(sum(size) AS BIGINT) AS bytes, TRUE AS same, TRUE AS near FROM record",
+    "s8_binary_files": f"SELECT DISTINCT {_SCHEME} || '://' || {_NETLOC} || '/robots.txt' AS raw_url FROM pages",
+    "s13_file_tree": f"SELECT DISTINCT 'host%3D' || {_HOST} || '/' AS raw_url, 'host=' || {_HOST} || '/' AS name FROM pages",
+    "p2_content_rules": """
+SELECT page_id, CASE WHEN contains(html, '<article') AND regexp_matches(html, '[0-9]{4}') THEN 'year' ELSE '' END AS tags,
+       CASE WHEN contains(html, '<script') THEN 'scripts: ' || (len(string_split(html, '<script')) - 1) ELSE '' END AS info FROM pages""",
     "j3_seed_scope": r"""
 SELECT url, NOT (url LIKE '%.html' OR regexp_matches(url, '^https?://(www\.)?example\.com/a/') OR regexp_matches(url, '^https?://(www\.)?blog\.example\.org/')) AS is_extern, FALSE AS is_strict FROM pages""",
     "j6_anchor_cases": "SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 'n' || (page_id + 1) ELSE 'missing' END AS fragment, 'a,b%20c,n' || page_id AS available FROM pages WHERE page_id % 4 > 1",
@@ -233,10 +264,12 @@ WITH RECURSIVE {_SPOILT_ENDS}
 SELECT from_url, 'Redirected to ' || url AS info, CASE WHEN url LIKE 'ftp:%' THEN 'Redirection to ' || url || ' has another scheme' END AS error,
        CASE WHEN regexp_matches(url, '^https?://blog\.') OR regexp_matches(url, '\.net(/|$)') THEN TRUE WHEN regexp_matches(url, '^https://') OR NOT contains(url, '.html') THEN FALSE ELSE TRUE END AS is_extern FROM ending""",
     "d2_all_links": f"""
-WITH {_ROBOTS}
-SELECT 'http://h/' || page_id AS url, CASE page_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'css' WHEN 2 THEN 'text' ELSE 'sitemap' END AS source, CAST(CASE page_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS BIGINT) AS line,
-       CASE WHEN page_id % 4 < 2 THEN {_PATH} ELSE url END AS raw_url FROM pages WHERE page_id % 4 > 1 OR {_PATH} <> ''
-UNION ALL SELECT 'http://h/' || page_id, 'header', NULL, '/l' || page_id FROM pages WHERE page_id % 5 = 0
+WITH {_ROBOTS},
+place AS (SELECT page_id, url, page_id % 8 AS k, {_PATH} AS path, CASE page_id % 8 WHEN 7 THEN 'itms-services://h/?a=1&url=http://i/' || page_id WHEN 5 THEN 'http://h/' || page_id || '.md' ELSE 'http://h/' || page_id END AS address FROM pages)
+SELECT address AS url, source, CAST(CASE k WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 5 THEN 2 END AS BIGINT) AS line, raw_url FROM (
+  SELECT k, address, ['html', 'css', 'text', 'sitemap', 'chromium', 'markdown', 'listing', 'itms'][k + 1] AS source,
+         unnest(CASE WHEN k < 2 THEN [path] WHEN k < 6 THEN [url] WHEN k = 6 THEN ['f' || page_id, 'd' || page_id || '/'] ELSE ['http://i/' || page_id] END) AS raw_url FROM place) WHERE raw_url <> ''
+UNION ALL SELECT address, 'header', NULL, '/l' || page_id FROM place WHERE page_id % 5 = 0
 UNION ALL SELECT origin, 'robots', 9, '/s.xml' FROM body WHERE n = 2
 UNION ALL SELECT NULL, 'bookmark', NULL, url FROM pages WHERE page_id % 6 = 0""",
     "s6_sitemap_children": "SELECT 'http://h/' || page_id || '.xml' AS url, url AS raw_url FROM pages WHERE page_id % 3 > 0",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import tables
 from ..functions.binding import record
@@ -124,44 +128,87 @@ def binary_urls(files: DataFrame, key: str = "path", content: str = "content") -
     return files.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"(?i){SAFE['url']}"), F.lit(0))).alias("n", "raw_url"))
 
 
-# Brackets may stand in brackets, two deep; what is deeper is not a link's text.
-_FLAT = r"[^\[\]]*+"
-_TEXT = rf"\[{_FLAT}(?:\[{_FLAT}(?:\[{_FLAT}\]{_FLAT})*+\]{_FLAT})*+\]"
-_TARGET = r"\(\s*<?((?:[^()<>\s]|\([^()\s]*\)|[\r\n])+?)>?(?:\s+[\"'][^)]*)?\s*\)"
-_MARKDOWN = rf"(?m)<((?:https?|ftp)://[^>\s]+)>|{_TEXT}{_TARGET}|^ {{0,3}}\[[^\[\]]+\]:\s*<?(\S+?)>?(?:\s|$)"
+_ANGLE = re.compile(r"<((?:https?|ftp):[^'\">\s]+)>", re.I)
+_DEFINITION = re.compile(r"^ {0,3}\[[^\[\]]+\]:\s*<?(\S+?)>?(?:\s|$)", re.M)
+_TITLE = re.compile(r"[ \t]+['\"].*$", re.S)
+
+
+def _closing(text: str, pair: str) -> dict[int, int]:
+    """Where each opening bracket is closed."""
+    out, stack = {}, []
+    for m in re.finditer(rf"[{re.escape(pair)}]", text):
+        if m[0] == pair[0]:
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.start()
+    return out
+
+
+def _markdown_links(text: str) -> list[tuple[int, str, int]]:
+    """Where each link begins, its target, and where that stands: at its first character, or at the parenthesis of an inline link."""
+    found = [(m.start(), m[1], m.start(1)) for p in (_ANGLE, _DEFINITION) for m in p.finditer(text)]
+    if "](" in text:
+        brackets, parentheses = _closing(text, "[]"), _closing(text, "()")
+        whole = text.removesuffix("\n")
+        last = len(whole) - 1 if whole.endswith(")") else -1  # closes what nothing else does
+        targets: list[tuple[int, int]] = []  # of links whose text we are in, innermost last
+        for i in sorted(brackets):
+            while targets and i > targets[-1][1]:
+                targets.pop()
+            at = brackets[i] + 1
+            if targets and i > targets[-1][0] or text[at : at + 1] != "(":
+                continue
+            end = parentheses.get(at, last)
+            if end <= at:
+                continue
+            url = _TITLE.sub("", text[at + 1 : end].lstrip())
+            url = re.sub(r"(?s)^<(.*)>.*", r"\1", url).rstrip() if url.startswith("<") else url
+            if url:
+                found.append((i, url, at))
+                targets.append((at, end))
+    return [(k, re.sub(r"[\r\n ]", "", url), at) for k, url, at in sorted(found)]
+
+
+@F.arrow_udf(ArrayType(StructType().add("raw_url", "string").add("at", "integer")))
+def _markdown(bodies: pa.Array) -> pa.Array:
+    return pa.array([[{"raw_url": url, "at": at} for _, url, at in _markdown_links(b)] if b else [] for b in bodies.to_pylist()], pa.list_(pa.struct([("raw_url", pa.string()), ("at", pa.int32())])))
 
 
 def markdown(files: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
-    """Angle, inline and reference links, each with its line and column from 1; a link in a link's text is one too."""
-    inner = F.transform(F.regexp_extract_all(body, F.lit(rf"{_TEXT}{_TARGET}"), F.lit(0)), lambda x: F.substring(x, 2, F.length(x)))
-    found = F.concat(F.regexp_extract_all(body, F.lit(_MARKDOWN), F.lit(0)), F.flatten(F.transform(inner, lambda x: F.regexp_extract_all(F.regexp_extract(x, rf"(?s)^(.*){_TARGET}$", 1), F.lit(rf"!?{_TEXT}{_TARGET}"), F.lit(0)))))
-    each = files.select(key, F.col(body).alias("_body"), F.posexplode(F.array_distinct(found)).alias("n", "raw"))
-    got = F.coalesce(*[F.nullif(F.regexp_extract("raw", _MARKDOWN, g), F.lit("")) for g in (1, 2, 3)])
-    before = F.left(F.col("_body"), F.expr("position(raw, _body)") - 1)
+    """Angle, inline and reference links in order, with lines and columns from 1; a link in a link's text is one too.
+
+    Brackets and parentheses are matched by a stack, in batches of bodies, at any
+    depth and in linear time; bodies without brackets do not get there.
+    """
+    some = files.where(F.col(body).rlike(r"[\[<]")).select(key, F.col(body).alias("_body"))
+    each = some.withColumn("_found", _markdown("_body")).select(key, "_body", F.posexplode("_found").alias("n", "x"))
+    before = F.left(F.col("_body"), F.col("x.at"))
     line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    return each.select(key, "n", F.regexp_replace(got, r"[\r\n]", "").alias("raw_url"), line.alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("col"))
+    return each.select(key, "n", "x.raw_url", line.alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("col"))
 
 
 #: Levels of folders that one job goes through.
 _LEVELS = 16
 
 
-def bookmark_json(files: DataFrame, column: str = "body") -> DataFrame:
-    """(url, name) of all bookmarks below the roots, at any depth.
+def bookmark_json(files: DataFrame, column: str = "body", key: str | None = None) -> DataFrame:
+    """(url, name) of all bookmarks below the roots, at any depth; with the file's key, if it is named, as column key.
 
     A body is parsed once, to a variant.  A job opens the folders of several
     levels, in one pass each; what are folders still is written and opened by the
     next job.  Bodies that are not such JSON have none; see bookmark_faults.
     """
     roots = F.try_variant_get(F.try_parse_json(column), "$.roots", "map<string,variant>")
-    node, found = files.select(F.explode(F.map_values(roots)).alias("node")), None
+    name_of = [F.col(key).alias("key")] if key else []
+    also = ["key"] if key else []
+    node, found = files.select(*name_of, F.explode(F.map_values(roots)).alias("node")), None
     of = lambda name: F.try_variant_get("node", f"$.{name}", "string")
     while True:
         for _ in range(_LEVELS):
             children = F.coalesce(F.try_variant_get("node", "$.children", "array<variant>"), F.array().cast("array<variant>"))
-            node = node.select(F.explode(F.when(of("type") == "folder", children).otherwise(F.array("node"))).alias("node"))
+            node = node.select(*also, F.explode(F.when(of("type") == "folder", children).otherwise(F.array("node"))).alias("node"))
         level = kept(node.where(of("type").isin("url", "folder")))
-        here = level.where((of("type") == "url") & of("url").isNotNull()).select(of("url").alias("url"), of("name").alias("name"))
+        here = level.where((of("type") == "url") & of("url").isNotNull()).select(*also, of("url").alias("url"), of("name").alias("name"))
         found = here if found is None else found.unionByName(here)
         node = level.where(of("type") == "folder")
         if not node.limit(1).count():
@@ -194,6 +241,21 @@ def directory(listing: DataFrame) -> DataFrame:
     return listing.select(F.regexp_extract("path", "^(.*/)[^/]+/?$", 1).alias("parent_url"), quote(F.regexp_extract("path", "([^/]+/?)$", 1), "/").alias("raw_url"), xml_escaped(F.regexp_extract("path", "([^/]+/?)$", 1)).alias("name")).where("parent_url <> ''")
 
 
+def files_below(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
+    """Path, length and modified of every file below a folder; with content, its bytes too, which are not read else."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return rows.select("path", "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+
+
+def folders_of(listing: DataFrame, root: str) -> DataFrame:
+    """The paths of the folders between root and the listed files, each once and with a slash at its end."""
+    bare = lambda path: F.regexp_replace(path, "^[a-z0-9]+:/+", "/")  # noqa: E731  file:/x and file:///x are the same
+    head = F.concat(bare(F.lit(root.rstrip("/"))), F.lit("/"))
+    names = F.split(F.substring(bare(F.col("path")), F.length(head) + 1, F.lit(1 << 30)), "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda n: F.concat(head, F.array_join(F.slice(names, 1, n), "/"), F.lit("/")))
+    return listing.where(bare(F.col("path")).startswith(head) & (F.size(names) > 1)).select(F.explode(up).alias("path")).distinct()
+
+
 def ftp_listing(lines: DataFrame, column: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
     """Name, trycwd and tryretr of EPLF, UNIX, MSDOS and VMS lines; others give no row."""
     x = F.col(column)
@@ -239,12 +301,17 @@ def dispatched(fetches: DataFrame) -> DataFrame:
     """The links of every fetched body by its type, and those of its headers: url, source, line and raw_url.
 
     fetches has url, content_type, body and headers.  Each scan takes the bodies
-    of its parser; types without one have no links.
+    of its parser; types without one have no links.  Markdown is known by its
+    name, lines of an FTP listing by the type text/x-ftp-listing, and a link to
+    itms-services has its child in its query.
     """
-    known = fetches.withColumn("parser", parser_of(F.col("content_type"), F.col("url")))
+    is_markdown = part(F.col("url"), "path").rlike(r"(?i)\.(markdown|md(own)?|mkdn?)$") & F.coalesce(mime(F.col("content_type")).startswith("text/"), F.lit(True))
+    kind = F.when(is_markdown, "markdown").when(F.col("content_type") == "text/x-ftp-listing", "listing").when(part(F.col("url"), "scheme") == "itms-services", "itms").otherwise(parser_of(F.col("content_type"), F.col("url")))
+    known = fetches.withColumn("parser", kind)
     of = lambda *names: known.where(F.col("parser").isin(*names))
     none = F.lit(None).cast("int")
     as_pages = lambda df: df.select(F.col("url").alias("page_id"), "url", F.col("body").alias("html"))
+    listed = of("listing").select("url", F.explode(F.split("body", _LINE)).alias("line"))
     found = [
         links(as_pages(of("html"))).select("url", F.lit("html").alias("source"), none.alias("line"), "raw_url"),
         wml(as_pages(of("wml"))).select("url", F.lit("wml").alias("source"), none.alias("line"), "raw_url"),
@@ -253,6 +320,10 @@ def dispatched(fetches: DataFrame) -> DataFrame:
         sitemap(of("sitemap", "sitemapindex")).select("url", F.lit("sitemap").alias("source"), none.alias("line"), "raw_url"),
         binary_urls(of("swf").select("url", F.encode("body", "ISO-8859-1").alias("content")), "url").select("url", F.lit("swf").alias("source"), none.alias("line"), "raw_url"),
         bookmark_text(of("opera").withColumnRenamed("url", "path")).select(F.col("path").alias("url"), F.lit("opera").alias("source"), none.alias("line"), F.col("url").alias("raw_url")),
+        bookmark_json(of("chromium"), key="url").select(F.col("key").alias("url"), F.lit("chromium").alias("source"), none.alias("line"), F.col("url").alias("raw_url")),
+        markdown(of("markdown")).select("url", F.lit("markdown").alias("source"), "line", "raw_url"),
+        ftp_listing(listed, keep=("url",)).select("url", F.lit("listing").alias("source"), none.alias("line"), F.concat(quote(F.col("name"), "/"), F.when(F.col("trycwd") & ~F.col("tryretr"), "/").otherwise("")).alias("raw_url")),
+        of("itms").select("url", F.lit("itms").alias("source"), none.alias("line"), itms_child(F.col("url")).alias("raw_url")).where("raw_url is not null"),
         header_links(fetches).select("url", F.lit("header").alias("source"), none.alias("line"), "raw_url"),
     ]
     out = None
