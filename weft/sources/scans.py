@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import tables
 from ..functions.binding import record
-from ..functions.scalars import mime, resolved, unquoted, without_comments, xml_escaped
+from ..functions.scalars import mime, resolved, unquoted, without_comments, without_markup, xml_escaped
 from ..functions.urls import SAFE, part, quote, unquote
 from ..operators.extract import CSS_URL, links
 from ..operators.joins import kept
@@ -78,13 +78,6 @@ def _xml_fault(tokens: Column) -> Column:
     return F.aggregate(each, start, step, lambda s: F.coalesce(s.fault, F.when((s.path != "") | ~s.done, F.size(tokens))))
 
 
-def _loc_text(x: Column) -> Column:
-    """What an element holds: its text and sections of raw text, without tags in it."""
-    pieces = F.regexp_extract_all(x, F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|[^<]+"), F.lit(0))
-    text = F.array_join(F.transform(F.when(x.contains("<"), pieces).otherwise(F.array(x)), lambda t: F.when(t.startswith("<![CDATA["), F.substring(t, 10, F.length(t) - 12)).otherwise(resolved(t))), "")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def sitemap_contents(files: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
     """Key, locs (array) and warning (tag, msg; null if the body is well-formed XML).
 
@@ -93,11 +86,14 @@ def sitemap_contents(files: DataFrame, key: str = "url", body: str = "body") ->
     tokens = files.where(F.col(body).isNotNull()).select(key, F.regexp_extract_all(body, F.lit(_XML_TOKEN), F.lit(0)).alias("t"))
     judged = tokens.select(key, "t", _xml_fault(F.col("t")).alias("fault"))
     sound = F.when(F.col("fault").isNull(), F.col("t")).otherwise(F.slice("t", 1, F.greatest(F.col("fault"), F.lit(0))))
-    text = F.array_join(F.filter(sound, lambda x: ~x.startswith("<!--")), "")
+    # raw text is quoted, so that no tag is seen in it
+    quoted = F.transform(F.filter(sound, lambda x: ~x.startswith("<!--")), lambda x: F.when(x.startswith("<![CDATA["), xml_escaped(F.substring(x, 10, F.length(x) - 12))).otherwise(x))
+    text = F.array_join(quoted, "")
     read = judged.select(key, "fault", text.alias("text"))
     line = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     warning = F.when(F.col("fault").isNotNull(), F.struct(F.lit("xml-parse-error").alias("tag"), F.concat(F.lit("not well-formed at line "), line).alias("msg")))
-    locs = F.filter(F.transform(F.regexp_extract_all("text", F.lit(_LOC), F.lit(1)), _loc_text), lambda x: x != "")
+    bare = lambda x: F.regexp_replace(resolved(without_markup(x)), r"^\s+|\s+$", "")
+    locs = F.filter(F.transform(F.regexp_extract_all("text", F.lit(_LOC), F.lit(1)), bare), lambda x: x != "")
     return read.select(key, locs.alias("locs"), warning.alias("warning"))
 
 
@@ -166,7 +162,8 @@ def _markdown_links(text: str) -> list[tuple[int, str, int]]:
             if url:
                 found.append((i, url, at))
                 targets.append((at, end))
-    return [(k, re.sub(r"[\r\n ]", "", url), at) for k, url, at in sorted(found)]
+    once = {at: (k, url) for k, url, at in found}  # a definition's target may stand in angles
+    return sorted((k, re.sub(r"[\r\n ]", "", url), at) for at, (k, url) in once.items())
 
 
 @F.arrow_udf(ArrayType(StructType().add("raw_url", "string").add("at", "integer")))
