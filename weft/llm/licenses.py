@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,9 +82,14 @@ def _n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{_WORD}+")).cast("long")
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, A-Z in lower case."""
+    return F.array_remove(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), _GAP), "")
+
+
 def tokens_of(text: Column) -> Column:
-    """The distinct words of a text, in lower case."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(text), _GAP)), "")
+    """The distinct words of a text."""
+    return F.array_distinct(words_of(text))
 
 
 def base(docs: DataFrame) -> DataFrame:
@@ -146,7 +152,6 @@ def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINME
     least, wide = prefixes.agg(F.min("need"), F.max("width")).first()
     ordered = F.array(*map(F.lit, order))
     block = lambda words, passage: F.struct(words.alias("words"), F.lit(passage).alias("passage"))
-    words_of = lambda text: F.array_remove(F.split(F.lower(text), _GAP), "")
     with_rare = lambda found: F.filter(found, lambda b: F.arrays_overlap(b.words, rare))
     candidates = (
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", words_of(F.col("text")).alias("words"))

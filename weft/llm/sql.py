@@ -1,13 +1,18 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-op3's SQL looks at sentences; notices that only a window across sentences holds
-are tested against brute force on small frames, and the given tables have none.
+op3's SQL looks at every sentence, and at every window of words that begins with
+a word of a template.
 """
 
 from __future__ import annotations
 
+import math
+import string
+
 from . import divergence, licenses, quality
 
+_UPPER = string.ascii_uppercase
+
 
 def _list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -20,7 +25,7 @@ WITH phrase(words, label) AS (VALUES {", ".join(f"({_list(p.split())}, '{v}')" f
 template(label, words) AS (VALUES {", ".join(f"('{v}', {_list(sorted(set(licenses._plain(t))))})" for v, t in licenses.TEMPLATES)}),
 doc AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_SPLIT}'), lambda x: x <> '') AS words
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_SPLIT}'), lambda x: x <> '') AS words
   FROM documents),
 place AS (
   SELECT doc_id, i - 1 AS place, label
@@ -30,12 +35,15 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_distinct(list(label)) AS labels
   FROM place GROUP BY doc_id),
 block AS (
-  SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(b), '{_SPLIT}'), lambda x: x <> '')) AS held
+  SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(translate(b, '{_UPPER}', '{_UPPER.lower()}'), '{_SPLIT}'), lambda x: x <> '')) AS held
   FROM (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])[ \t\r\x0B\f]+', '\1' || chr(10), 'g'), chr(10))) AS b FROM doc)),
-found AS (
-  SELECT doc_id, list_distinct(list(label)) AS labels, max(len(list_intersect(held, words)) / len(words)) AS containment
-  FROM block, template
-  WHERE len(list_intersect(held, words)) >= ceil({licenses.CONTAINMENT} * len(words) - 1e-9) GROUP BY doc_id)
+wide(label, words, need, width) AS (VALUES {", ".join(f"('{v}', {_list(sorted(set(t)))}, {math.ceil(c * len(set(t)) - 1e-9)}, {licenses.width(t, c)})" for c, listed in ((licenses.CONTAINMENT, licenses.TEMPLATES), (licenses.NOTICE_CONTAINMENT, licenses.NOTICES)) for v, t in ((v, licenses._plain(x)) for v, x in listed))}),
+likely AS (SELECT doc_id, d.words AS w, label, t.words AS held, need, width FROM doc d, wide t WHERE len(list_intersect(d.words, t.words)) >= need),
+start AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM likely),
+hit AS (
+  SELECT doc_id, label, len(list_intersect(held, words)) / len(words) AS share FROM block, template WHERE len(list_intersect(held, words)) >= ceil({licenses.CONTAINMENT} * len(words) - 1e-9)
+  UNION ALL SELECT doc_id, label, len(list_intersect(w[i : i + width - 1], held)) / len(held) FROM start WHERE list_contains(held, w[i]) AND len(list_intersect(w[i : i + width - 1], held)) >= need),
+found AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(share) AS containment FROM hit GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
@@ -87,7 +95,7 @@ _WEIGHT = f"1 + CAST({{n}} + 1 AS HUGEINT) * {divergence.SCALE} // ({{total}} +
 OP12 = rf"""
 WITH doc AS (
   SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS terms
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}') AS terms
   FROM documents),
 place AS (SELECT d, lang, source, unnest(terms) AS term FROM doc),
 kept AS (SELECT lang, term, count(*) AS lang_n FROM place GROUP BY lang, term HAVING count(DISTINCT d) >= {divergence.LEAST_DOCS}),
