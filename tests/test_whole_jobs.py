@@ -5,9 +5,10 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
-from weft.operators import extract, joins
+from weft.operators import extract, joins, report
 from weft.plans.queries import QUERIES, page_links
 from weft.plans.sql import SQL
+from weft.streaming import jobs
 
 
 def test_crawl_has_no_limit(spark):
@@ -70,3 +71,58 @@ def test_links_join_their_base(spark):
     assert [g[2] for g in got if g[:2] == (1, "a")] == ["http://h/p/x", "http://h/d/e/x", "http://h/x", "http://o/", "http://h/d/e/x"]
     assert (1, "applet", "http://c/k/z.jar") in got and [g[2] for g in got if g[0] > 1] == ["http://z/w/v", "http://h/p/v"]
     assert {r.base_ref for r in extract.base_refs(pages).where("page_id = 1").collect()} == {"/d/e/", "http://c/k/"}
+
+
+def test_streak_state_is_bounded_by_its_delay(spark, tmp_path):
+    """Failures below the watermark are a number; a later valid check still ends them."""
+    files = [
+        [(1, 0, "error"), (1, 60, "error"), (2, 0, "error"), (3, 0, "error"), (2, 10_000, "error")],
+        [(1, 10_000, "error"), (2, 9_990, "error"), (3, 10_000, "error"), (1, 10_010, "error")],
+        [(1, 20_000, "error"), (3, 20_000, "view"), (2, 20_000, "error")],
+        [(3, 20_001, "error"), (1, 20_002, "error")],
+    ]
+    schema = "event_id long, user_id long, ts timestamp, valid boolean"
+    source = tmp_path / "checks"
+    for i, rows in enumerate(files):
+        frame = spark.createDataFrame([(100 * i + j, u, t, e != "error") for j, (u, t, e) in enumerate(rows)], "event_id long, user_id long, t long, valid boolean")
+        frame.select("event_id", "user_id", F.timestamp_seconds(F.col("t") + 1_000_000).alias("ts"), "valid").coalesce(1).write.mode("append").parquet(str(source))
+        for f in source.glob("part-*.parquet"):
+            os.utime(f, (1000 * (i + 1), 1000 * (i + 1))) if f.stat().st_mtime > 1e6 else None
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        got = jobs.run_once(jobs.streaks(stream, "1 minute"), "update", str(tmp_path / "state"), ["user_id"])
+        assert {tuple(r) for r in got.collect()} == {(1, 6), (2, 4), (3, 1)}
+    finally:
+        spark.conf.unset(provider)
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    one = report.write_table(spark.range(3), folder)
+    os.makedirs(f"{folder}/version-0000000003")  # another writer has that number, whole or not
+    two = report.write_table(spark.range(5), folder)
+    assert one.endswith("1") and two.endswith("4") and report.latest(spark, folder).count() == 5 and report.latest(spark, folder).columns == ["id"]
+    assert not [p for p in os.listdir(folder) if p.startswith("_writing")]
+
+
+def test_written_reports(spark, tmp_path):
+    warning = "array<struct<tag:string,msg:string>>"
+    rows = spark.createDataFrame([("http://a/", "p", None, "200 OK", [], ["i"], True, "http://a/?x=1&y", 1, 2, "n;\"q\"", None, 5, None, 0, None), ("b", None, None, "404", [("t", "m<"), ("u", "o")], [], False, "http://b/", None, None, None, 0.5, None, 1.5, 1, None)],
+        f"raw_url string, parent_url string, base_ref string, result string, warnings {warning}, info array<string>, valid boolean, url string, line int, col int, name string, dltime double, size long, checktime double, level int, modified timestamp")
+    csv = report.csv_rows(rows, ["urlname", "name", "warningstring", "valid"])
+    report.write_csv(csv, str(tmp_path / "csv"))
+    back = spark.read.option("sep", ";").option("header", True).option("multiLine", True).option("escape", "\\").csv(str(tmp_path / "csv"))
+    assert sorted((r.urlname, r.name, r.warningstring, r.valid) for r in back.collect()) == [("b", None, "m<\no", "false"), ("http://a/", 'n;"q"', None, "true")]
+    report.write_xml(report.xml_rows(rows), str(tmp_path / "xml"))
+    xml = spark.read.format("xml").option("rowTag", "urldata").load(str(tmp_path / "xml"))
+    assert sorted(r.url for r in xml.collect()) == ["http://a/?x=1&y", "http://b/"] and [r.warnings.warning[0]._tag for r in xml.where("warnings is not null").collect()] == ["t"]
+    assert report.chosen(csv, ["valid", "nothing", "name"]).columns == ["valid", "name"]
+
+
+def test_schedule(spark):
+    rows = spark.createDataFrame([("h", i, 2 if i % 2 else None) for i in range(9)] + [("g", 4, None), (None, 1, None)], "host string, seq int, wait int").repartition(5)
+    assert {(r.host, r.seq): r.due_ms for r in joins.schedule(rows).collect()} == {**{("h", i): 100 * i for i in range(9)}, ("g", 4): 0, (None, 1): 0}
+    assert {(r.host, r.seq): r.due_ms for r in joins.schedule(rows, delay="wait").collect()} == {**{("h", i): i * (2000 if i % 2 else 100) for i in range(9)}, ("g", 4): 0, (None, 1): 0}
+    assert joins.schedule(rows.limit(0)).count() == 0

@@ -60,11 +60,15 @@ def scope_of_seeds(url: Column, seeds: Sequence[str], rule_list: Sequence[dict]
 
 
 def broken_anchors(links: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Links (cache_url, fragment, ...) whose fragment the target (url, anchor) lacks, with what it has, both quoted."""
-    wanted = links.where("fragment <> ''")
+    """Links (cache_url, fragment, ...) whose fragment the target (url, anchor) lacks, with what it has, both quoted.
+
+    The anchors of a target are listed once, and only of targets that lack one.
+    """
     held = anchors.select(F.col("url").alias("cache_url"), urls.quote(F.col("anchor"), "/").alias("fragment")).distinct()
-    available = held.groupBy("cache_url").agg(F.array_join(F.sort_array(F.collect_set("fragment")), ",").alias("available"))
-    return wanted.join(held, ["cache_url", "fragment"], "left_anti").join(available, "cache_url", "left").withColumn("available", F.coalesce("available", F.lit("-")))
+    missing = kept(links.where("fragment <> ''").join(held, ["cache_url", "fragment"], "left_anti"))
+    lacking = missing.select("cache_url").distinct()
+    available = held.join(lacking, "cache_url", "left_semi").groupBy("cache_url").agg(F.array_join(F.sort_array(F.collect_set("fragment")), ",").alias("available"))
+    return missing.join(available, "cache_url", "left").withColumn("available", F.coalesce("available", F.lit("-")))
 
 
 def redirect_ends(redirects: DataFrame, limit: int = MAX_REDIRECTS) -> DataFrame:
@@ -226,9 +230,16 @@ def crawl_site(seeds: DataFrame, links: DataFrame, results: DataFrame, in_scope:
 
 
 def schedule(requests: DataFrame, rate: int = 10, delay: str | None = None) -> DataFrame:
-    """The least due time in ms of each request of a host (host, seq), by the rate or a delay column in s."""
+    """The least due time in ms of each request of a host (host, seq), by the rate or a delay column in s.
+
+    Requests are numbered by host and seq across partitions, so a host with very
+    many of them is in no one task; a request's place is its number behind its host's first.
+    """
     gap = F.coalesce(F.col(delay) * 1000, F.lit(1000 // rate)) if delay else F.lit(1000 // rate)
-    return requests.withColumn("due_ms", ((F.row_number().over(Window.partitionBy("host").orderBy("seq")) - 1) * gap).cast("long"))
+    placed = numbered(requests, ["host", "seq"], "_n")
+    first = placed.groupBy("host").agg(F.min("_n").alias("_first"))
+    same = F.col("host").eqNullSafe(F.col("_host"))
+    return placed.join(first.withColumnRenamed("host", "_host"), same).withColumn("due_ms", ((F.col("_n") - F.col("_first")) * gap).cast("long")).drop("_n", "_first", "_host")
 
 
 def one_per_host(fetches: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,17 +122,41 @@ def write_xml(rows: DataFrame, path: str, root: str = "links", row: str = "urlda
     rows.write.format("xml").option("rootTag", root).option("rowTag", row).save(path)
 
 
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the versions that stand below a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+
+
 def write_table(rows: DataFrame, folder: str) -> str:
-    """K8: a new version of a table below the folder, which is what latest reads; readers of older ones are not disturbed."""
-    path = f"{folder.rstrip('/')}/version={uuid.uuid4().hex}/at={int(time.time() * 1000)}"
-    rows.write.parquet(path)
-    return path
+    """K8: a new version of a table below the folder, which is what latest reads; readers of older ones are not disturbed.
+
+    Rows are written aside and take the next free number by a rename, which fails
+    where another writer has it, so a version is whole or not there.
+    """
+    spark, folder = rows.sparkSession, folder.rstrip("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    aside = hadoop.Path(f"{folder}/_writing-{uuid.uuid4().hex}")
+    rows.write.parquet(aside.toString())
+    context = hadoop.FileContext.getFileContext(aside.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    number = 1 + max(_versions(spark, folder), default=0)
+    while True:
+        path = f"{folder}/version-{number:010d}"
+        try:
+            context.rename(aside, hadoop.Path(path), options)
+            return path
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            number += 1
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """K8: the newest version of a table."""
-    rows = spark.read.parquet(folder)
-    return rows.join(F.broadcast(rows.agg(F.max("at").alias("at"))), "at", "left_semi").drop("at", "version")
+    """K8: the newest version of a table; no other is read."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/version-{_versions(spark, folder)[-1]:010d}")
 
 
 def text_blocks(rows: DataFrame) -> DataFrame:

@@ -17,37 +17,57 @@ def first_seen(checks: DataFrame, key: str, time: str = "ts", delay: str = "7 da
 
 
 class _Streak(StatefulProcessor):
-    """Keeps a user's last valid check and the failures behind it, since later batches may hold earlier checks."""
+    """Keeps a user's last valid check and the failures behind it, since later batches may hold earlier checks.
+
+    Below the watermark nothing is awaited: any valid check that still comes is
+    behind the failures there and ends them all, so they are kept as a number.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "ts long, event_id long")
-        self.number = handle.getValueState("number", "failures long")
+        self.old = handle.getValueState("old", "failures long")
         self.failures = handle.getListState("failures", "ts long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = last = tuple(self.last.get()) if self.last.exists() else None
-        n = self.number.get()[0] if self.number.exists() else 0
+        old = self.old.get()[0] if self.old.exists() else 0
+        recent = list(map(tuple, self.failures.get())) if self.failures.exists() else []
         for got in rows:  # a part of the user's rows at a time
             places = list(zip(got["ts"].tolist(), got["event_id"].tolist()))
             valid = got["valid"].tolist()
             last = max([*([last] if last else []), *(p for p, v in zip(places, valid) if v)], default=None)
-            failed = [p for p, v in zip(places, valid) if not v and (last is None or p > last)]
-            if failed:
-                self.failures.appendList(failed)
-                n += len(failed)
+            recent += [p for p, v in zip(places, valid) if not v]
         if last != before:
             self.last.update(last)
-            left = [p for p in map(tuple, self.failures.get()) if p > last] if n else []
-            n = len(left)
-            self.failures.put(left) if left else self.failures.clear()
-        self.number.update((n,))
-        yield pd.DataFrame({"user_id": [key[0]], "failures": [n]})
-
-
-def streaks(checks: DataFrame) -> DataFrame:
-    """The failures since each user's last valid check (user_id, ts, event_id, valid), as they change."""
-    placed = checks.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
-    return placed.groupBy("user_id").transformWithStateInPandas(_Streak(), outputStructType="user_id long, failures long", outputMode="Update", timeMode="None")
+            recent, old = [p for p in recent if p > last], 0
+        elif last:
+            recent = [p for p in recent if p > last]
+        awaited = timerValues.getCurrentWatermarkInMs() * 1000 if self.bounded else None
+        if awaited is not None and awaited > 0:
+            old += sum(ts < awaited for ts, _ in recent)
+            recent = [p for p in recent if p[0] >= awaited]
+        self.old.update((old,))
+        self.failures.put(recent) if recent else self.failures.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "failures": [old + len(recent)]})
+
+    bounded = False
+
+
+class _BoundedStreak(_Streak):
+    bounded = True
+
+
+def streaks(checks: DataFrame, delay: str | None = None) -> DataFrame:
+    """The failures since each user's last valid check (user_id, ts, event_id, valid), as they change.
+
+    Checks may come in any order, and each failure of a streak is remembered;
+    with a delay, checks later than that are dropped, and a user's state is
+    bounded by the failures within it.
+    """
+    timed = checks.withColumn("at", F.col("ts").cast("timestamp"))
+    placed = (timed.withWatermark("at", delay) if delay else timed).withColumn("ts", F.unix_micros("at"))
+    processor = _BoundedStreak() if delay else _Streak()
+    return placed.groupBy("user_id").transformWithStateInPandas(processor, outputStructType="user_id long, failures long", outputMode="Update", timeMode="EventTime" if delay else "None")
 
 
 def running_statistics(checks: DataFrame) -> DataFrame:
