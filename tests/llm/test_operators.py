@@ -344,7 +344,7 @@ def test_language_pooling(spark):
 
 
 def test_neighbours(spark):
-    """Large enough for SHARE, and not GATHERED, to say how much is searched."""
+    """How much is searched is measured; a copied vector is in many parts."""
     rng = np.random.default_rng(0)
     x = rng.standard_normal((6000, 16)).astype(np.float32)
     x[100:400] = x[100]
@@ -428,7 +428,8 @@ def test_html_deep_pages():
 
 
 def test_neighbours_in_doubles(spark, monkeypatch):
-    """Double components are not rounded, and queries that meet a list in turns find the same."""
+    """Double components are not rounded, and parts that come in many batches are searched as a whole."""
+    monkeypatch.setattr(neighbours, "enough", lambda *a: 1.0)
     rng = np.random.default_rng(4)
     x = np.round(rng.standard_normal((300, 4)), 2) + rng.standard_normal((300, 4)) * 1e-9
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -438,8 +439,30 @@ def test_neighbours_in_doubles(spark, monkeypatch):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         best = [i for i in np.lexsort((np.arange(300), d)) if i != q][:10]
         assert [(r[2], r[3]) for r in whole if r[0] == q] == [(i, d[i]) for i in best]
-    monkeypatch.setattr(neighbours, "QUERIES", 7)
-    assert sorted(map(tuple, neighbours.search(vectors, queries).collect())) == whole
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, neighbours.search(vectors, queries).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_share_is_measured(spark):
+    """Clustered vectors are searched in a small part, those without structure in a large one; exact neighbours are brute force's."""
+    rng = np.random.default_rng(1)
+    plain = rng.standard_normal((4000, 32))
+    clustered = np.repeat(rng.standard_normal((40, 32)) * 3, 100, 0) + rng.standard_normal((4000, 32)) * 0.5
+    shares = []
+    for x in (plain, clustered):
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+        shares.append(neighbours.build(vectors).share)
+    assert shares[1] < 0.1 < 0.3 < shares[0] <= 1
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(vectors, np.arange(0, 4000, 400), x[::400], 10).collect():
+        got[r.row].append(r.embedding)
+    for row, q in enumerate(range(0, 4000, 400)):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert sorted(got[row]) == sorted(x[i].tolist() for i in np.argsort(d)[:10])
 
 
 def test_html(spark):

@@ -10,11 +10,14 @@ indexed.  Entries lie in lists by first centroid; a query is sent once to each
 list it visits, with the second centroids it wants there.  Long lists (one
 vector may be very common) are cut into parts, and a crowded cell counts
 towards a query's entries only as ``CROWDED`` times the mean cell, so that it
-does not end the search.
+does not end the search.  A part's entries are held in memory, and queries pass
+by in batches, however many there are.
 
-``SHARE`` is set for vectors without structure, where neighbours are hardly
-nearer than others: on random unit vectors of 64 components a recall of 0.9
-takes about a third of all entries.  Clustered vectors do with far less.
+How many entries are gathered is measured on each table: of at most ``TRIED`` of
+its vectors the exact neighbours are found in one pass, and the share of entries
+is taken by which ``FOUND`` of them would have been met.  Vectors without
+structure, whose neighbours are hardly nearer than others, need a third of all
+entries and more; clustered ones need few.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; repeated rows are entries of
@@ -38,13 +41,11 @@ from .features import sample
 MAX_FIT = 20_000
 #: Entries a cell should hold on average, and the most centroids of a half.
 PER_CELL, MAX_CENTROIDS = 3, 256
-#: Entries that a query gathers at least: this many, and this share of all.
-GATHERED, SHARE = 2000, 0.45
+#: Vectors whose exact neighbours set the share of entries that queries gather, and the part of these that must be met by it.
+TRIED, FOUND = 256, 0.98
 CROWDED = 4
 #: Entries of a part of a list: twice the mean list, within these bounds.
 PART = (256, 65_536)
-#: Queries that meet a part of a list at once.
-QUERIES = 16_384
 K = 10
 
 
@@ -86,6 +87,7 @@ class MultiIndex:
     second: np.ndarray
     counts: np.ndarray  # entries by first and second centroid
     part: int
+    share: float = 1.0  # of entries that a query gathers
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = x.shape[1] // 2
@@ -95,11 +97,15 @@ class MultiIndex:
         """Parts of each list."""
         return np.maximum(1, -(-self.counts.sum(1) // self.part))
 
+    def weight(self) -> np.ndarray:
+        """What each cell counts towards a query's entries."""
+        occupied = self.counts[self.counts > 0]
+        return np.minimum(self.counts, max(1, int(CROWDED * occupied.mean())))
+
     def probes(self, x: np.ndarray) -> Iterator[dict[int, list[int]]]:
         """For each row, the cells to visit: second centroids by first centroid."""
-        occupied = self.counts[self.counts > 0]
-        weight = np.minimum(self.counts, max(1, int(CROWDED * occupied.mean())))
-        goal = max(GATHERED, SHARE * weight.sum())
+        weight = self.weight()
+        goal = self.share * weight.sum()
         weight = weight.tolist()
         for a, b in zip(*self.halves(x)):
             i, j = np.argsort(a, kind="stable").tolist(), np.argsort(b, kind="stable").tolist()
@@ -116,22 +122,71 @@ class MultiIndex:
                     heapq.heappush(heap, (a[p + 1] + b[0], p + 1, 0))
             yield found
 
+    def needed(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The share of entries that a query x[i] must gather to get as far as the cell cells[i] (list, cell)."""
+        weight = self.weight()
+        out = np.empty(len(x))
+        for k, (a, b, (i, j)) in enumerate(zip(*self.halves(x), cells)):
+            before = a[:, None] + b < a[i] + b[j]
+            out[k] = (weight[before].sum() + weight[i, j]) / weight.sum()
+        return out
 
-def build(vectors: DataFrame) -> MultiIndex | None:
+
+def build(vectors: DataFrame, k: int = K) -> MultiIndex | None:
     """From usable vectors (vec_id, embedding)."""
     n = vectors.count()
     if not n:
         return None
     x = matrix(sample(vectors, MAX_FIT, "vec_id").toArrow().column("embedding").combine_chunks())
     h = x.shape[1] // 2
-    k = int(min(MAX_CENTROIDS, max(2, round((n / PER_CELL) ** 0.5))))
-    first, second = k_means(x[:, :h], k), k_means(x[:, h:], k)
-    index = MultiIndex(first, second, np.zeros((len(first), len(second)), np.int64), int(np.clip(2 * n // k, *PART)))
+    size = int(min(MAX_CENTROIDS, max(2, round((n / PER_CELL) ** 0.5))))
+    first, second = k_means(x[:, :h], size), k_means(x[:, h:], size)
+    index = MultiIndex(first, second, np.zeros((len(first), len(second)), np.int64), int(np.clip(2 * n // size, *PART)))
     for r in entries(vectors, index).groupBy("list", "cell").count().collect():  # as many rows as centroid pairs at most
         index.counts[r.list, r.cell] = r["count"]
+    index.share = enough(vectors, index, k)
     return index
 
 
+def enough(vectors: DataFrame, index: MultiIndex, k: int = K) -> float:
+    """The share of entries by which FOUND of the exact neighbours of at most TRIED vectors are met."""
+    tried = sample(vectors, TRIED, "vec_id").toArrow()
+    ids, x = tried.column("vec_id").to_numpy(), matrix(tried.column("embedding").combine_chunks())
+    exact = nearest(vectors, ids, x, k).collect()  # TRIED times k rows at most
+    if not exact:
+        return 1.0
+    near = matrix(pa.array([r.embedding for r in exact]))
+    a, b = index.halves(near)
+    at = np.array([r.row for r in exact])
+    return float(min(1.0, np.quantile(index.needed(x[at], np.stack([a.argmin(1), b.argmin(1)], 1)), FOUND, method="higher")))
+
+
+def nearest(vectors: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
+    """row and embedding of the exact k nearest vectors of each x[row], without those of its id; each task hands on its own k nearest."""
+    held = vectors.sparkSession.sparkContext.broadcast((ids, x))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = held.value
+        far, vector = np.zeros((len(x), 0)), np.zeros((len(x), 0, x.shape[1]))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                some = batch.slice(a, 2048)
+                y = matrix(some.column("embedding"))
+                d = (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)
+                d[some.column("vec_id").to_numpy() == ids[:, None]] = np.inf
+                top = np.argpartition(d, min(k, len(y)) - 1, axis=1)[:, :k]
+                far, vector = np.concatenate([far, np.take_along_axis(d, top, 1)], 1), np.concatenate([vector, y[top]], 1)
+                order = np.argsort(far, axis=1, kind="stable")[:, :k]
+                far, vector = np.take_along_axis(far, order, 1), np.take_along_axis(vector, order[:, :, None], 1)
+        row, at = np.nonzero(np.isfinite(far))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * x.shape[1], pa.int32()), vector[row, at].ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(far[row, at]), lists], ["row", "d", "embedding"])
+
+    parts = vectors.select("vec_id", "embedding").mapInArrow(best, "row int, d double, embedding array<double>")
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("d", "embedding")))
+    return ranked.where(F.col("rank") <= k).select("row", "embedding")
+
+
 def entries(vectors: DataFrame, index: MultiIndex) -> DataFrame:
     """vec_id, embedding, and the list, second centroid (cell) and part of each vector."""
     held = vectors.sparkSession.sparkContext.broadcast(index)
@@ -163,7 +218,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     kind = _kind(vectors)
     vectors, length = usable(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind)).where("vec_id is not null"))
     queries, _ = usable(queries.select(F.col("query_id").cast("long"), F.col("embedding").cast(kind)), length)
-    index = build(vectors)
+    index = build(vectors, k)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     held = vectors.sparkSession.sparkContext.broadcast(index)
@@ -181,27 +236,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     ["query_id", "embedding", "list", "part", "cells"],
                 )
 
-    def rerank(entry: pa.Table, query: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if entry.num_rows and query.num_rows:
-            x, ids, cell = matrix(entry.column("embedding").combine_chunks()), entry.column("vec_id").to_numpy(), entry.column("cell").to_numpy()
-            parts = []
-            for own, v, cells in zip(query.column("query_id").to_numpy(), matrix(query.column("embedding").combine_chunks()), query.column("cells")):
-                wanted = np.zeros(int(cell.max()) + 1, bool)
-                cells = cells.values.to_numpy()
-                wanted[cells[cells < len(wanted)]] = True
-                chosen = np.flatnonzero(wanted[cell] & (ids != own))
-                d = np.sqrt(((x[chosen] - v) ** 2).sum(1))
-                best = np.lexsort((ids[chosen], d))[:k]
-                parts.append((np.full(len(best), own), ids[chosen][best], d[best]))
-            out = [np.concatenate(c) for c in zip(*parts)]
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    # neither side of a group grows with the tables: entries have parts, and queries turns
-    turns = max(1, -(-queries.count() // QUERIES))
-    placed = queries.mapInArrow(visit, f"query_id long, embedding {kind}, list long, part long, cells array<smallint>").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)))
-    listed = entries(vectors, index).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
-    key = ["list", "part", "turn"]
-    near = listed.groupBy(*key).cogroup(placed.groupBy(*key)).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by part, its entries before the queries that visit it."""
+        key, parts, x, ids, cell = None, [], None, None, None
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in ("list", "part", "side")], 1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                some = batch.slice(a, b - a)
+                if key != tuple(place[a, :2]):
+                    key, parts, x = tuple(place[a, :2]), [], None
+                if place[a, 2] == 0:
+                    parts.append((some.column("id").to_numpy(), matrix(some.column("embedding")), some.column("cell").to_numpy(zero_copy_only=False)))
+                elif parts:
+                    if x is None:
+                        ids, x, cell = (np.concatenate(c) for c in zip(*parts))
+                    for own, v, cells in zip(some.column("id").to_numpy(), matrix(some.column("embedding")), some.column("cells")):
+                        wanted = np.zeros(len(index.second), bool)
+                        wanted[cells.values.to_numpy()] = True
+                        chosen = np.flatnonzero(wanted[cell] & (ids != own))
+                        d = np.sqrt(((x[chosen] - v) ** 2).sum(1))
+                        best = np.lexsort((ids[chosen], d))[:k]
+                        out.append((np.full(len(best), own), ids[chosen][best], d[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+
+    placed = queries.mapInArrow(visit, f"query_id long, embedding {kind}, list long, part long, cells array<smallint>")
+    none = lambda t: F.lit(None).cast(t)
+    each = entries(vectors, index).select("list", "part", F.lit(0).alias("side"), F.col("vec_id").alias("id"), "embedding", "cell", none("array<smallint>").alias("cells")).unionByName(
+        placed.select("list", "part", F.lit(1).alias("side"), F.col("query_id").alias("id"), "embedding", none("long").alias("cell"), "cells"))
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = each.repartition(n, "list", "part").sortWithinPartitions("list", "part", "side")
+    near = dealt.mapInArrow(rerank, "query_id long, vec_id long, score double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
