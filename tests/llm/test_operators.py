@@ -469,3 +469,23 @@ def test_html(spark):
     page = "<html><body><nav><a href=x>m</a></nav><article><h1>A &amp; B</h1><p>One  two<br>three.<p>Four &am</article><footer>f</footer><script>x</script>"
     rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p")], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html_text.extract(rows).collect()} == {1: "A & B\nOne two three.\nFour &am", 2: "", 3: "", 4: ""}
+
+
+LONG = "This is a longer paragraph number {} of the article, with some words more in it."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><body><article><h1>A title 1</h1>{0}<ul class='comments'><li>Great post, thanks a lot!</li><li>I do not agree with this at all.</li></ul></article></body></html>", "A title 1\n{1}"),
+        ("<article><h1>A title 1</h1>{0}<ul class='comments'><li><b>Bob</b> Great post, thanks!</li><li><p>I do not agree.</p></li></ul></article>", "A title 1\n{1}"),
+        ("<html><body><article><p>One short paragraph here.</p><section class='comments'><h3>Comments</h3><p>Great post of yours.</p></section></article></body></html>", "One short paragraph here."),
+        ("<html><body><table><tr><td><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></td><td><article>{0}</article></td></tr></table></body></html>", "{1}"),
+        ("<table><tr><td><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></td><td><h1>A title 1</h1>{0}</td></tr></table>", "A title 1\n{1}"),
+        ("just text", "just text"), ("<body>two words</body>", "two words"), ("<p>word</p>", "word"),
+        ("<article><p>Before the table stands this.</p><table><tr><td>1</td><td>two</td></tr></table><ul><li>One item.</li></ul></article>", "Before the table stands this.\n1\ntwo\nOne item."),
+    ],
+)
+def test_html_comments_menus_and_short_pages(page, text):
+    lines = [LONG.format(i) for i in range(6)]
+    assert html_text.trained().text(page.replace("{0}", "".join(f"<p>{x}</p>" for x in lines))) == text.replace("{1}", "\n".join(lines))

@@ -71,6 +71,7 @@ class Node:
     all_links: int = 0
     all_blocks: int = 0
     words: tuple[str, ...] = ()  # of its text, if that is short
+    under: tuple[str, ...] = ()  # marks of the nearest element around it that has any
 
 
 @dataclass
@@ -189,7 +190,7 @@ def parse(page: str) -> Page:
         node = opened.stack[-1][1]
         if tag in BLOCKS and not opened.unseen:
             marks = tuple(w for x in _MARKS.findall(rest) for w in _TOKEN.findall(x.lower())) if rest else ()
-            nodes.append(Node(tag, node, marks, told))
+            nodes.append(Node(tag, node, marks, told, under=nodes[node].marks or nodes[node].under))
             node = len(nodes) - 1
         opened.push(tag, node)
         if tag in RAW:
@@ -234,15 +235,20 @@ def _bands(page: Page) -> list[tuple[int, ...]]:
 def _shape(tag: str, parent: str, marked: bool, bands: tuple[int, ...]) -> list[str]:
     text, blocks, sentences, links, length, share, of_parent, place, behind, alike = bands
     return [
-        f"tag {tag} {text}", f"in {parent}", f"tag {tag} in {parent}", f"marked {marked} {tag}", f"text {text} {sentences}", f"links {links} {blocks}", f"share {share}", f"length {length}", f"links {links} length {length}",
+        f"share {share} {blocks}", f"tag {tag} {text}", f"in {parent}", f"tag {tag} in {parent}", f"marked {marked} {tag}", f"text {text} {sentences}", f"links {links} {blocks}", f"share {share}", f"length {length}", f"links {links} length {length}",
         f"of parent {of_parent}", f"place {place}", f"behind {behind}", f"alike {alike} {tag}", f"sentences {sentences} length {length} links {links > 0}", f"behind {behind} sentences {sentences}", f"place {place} links {links > 1}",
     ]
 
 
+def _told(x: Node) -> set[str]:
+    """What a node's marks and words, and the marks around it, say."""
+    return {*(f"mark {w}" for w in x.marks), *(f"word {w}" for w in x.words), *(f"under {w}" for w in x.under)}
+
+
 def features(page: Page) -> list[list[str]]:
     """Of every node."""
     return [
-        [*_shape(x.tag, page.nodes[x.parent].tag if x.parent >= 0 else "", bool(x.marks), bands), *{f"mark {w}" for w in x.marks}, *{f"word {w}" for w in x.words}]
+        [*_shape(x.tag, page.nodes[x.parent].tag if x.parent >= 0 else "", bool(x.marks), bands), *_told(x)]
         for x, bands in zip(page.nodes, _bands(page))
     ]
 
@@ -269,8 +275,8 @@ class Model:
             if len(self.shapes) > 200_000:
                 self.shapes.clear()
             z = self.shapes[key] = self.bias + sum([self.weights.get(f, 0.0) for f in _shape(*key)])
-        if x.marks or x.words:
-            z += sum([self.weights.get(f, 0.0) for f in {*(f"mark {w}" for w in x.marks), *(f"word {w}" for w in x.words)}])
+        if x.marks or x.words or x.under:
+            z += sum([self.weights.get(f, 0.0) for f in _told(x)])
         return 1 / (1 + math.exp(-max(-20.0, min(20.0, z))))
 
     def marginals(self, page: Page) -> list[float]:
@@ -323,7 +329,7 @@ _AROUND = {
     "notice": ['<div class="cookie">', '<div class="notice">', '<div id="cookie-consent">', '<div class="alert">', '<div class="popup">', '<div class="modal">', '<div class="gdpr">', '<p class="notice">', '<div class="disclaimer">', '<div role="alert">', '<div class="message">', '<div class="warning">'],
     "advert": ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="advertisement">', '<div id="ad-top">', '<div class="sponsored">', '<div class="promo">', '<aside class="ad">', '<div class="sponsor">', '<p class="ad">'],
     "form": ['<form>', '<form class="search">', '<div class="newsletter">', '<div class="subscribe">', '<form id="login">', '<div class="signup">', '<div class="share">', '<div class="social">', '<div role="search">', '<div class="contact-form">'],
-    "comments": ['<div class="comments">', '<section id="comments">', '<div id="respond">', '<div class="comment-list">', '<ol class="commentlist">', '<div class="comment">', '<div class="replies">', '<section class="reader-comments">', '<div class="discussion">', '<div id="disqus-thread">', '<section class="comments">'],
+    "comments": ['<ul class="comments">', '<ul id="comments">', '<ol class="comment-list">', '<ul class="comment-thread">', '<div class="comments">', '<section id="comments">', '<div id="respond">', '<div class="comment-list">', '<ol class="commentlist">', '<div class="comment">', '<div class="replies">', '<section class="reader-comments">', '<div class="discussion">', '<div id="disqus-thread">', '<section class="comments">'],
 }
 
 
@@ -388,7 +394,7 @@ def labelled_pages(n: int, seed: int = 5, content_marks: list[str] = _CONTENT, a
         link = lambda t: f"<a href=/x>{t}</a>"
         if kind == "menu" or tag.startswith(("<ul", "<ol")) or kind == "side" and (not marked or chance(0.6)):
             if kind == "comments":
-                body = "".join(f"<li><p>{words(5, 30)}</p></li>" for _ in range(int(rng.integers(1, 6))))
+                body = "".join(pick(["<li>{}</li>", "<li><p>{}</p></li>", '<li class="comment"><p>{}</p></li>', "<li><b>Name</b> {}</li>", "<li><div>{}</div></li>"]).format(words(2, 30)) for _ in range(int(rng.integers(1, 6))))
             else:
                 items = [link(short() + "." * int(chance(0.1))) for _ in range(int(rng.integers(1, 9)))]
                 body = "".join(f"<li>{x}</li>" for x in items) if tag.startswith(("<ul", "<ol")) or chance(0.7) else pick([" ", " | ", " - "]).join(items)
@@ -402,8 +408,12 @@ def labelled_pages(n: int, seed: int = 5, content_marks: list[str] = _CONTENT, a
             body = pick(["{}", "<p>{}</p>", "<span>{}</span>"]).format(". ".join(f"{pick(_SAID[kind])} {(number := number + 1)}" for _ in range(int(rng.integers(1, 4)))) if not tag.startswith("<p") else f"{pick(_SAID[kind])} {(number := number + 1)}")
             if tag.startswith("<p"):
                 body = re.sub("</?p>", "", body)
+            if kind == "foot" and chance(0.3):
+                body = f"© {words(1, 3, '')} · {words(2, 20)}"
         else:
             text = words(2, 40) if kind in ("notice", "advert", "side", "foot") else words(1, 8, "")
+            if kind == "foot" and chance(0.3):
+                text = f"© {words(1, 3, '')} · {text}"
             body = pick(["{}", "<p>{}</p>", "<div>{}</div>", "<span>{}</span>"]).format(f"{short()} {text}" if said else text)
         return tag + body + _close(tag)
 
@@ -417,13 +427,15 @@ def labelled_pages(n: int, seed: int = 5, content_marks: list[str] = _CONTENT, a
             content.add(text)
             return inline(text)
 
+        brief = chance(0.15)  # a short article, with as much around it as any other
+
         def parts(inside: bool) -> list[str]:
-            out = [f"<h1>{block(2, 12)}</h1>"] if chance(0.8) else []
+            out = [f"<h1>{block(1, 12)}</h1>"] if chance(0.5 if brief else 0.8) else []
             if out and chance(0.25) and inside:
                 out[0] = f"<header>{out[0]}</header>"
-            if chance(0.9):
-                out.append(f"<p>{block(8, 90)}</p>")
-            for _ in range(int(rng.integers(0, 9))):
+            if brief or chance(0.9):
+                out.append(f"<p>{block(3, 15) if brief else block(8, 90)}</p>")
+            for _ in range(0 if brief else int(rng.integers(0, 9))):
                 r = rng.random()
                 if r < 0.7:
                     out.append(f"<p>{block()}{pick(['</p>', '</p>', ''])}")
@@ -438,13 +450,13 @@ def labelled_pages(n: int, seed: int = 5, content_marks: list[str] = _CONTENT, a
                 else:
                     out.append(f"<div>{block()}</div>")
             for kind in ("advert", "form", "comments", "notice", "side"):
-                if inside and chance(0.12):
+                if inside and chance(0.5 if brief and kind == "comments" else 0.12):
                     out.insert(len(out) if kind == "comments" else int(rng.integers(0, len(out) + 1)), around(kind, True))
             return out
 
         if loose:  # text without any element, or a few paragraphs and nothing else
-            some = block(3, 90) if chance(0.4) else "".join(f"<p>{block(2, 60)}</p>" for _ in range(int(rng.integers(1, 4))))
-            yield pick(["{}", "<body>{}", "<html><body>{}</body></html>"]).format(some), content
+            some = block(1, 3 if chance(0.6) else 90) if chance(0.5) else "".join(f"<p>{block(1, 3 if chance(0.3) else 60)}</p>" for _ in range(int(rng.integers(1, 4))))
+            yield pick(["{}", "{}", "<body>{}", "<html><body>{}</body></html>"]).format(some), content
             continue
         containers = []
         for _ in range(2 if chance(0.08) else 1):
@@ -460,6 +472,11 @@ def labelled_pages(n: int, seed: int = 5, content_marks: list[str] = _CONTENT, a
             if chance(0.08):
                 inner = f"{(t := dull(['div']))}{inner}</div>"
             containers.append(f"<table><tr>{inner}</tr></table>" if tag.startswith("<td") else inner)
+        if chance(0.1):  # a table lays the page out, with the menu in a cell
+            links = [f"<a href=/x>{words(1, 3, '')}</a>" for _ in range(int(rng.integers(2, 9)))]
+            menu = pick([" ".join(links), " | ".join(links), "<br>".join(links), "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"])
+            cells = [f"{dull(['td'])}{menu}</td>", f"{dull(['td'])}{''.join(containers)}</td>"]
+            containers = [f"<table><tr>{''.join(cells if chance(0.8) else cells[::-1])}</tr></table>"]
         silent = not marked or plain
         before = [around(k, not silent or chance(0.3)) for k in ("head", "menu", "notice", "advert", "form") if chance(0.45) and not alone and not (silent and k == "head")]
         after = [around(k, not silent or k == "comments" or chance(0.3)) for k in ("comments", "side", "advert", "foot", "form", "menu") if chance(0.45) and not alone]
