@@ -133,3 +133,14 @@ def test_merged_volume(spark):
     merged, whole = report.volume_of(report.merged_volume(parts)).first(), report.volume_of(report.volume(rows)).first()
     assert merged == whole and abs(merged.results - 20_000) < 400
     assert report.volume_of(report.volume(rows.limit(0))).first() == (0, 0)
+
+
+def test_previous_within_a_value(spark):
+    rows = [("h", i, f"v{i}") for i in range(0, 40, 3)] + [("g", 5, "x"), (None, 1, "n1"), (None, 2, "n2")]
+    want = {}
+    for by in {r[0] for r in rows}:
+        own = sorted((o, v) for b, o, v in rows if b == by)
+        want |= {(by, o): own[i - 1][1] if i else None for i, (o, _) in enumerate(own)}
+    frame = spark.createDataFrame(rows, "host string, o int, v string").repartition(6)
+    assert {(r.host, r.o): r.before for r in joins.with_previous(frame, "host", ["o"], "v", "before").collect()} == want
+    assert {(r.host, r.o): r.n for r in joins.numbered_within(frame, "host", ["o"]).collect()} == {(b, o): sum(x[0] == b and x[1] < o for x in rows) for b, o, _ in rows}

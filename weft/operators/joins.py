@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, urls
@@ -17,7 +17,12 @@ MAX_REDIRECTS = 10
 
 def kept(df: DataFrame) -> DataFrame:
     """df, written to the session's checkpoint folder and read back: cuts the lineage of a loop."""
-    spark = df.sparkSession
+    return kept_and_counted(df)[0]
+
+
+def kept_and_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """As kept, and the number of rows, which the write itself counts."""
+    spark, seen = df.sparkSession, Observation()
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -25,8 +30,8 @@ def kept(df: DataFrame) -> DataFrame:
         base = tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 def with_results(occurrences: DataFrame, results: DataFrame, key: str = "cache_url") -> DataFrame:
@@ -111,6 +116,29 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataFra
     return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
+def numbered_within(rows: DataFrame, by: str, order: Sequence[str], name: str = "n") -> DataFrame:
+    """rows with their numbers from 0 within each value of a column, null among them.
+
+    They are numbered across partitions by that column and the order, and a row's
+    place is its number behind the first of its value; so a value with very many
+    rows is in no one task, as it would be under a window.
+    """
+    placed = numbered(rows, [by, *order], "_n")
+    first = placed.groupBy(F.col(by).alias("_by")).agg(F.min("_n").alias("_first"))
+    return placed.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, F.col("_n") - F.col("_first")).drop("_n", "_first", "_by")
+
+
+def with_previous(rows: DataFrame, by: str, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """rows with the value of the row before, in the given order, within each value of a column; null for the first.
+
+    Neighbours meet by their numbers across partitions, whatever the size of a value.
+    """
+    placed = numbered(rows, [by, *order], "_n")
+    before = placed.select((F.col("_n") + 1).alias("_n"), F.col(by).alias("_by"), F.col(value).alias(name))
+    met = placed.join(before, "_n", "left")
+    return met.withColumn(name, F.when(F.col(by).eqNullSafe(F.col("_by")), F.col(name))).drop("_n", "_by")
+
+
 def graph_nodes(records: DataFrame) -> DataFrame:
     """The first valid record of each URL, numbered from 0 without gaps in order of seq.
 
@@ -191,15 +219,14 @@ def crawl(seeds: DataFrame, links: DataFrame, results: DataFrame, max_level: int
         first = found.groupBy("url").agg(F.min("seq").alias("seq"))
         return (first if budget is None else numbered(first, ["seq", "url"], "n").where(F.col("n") < budget - taken)).select("url")
 
-    frontier = kept(within(ordered(seeds).select("url", "seq")).withColumn("level", F.lit(0)))
+    frontier, n = kept_and_counted(within(ordered(seeds).select("url", "seq")).withColumn("level", F.lit(0)))
     seen = frontier
     for level in itertools.count(1) if max_level is None else range(1, max_level + 1):
-        n = frontier.count()
         taken += n
         if not n or taken == budget:
             break
         found = edges.join(frontier.select(F.col("url").alias("parent_url")), "parent_url").select("url", "seq")
-        frontier = kept(within(found.join(seen, "url", "left_anti")).withColumn("level", F.lit(level)))
+        frontier, n = kept_and_counted(within(found.join(seen, "url", "left_anti")).withColumn("level", F.lit(level)))
         seen = seen.unionByName(frontier)
         if level % 16 == 0:
             seen = kept(seen)  # the plan stays small, however many rounds there are
@@ -230,16 +257,9 @@ def crawl_site(seeds: DataFrame, links: DataFrame, results: DataFrame, in_scope:
 
 
 def schedule(requests: DataFrame, rate: int = 10, delay: str | None = None) -> DataFrame:
-    """The least due time in ms of each request of a host (host, seq), by the rate or a delay column in s.
-
-    Requests are numbered by host and seq across partitions, so a host with very
-    many of them is in no one task; a request's place is its number behind its host's first.
-    """
+    """The least due time in ms of each request of a host (host, seq), by the rate or a delay column in s."""
     gap = F.coalesce(F.col(delay) * 1000, F.lit(1000 // rate)) if delay else F.lit(1000 // rate)
-    placed = numbered(requests, ["host", "seq"], "_n")
-    first = placed.groupBy("host").agg(F.min("_n").alias("_first"))
-    same = F.col("host").eqNullSafe(F.col("_host"))
-    return placed.join(first.withColumnRenamed("host", "_host"), same).withColumn("due_ms", ((F.col("_n") - F.col("_first")) * gap).cast("long")).drop("_n", "_first", "_host")
+    return numbered_within(requests, "host", ["seq"], "_place").withColumn("due_ms", (F.col("_place") * gap).cast("long")).drop("_place")
 
 
 def one_per_host(fetches: DataFrame) -> DataFrame:

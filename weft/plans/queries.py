@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, urls
@@ -112,10 +112,13 @@ def u18_url_classes(spark, d):
 
 
 def u23_duplicate_urls(spark, d):
-    """Each URL with the shortest one of the same content key, if that is another and stands within it."""
-    pages = _table(spark, d, "pages").select("url").distinct().withColumn("k", urls.content_key(F.col("url")))
-    first = pages.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct(F.length("url").alias("len"), "url")).alias("x")).where("n > 1").select("k", F.col("x.url").alias("same_as"))
-    return pages.join(first, "k").where((F.col("url") != F.col("same_as")) & F.col("url").contains(F.col("same_as"))).select("url", "same_as")
+    """Each URL with the shortest one of the same content key, if that is another and stands within it; some pages are named in other ways, too."""
+    pages = _table(spark, d, "pages")
+    bare = F.regexp_replace(urls.cache_key(F.col("url")), "/$", "")
+    named = pages.select("url").unionByName(pages.where("page_id % 2 = 0").select(F.concat(bare, F.lit("/index.html")).alias("url"))).unionByName(pages.where("page_id % 3 = 0").select(F.concat(bare, F.lit("/#top")).alias("url")))
+    keyed = named.distinct().withColumn("k", urls.content_key(F.col("url")))
+    first = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct(F.length("url").alias("len"), "url")).alias("x")).where("n > 1").select("k", F.col("x.url").alias("same_as"))
+    return keyed.join(first, "k").where((F.col("url") != F.col("same_as")) & F.col("url").contains(F.col("same_as"))).select("url", "same_as")
 
 
 def x5_ip_numbers(spark, d):
@@ -186,10 +189,13 @@ def r2_crawl_delays(spark, d):
 
 
 def j6_broken_anchors(spark, d):
-    """Pages' own fragments against the anchors that pages have."""
+    """Pages' own fragments against the anchors that pages have; every other page has its own fragment, and all have one of their number."""
     pages = _table(spark, d, "pages")
-    wanted = pages.select("page_id", urls.cache_key(F.col("url")).alias("cache_url"), urls.part(F.col("url"), "fragment").alias("fragment"))
-    held = extract.anchors(pages).select(urls.cache_key(F.col("url")).alias("url"), "anchor")
+    fragment = urls.part(F.col("url"), "fragment")
+    wanted = pages.select("page_id", urls.cache_key(F.col("url")).alias("cache_url"), fragment.alias("fragment"))
+    own = F.when((F.col("page_id") % 2 == 0) & (fragment != ""), F.concat(F.lit('<p id="'), fragment, F.lit('">'))).otherwise("")
+    html = F.concat(F.lit('<a name="n'), F.col("page_id"), F.lit('"></a>'), own, "html")
+    held = extract.anchors(pages.select("page_id", "url", html.alias("html"))).select(urls.cache_key(F.col("url")).alias("url"), "anchor")
     return joins.broken_anchors(wanted, held).select("page_id", "fragment", "available")
 
 
@@ -203,9 +209,9 @@ def j7_redirects(spark, d):
 def _records(pages: DataFrame) -> DataFrame:
     """Pages as log records, each linked from the page before it on the same host."""
     host = urls.host(F.col("url"))
-    before = F.lag("u").over(Window.partitionBy("host").orderBy("page_id"))
     f = fetches(pages).select("page_id", "status", "content_type", "size")
-    base = extract.titles(pages).join(pages.select("page_id", urls.cache_key(F.col("url")).alias("u"), host.alias("host")), "page_id").withColumn("parent_url", before)
+    placed = joins.with_previous(pages.select("page_id", urls.cache_key(F.col("url")).alias("u"), host.alias("host")), "host", ["page_id"], "u", "parent_url")
+    base = extract.titles(pages).join(placed, "page_id")
     return base.join(f, "page_id").select(F.col("page_id").alias("seq"), F.col("u").alias("url"), F.col("u").alias("cache_url"), "parent_url", F.col("title").alias("label"), rules.status_valid(F.col("status")).alias("valid"), "content_type", "size",
                                           rules.warnings(rules.status_rule(F.col("status")), *rules.size_rules(F.col("size"), 20_000)).alias("warnings"), rules.status_result(F.col("status")).alias("result"))
 
@@ -560,8 +566,8 @@ def t3_stream_stats(spark, d):
 def s2_url_list(spark, d):
     """Lists of the hosts' URLs, with a comment and a blank line each."""
     pages = _table(spark, d, "pages").where("url is not null").select(urls.host(F.col("url")).alias("host"), "url")
-    # a body for each page, with the lines that stand before it in its host's list; a window sorts on disk
-    parts = pages.withColumn("before", F.row_number().over(Window.partitionBy("host").orderBy("url")) - 1).select(F.struct("host", "before").alias("part"), F.concat(F.lit("# list\n\n"), "url").alias("body"))
+    # a body for each page, with the lines that stand before it in its host's list
+    parts = joins.numbered_within(pages, "host", ["url"], "before").select(F.struct("host", "before").alias("part"), F.concat(F.lit("# list\n\n"), "url").alias("body"))
     return scans.url_list(parts, "part").select("part.host", (F.col("line") + F.col("part.before")).cast("long").alias("line"), "raw_url")
 
 

@@ -92,7 +92,9 @@ SELECT page_id, 'http' AS class, {_SCHEME} || '://' || {_NETLOC} || '/robots.txt
        CASE WHEN regexp_matches(url, '^https?://www\\.') THEN 'http://' ELSE '' END || regexp_replace(url, '^https?://', '') AS guessed,
        {_HOST} LIKE '%.example.org' OR {_HOST} = 'example.com' AS listed FROM pages""",
     "u23_duplicate_urls": f"""
-WITH k AS (SELECT DISTINCT url, regexp_replace(regexp_replace({_KEY}, '/index\\.html?$', '/'), '/$', '') AS k FROM pages),
+WITH named AS (
+  SELECT url FROM pages UNION SELECT regexp_replace({_KEY}, '/$', '') || '/index.html' FROM pages WHERE page_id % 2 = 0 UNION SELECT regexp_replace({_KEY}, '/$', '') || '/#top' FROM pages WHERE page_id % 3 = 0),
+k AS (SELECT DISTINCT url, regexp_replace(regexp_replace({_KEY}, '/index\\.html?$', '/'), '/$', '') AS k FROM named),
 f AS (SELECT url, k, first_value(url) OVER (PARTITION BY k ORDER BY length(url), url) AS same_as FROM k)
 SELECT url, same_as FROM f WHERE url <> same_as AND contains(url, same_as)""",
     "x5_ip_numbers": """
@@ -123,7 +125,7 @@ WITH {_ROBOTS}
 SELECT origin, CAST(CASE WHEN n = 2 THEN 3 END AS BIGINT) AS crawl_delay, CASE WHEN n = 2 THEN '/s.xml' END AS sitemap, CAST(CASE WHEN n = 2 THEN 9 END AS BIGINT) AS line,
        CASE n WHEN 1 THEN 'User-agent: other' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /de' || chr(10) || 'Allow: /'
               WHEN 2 THEN 'User-agent: weftbot' || chr(10) || 'Crawl-delay: 3' || chr(10) || 'Disallow: /en' || chr(10) || 'Allow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /' END AS text FROM body""",
-    "j6_broken_anchors": f"SELECT page_id, {_FRAGMENT} AS fragment, '-' AS available FROM pages WHERE contains(url, '#')",
+    "j6_broken_anchors": f"SELECT page_id, {_FRAGMENT} AS fragment, 'n' || page_id AS available FROM pages WHERE {_FRAGMENT} <> '' AND page_id % 2 = 1",
     "j7_redirects": f"""
 WITH RECURSIVE {_FETCHES},
 hop AS (SELECT {_KEY.replace('url', 'a.url')} AS from_url, min({_KEY.replace('url', 'b.url')}) AS to_url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 8 IN (3, 4, 5) AND a.page_id % 20 <> 7 GROUP BY 1),
