@@ -16,7 +16,7 @@ import pyarrow as pa
 #: Bytes hashed at once; longer texts are cut at white space only.
 SEGMENT = 1 << 20
 #: Text bytes handled at once by the operators.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
