@@ -32,6 +32,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ NEARLY = 1 / 128
 FAN_IN = 8
 #: Pieces of a task of the first round.
 TASK_PIECES = 50_000
-#: Chunks a worker remembers.
-REMEMBERED = 800_000
+#: Chunks a worker remembers at most, and how many from one task to the next.
+REMEMBERED, KEPT = 600_000, 300_000
 #: White space that is not ASCII, and control characters that some libraries take for it.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Next to each other, these blanks belong to one run, which must not be cut.
@@ -111,8 +112,9 @@ class Encoder:
         held = set().union(*filter(None, cut))
         new = [c for c in held if c not in known]
         if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(held)
+            self.forget()
+            known = self.known
+            new = [c for c in held if c not in known]
         other = []
         for c in new:
             if (ids := self._word(c)) is None:
@@ -126,6 +128,11 @@ class Encoder:
         return [next(alone) if c is None else next(alone) + b"".join(map(look_up, c)) for c in cut]
 
 
+    def forget(self) -> None:
+        """All but the words that were met first, among which are the frequent ones."""
+        self.known = dict(islice(self.known.items(), KEPT))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -161,6 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                 if ids:
                     columns, names = [*columns, pa.array(tokens_of, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        enc.forget()  # the worker goes on to other tasks
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + (", ids array<int>" if ids else ""))
 
