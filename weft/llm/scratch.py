@@ -34,3 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of at most ``size`` bytes for the session's Python steps, unless its configuration says otherwise.
+
+    By default a batch may hold 64 MB, of which a task has several at once in
+    the executor and in Python; long texts fill them.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name) is None:
+        spark.conf.set(name, str(size))
