@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import language, neardup, packing, substrings, toxicity
-from weft.llm.scratch import table, written
+from weft.llm.scratch import bounded_batches, table, written
 
 #: A document whose most likely language is less likely than this is of no known language.
 LEAST_LANGUAGE = 0.35
@@ -23,6 +23,7 @@ LEAST_LANGUAGE = 0.35
 
 def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     """doc_id, text and all other columns as one, so that no name of theirs meets one that an operator adds; and how to get them back."""
+    bounded_batches(docs.sparkSession)
     own = ("doc_id", "text")
     rest = [F.col(c) for c in docs.columns if c not in own] or [F.lit(None).cast("string").alias("none")]
     return docs.select(*own, F.struct(*rest).alias("_rest")), [F.col(c) if c in own else F.col("_rest")[c].alias(c) for c in docs.columns]
@@ -30,15 +31,15 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of operator 5, trained on all labels of the corpus."""
-    model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
     rows, columns = _apart(docs)
+    model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(rows, model).where(F.col("score") < toxicity.THRESHOLD).select(*columns)
 
 
 def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that operator 4 has learned from the corpus and is sure enough of."""
-    net = language.train(docs)
     rows, columns = _apart(docs)
+    net = language.train(docs)
     return language.predict(rows, net).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*columns)
 
 
@@ -57,6 +58,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10's pieces with their sequences and places."""
+    bounded_batches(spark)
     return packing.pack(written(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces"))
 
 
