@@ -175,6 +175,7 @@ def test_divergence(spark, tables, monkeypatch, rows, cells):
 
 
 def test_partial_counts_are_bounded(monkeypatch):
+    monkeypatch.setattr(divergence, "GATHERED", 20)
     monkeypatch.setattr(divergence, "HELD", 50)
     rows = [(f"{i} " + " ".join(f"w{'abcdefghij'[i % 10]}{'abcdefghij'[j]}" for j in range(10)), "en", f"s{i % 2}") for i in range(100)]
     batch = pa.RecordBatch.from_pylist([dict(zip(("text", "lang", "source"), r)) for r in rows])

@@ -53,8 +53,8 @@ TOP = 200
 #: Rows of a shard, about, and cells of its matrix that are computed at once.
 SHARD_ROWS = 250_000
 CELLS = 1 << 20
-#: Rows of partial counts that a task holds before it merges them, and after that before it hands them on.
-HELD = 1 << 20
+#: Rows of partial counts that a task gathers before it merges them, and that it holds merged before it hands them on.
+GATHERED, HELD = 1 << 18, 1 << 20
 
 _COUNTS = "lang string, source string, term string, n long, docs long"
 _NAMES = ["lang", "source", "term", "n", "docs"]
@@ -89,7 +89,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             held.append(_counted(part))
-            if sum(t.num_rows for t in held) - merged > HELD:
+            if sum(t.num_rows for t in held) - merged > GATHERED:
                 held = [_merged(held)]
                 merged = held[0].num_rows
                 if merged > HELD:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, clustering, divergence, html_text, language, licenses, neardup, neighbours, packing, quality, substrings, token_counts, toxicity
 from .features import fold
-from .scratch import table, written
+from .scratch import bounded_batches, table, written
 from .sql import SQL  # noqa: F401
 
 
@@ -72,6 +72,7 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
