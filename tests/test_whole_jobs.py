@@ -126,3 +126,14 @@ def test_schedule(spark):
     assert {(r.host, r.seq): r.due_ms for r in joins.schedule(rows).collect()} == {**{("h", i): 100 * i for i in range(9)}, ("g", 4): 0, (None, 1): 0}
     assert {(r.host, r.seq): r.due_ms for r in joins.schedule(rows, delay="wait").collect()} == {**{("h", i): i * (2000 if i % 2 else 100) for i in range(9)}, ("g", 4): 0, (None, 1): 0}
     assert joins.schedule(rows.limit(0)).count() == 0
+
+
+def test_sketches_of_a_stream(spark, tmp_path):
+    """The keys of a stream's kinds, merged, are those of all its rows."""
+    rows = spark.range(3000).select(F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 3 == 0, "error").otherwise("view").alias("event_type"), (F.col("id") % 500).alias("user_id"))
+    rows.repartition(3).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    got = jobs.run_once(jobs.running_statistics(stream, "user_id"), "complete", str(tmp_path / "state"))
+    assert {r.event_type: r.number for r in got.collect()} == {"error": 1000, "view": 2000}
+    merged = report.volume_of(report.merged_volume(got.select(F.col("number").alias("bytes"), "keys"))).first()
+    assert merged.bytes == 3000 and abs(merged.results - 500) <= 10

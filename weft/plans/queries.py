@@ -150,9 +150,10 @@ def f13_mail_syntax(spark, d):
 
 
 def j1_link_results(spark, d):
-    links = page_links(_table(spark, d, "pages")).withColumn("cache_url", urls.cache_key(F.col("url")))
-    got = joins.with_results(links, targets(links))
-    return got.select("parent_url", F.col("seq").cast("long").alias("seq"), "cache_url", "valid", rules.status_result(F.col("status")).alias("result"))
+    """The links are made once, for their own rows and for the keys that they have."""
+    links = joins.kept(page_links(_table(spark, d, "pages")).select("parent_url", F.col("seq").cast("long").alias("seq"), urls.cache_key(F.col("url")).alias("cache_url")))
+    got = joins.with_results(links, targets(links.select(F.col("cache_url").alias("url"))))
+    return got.select("parent_url", "seq", "cache_url", "valid", rules.status_result(F.col("status")).alias("result"))
 
 
 def j2_broken_by_host(spark, d):

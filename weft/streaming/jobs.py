@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import report
+
 
 def first_seen(checks: DataFrame, key: str, time: str = "ts", delay: str = "7 days") -> DataFrame:
     """Keys, each once within the delay; a key's state goes when the watermark has passed it."""
@@ -70,9 +72,11 @@ def streaks(checks: DataFrame, delay: str | None = None) -> DataFrame:
     return placed.groupBy("user_id").transformWithStateInPandas(processor, outputStructType="user_id long, failures long", outputMode="Update", timeMode="EventTime" if delay else "None")
 
 
-def running_statistics(checks: DataFrame) -> DataFrame:
-    """Number, errors and value sum by kind."""
-    return checks.groupBy("event_type").agg(F.count("*").alias("number"), F.sum((F.col("event_type") == "error").cast("long")).alias("errors"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+def running_statistics(checks: DataFrame, distinct: str | None = None) -> DataFrame:
+    """Number, errors and times by kind; with a column named, a sketch of its distinct values, which G4 merges and reads."""
+    sketch = [F.hll_sketch_agg(distinct, report.SKETCH_BITS).alias("keys")] if distinct else []
+    return checks.groupBy("event_type").agg(
+        F.count("*").alias("number"), F.sum((F.col("event_type") == "error").cast("long")).alias("errors"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *sketch)
 
 
 def run_once(stream: DataFrame, mode: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
