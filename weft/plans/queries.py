@@ -60,6 +60,22 @@ def e1_page_links(spark, d):
     return extract.links(_table(spark, d, "pages")).select("page_id", F.col("seq").cast("long").alias("seq"), "tag", "attr", "raw_url")
 
 
+def e1_planted_links(spark, d):
+    """The links of the pages with one more case of markup at the end of each, by its id."""
+    added = F.array(*[F.lit(a) for a, _ in cases.TABLES["e1_link_cases"][1]])
+    html = F.concat("html", F.get(added, F.pmod("page_id", F.size(added))))
+    return extract.links(_table(spark, d, "pages").select("page_id", "url", html.alias("html"))).select("page_id", "tag", "attr", "raw_url")
+
+
+def u2_spoilt_urls(spark, d):
+    """The pages' URLs, written with capitals, the default port and a way there and back, and normalised again."""
+    u = F.col("url")
+    scheme, path = urls.part(u, "scheme"), urls.part(u, "path")
+    rest = F.regexp_extract(u, r"^[^?#]*(.*)$", 1)
+    spoilt = F.concat(F.upper(scheme), F.lit("://"), F.upper(urls.part(u, "netloc")), F.lit(".:"), urls.port(u), F.regexp_replace(path, "^/", "/./q/..//"), rest)
+    return _table(spark, d, "pages").select("page_id", spoilt.alias("spoilt")).select("page_id", urls.normalise(F.col("spoilt")).alias("url"))
+
+
 def e7_link_names(spark, d):
     return extract.link_names(_table(spark, d, "pages"))
 
@@ -695,7 +711,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         s3_seed_words, s4_css_links, s5_sitemaps, s8_binary_urls, s9_markdown_links, s13_directory, s14_ftp_listing, s16_header_links,
         s18_sniffed_types, e9_anchors, e10_meta_robots, e11_forms, x11_text_functions, x22_mail_addresses, j8_alias_results, j15_resolved_hosts,
         k4_text_report, w2_host_audit, l1_budget_occurrences, j1_hot_links, j3_rule_table, j12_network_table, u22_domain_table, g4_volume,
-        s8_binary_files, s13_file_tree, p2_content_rules,
+        s8_binary_files, s13_file_tree, p2_content_rules, e1_planted_links, u2_spoilt_urls,
     )
 }
 QUERIES |= cases.QUERIES

@@ -227,6 +227,11 @@ SELECT r.url, CAST(min(r.level) AS BIGINT) AS level, min(s.state) AS state FROM
 WITH {_RECORDS}, found AS (
   SELECT url, seq, 0 AS level FROM record WHERE parent_url IS NULL UNION ALL SELECT r.url, r.seq, 1 FROM record r JOIN record p ON r.parent_url = p.url AND p.parent_url IS NULL)
 SELECT url, CAST(level AS BIGINT) AS level FROM (SELECT url, min(level) AS level, arg_min(seq, (level, seq)) AS seq FROM found GROUP BY url) ORDER BY level, seq, url LIMIT 40""",
+    "e1_planted_links": f"""
+WITH {_LINKS},
+added(i, tag, attr, raw_url) AS (VALUES {", ".join(f"({i}, " + ", ".join(cases._literal(x) for x in v.split(" ", 2)) + ")" for i, (_, values) in enumerate(cases.TABLES["e1_link_cases"][1]) for v in values)})
+SELECT page_id, tag, attr, raw_url FROM link WHERE raw_url <> '' UNION ALL SELECT page_id, tag, attr, raw_url FROM pages JOIN added ON i = page_id % {len(cases.TABLES["e1_link_cases"][1])}""",
+    "u2_spoilt_urls": "SELECT page_id, url FROM pages",
     "l1_budget_occurrences": f"""
 WITH {_JOINED}, o AS (SELECT page_id, seq, {_KEY} AS url FROM occurrence),
 first AS (SELECT url, min((page_id, seq)) AS place FROM o GROUP BY url),
