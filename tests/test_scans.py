@@ -34,6 +34,14 @@ def test_faulty_sitemaps(spark):
     assert scans.sitemap(files.limit(0)).count() == 0
 
 
+def test_hostile_sitemaps(spark):
+    """Megabytes of one tag, quote, comment, reference or attribute list take no stack; what stands before them is kept."""
+    big, url = 300_000, "<urlset><url><loc>http://a/1</loc></url>"
+    tails = ["<x a='" + "y" * big, "<x" + "y" * big, "<x" + "".join(f" a{i}='b'" for i in range(big // 10)) + "/></urlset>", "<y>" + "&amp;" * (big // 5) + "</y></urlset>", "<!--" + "z" * big, "<x " + '"a"' * (big // 3), "&" * big, "<a/>" * (big // 4) + "</urlset>", "<" * big]
+    got = {r.url: (r.locs, r.warning is not None) for r in scans.sitemap_contents(bodies(spark, [url + t for t in tails])).collect()}
+    assert got == {i: (["http://a/1"], not t.endswith("</urlset>")) for i, t in enumerate(tails)}
+
+
 def test_bookmarks_of_any_depth(spark):
     def nested(n, name):
         node = {"type": "url", "url": f"u{name}", "name": name}
@@ -50,10 +58,10 @@ def test_bookmarks_of_any_depth(spark):
 
 
 def test_markdown_at_any_depth(spark):
-    texts = ["[" * 3000 + "x" + "]" * 3000 + "(/deep)", "[" * 100_000 + "(" * 100_000, "[a](/u (v (w)))\n[a](/u (v (w)))", "[a](", "[a]()", None, "", "<http://h/x> <no> [r]: http://d\n[r]: <http://d> 'T'", "[a](<b c> \"t\") [![i](/i 't')](/o)"]
+    texts = ["[" * 3000 + "x" + "]" * 3000 + "(/deep)", "[" * 100_000 + "(" * 100_000, "[a](/u (v (w)))\n[a](/u (v (w)))", "[a](", "[a]()", None, "", "<http://h/x> <no> [r]: http://d\n[r]: <http://d> 'T'", "[a](<b c> \"t\") [![i](/i 't')](/o)", "[a](x" + " " * 200_000 + "y)"]
     got = [(r.url, r.raw_url, r.line, r.col) for r in scans.markdown(bodies(spark, texts)).orderBy("url", "n").collect()]
     assert got == [
-        (0, "/deep", 1, 6002), (2, "/u(v(w))", 1, 4), (2, "/u(v(w))", 2, 4), (7, "http://h/x", 1, 2), (7, "http://d", 2, 7), (8, "bc", 1, 4), (8, "/o", 1, 30), (8, "/i", 1, 21),
+        (0, "/deep", 1, 6002), (2, "/u(v(w))", 1, 4), (2, "/u(v(w))", 2, 4), (7, "http://h/x", 1, 2), (7, "http://d", 2, 7), (8, "bc", 1, 4), (8, "/o", 1, 30), (8, "/i", 1, 21), (9, "xy", 1, 4),
     ]
 
 

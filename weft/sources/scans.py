@@ -40,8 +40,8 @@ def css(files: DataFrame, key: str = "url", body: str = "body") -> DataFrame:
 
 _NAME = r"[A-Za-z_:][\w:.-]*"
 _REFERENCE = r"&(?:lt|gt|amp|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);"
-_QUOTED = rf"""(?:"(?:[^"<&]|{_REFERENCE})*+"|'(?:[^'<&]|{_REFERENCE})*+')"""
-_XML_TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE(?:[^\[>]|\[[^\]]*\])*+>|<(?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|[^<]++|<"""
+_QUOTED = rf"""(?:"(?:[^"<&]++|{_REFERENCE})*+"|'(?:[^'<&]++|{_REFERENCE})*+')"""
+_XML_TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE(?:[^\[>]++|\[[^\]]*+\])*+>|<(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|[^<]++|<"""
 _XML_TAG = rf"(?s)^<({_NAME})(?:\s+{_NAME}\s*=\s*{_QUOTED})*+\s*+/?>$"
 _LOC = r"(?s)<(?:[\w.-]+:)?loc(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?loc\s*>"
 
@@ -70,7 +70,7 @@ def _xml_fault(tokens: Column) -> Column:
         return (
             F.when(x.startswith("<!--") | x.startswith("<!DOCTYPE") | (x.startswith("<?") & (~x.rlike(r"^<\?xml\s") | (i == 0))) | x.rlike(r"^\s+$"), "other")
             .when(x.startswith("<![CDATA["), "text").when(x.rlike(rf"^</{_NAME}\s*>$"), "close").when(tag & x.endswith("/>"), "empty").when(tag, "open")
-            .when(~x.startswith("<") & x.rlike(rf"^(?:[^&]|{_REFERENCE})*+$"), "text").otherwise("fault")
+            .when(~x.startswith("<") & x.rlike(rf"^(?:[^&]++|{_REFERENCE})*+$"), "text").otherwise("fault")
         )
 
     each = F.transform(tokens, lambda x, i: record(at=i, kind=kind(x, i), name=F.regexp_extract(x, rf"^</?({_NAME})", 1)))
@@ -126,7 +126,7 @@ def binary_urls(files: DataFrame, key: str = "path", content: str = "content") -
 
 _ANGLE = re.compile(r"<((?:https?|ftp):[^'\">\s]+)>", re.I)
 _DEFINITION = re.compile(r"^ {0,3}\[[^\[\]]+\]:\s*<?(\S+?)>?(?:\s|$)", re.M)
-_TITLE = re.compile(r"[ \t]+['\"].*$", re.S)
+_TITLE = re.compile(r"(?<![ \t])[ \t]+['\"].*$", re.S)  # a run of blanks is tried once
 
 
 def _closing(text: str, pair: str) -> dict[int, int]:
