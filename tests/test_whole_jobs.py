@@ -24,7 +24,7 @@ def test_crawl_has_no_limit(spark):
 def test_unclosed_tags(spark):
     """Megabytes of open tags, quotes and comments take no stack and little time."""
     big = 1_000_000
-    html = ["<b " + "x" * big, "<a href='" + "y" * big, "<!-- " + "z" * big, '<a href="u">' + "<script>" + "q" * big, "<style " * (big // 700)]
+    html = ["<b " + "x" * big, "<a href='" + "y" * big, "<!-- " + "z" * big, '<a href="u">' + "<script>" + "q" * big, "<style " * (big // 700), "<b a=b " + "x" * big + ">", "<b " + "x='y' " * (big // 20) + ">", "<b a=b" + " " * big + "c>"]
     pages = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
     assert [(r.page_id, r.raw_url) for r in extract.links(pages).collect()] == [(3, "u")]
     assert extract.with_places(pages).where("page_id = 3 and tag = 'a'").count() == 1

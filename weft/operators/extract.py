@@ -15,7 +15,8 @@ _INNER = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 TOKEN = rf"(?is)<!--.*?-->|<script\b[^>]*+>.*?</script\s*+>|<style\b[^>]*+>.*?</style\s*+>|<[a-z/!?]{_INNER}>|[^<]++|<"
 #: The start tag at the head of a token.
 _START = rf"(?s)^(<[a-zA-Z]{_INNER}>)"
-ATTRIBUTE = r"""([a-zA-Z:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+#: A name and its value; a run of letters is tried once.
+ATTRIBUTE = r"""(?<![a-zA-Z:-])([a-zA-Z:-]++)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 # Urls in style sheets, and the content of a refresh.
 REFRESH = r"(?i)^\d+;\s*url=(.+)$"
 CSS_URL = r"""url\(\s*('[^']+'|"[^"]+"|[^\)\s]+)\s*\)"""
