@@ -49,8 +49,10 @@ NEARLY = 1 / 128
 FAN_IN = 8
 #: Pieces of a task of the first round.
 TASK_PIECES = 50_000
+#: Bytes of text that are encoded at once: words that repeat within them are looked up once.
+TOGETHER = 4 << 20
 #: Chunks a worker remembers at most, and how many from one task to the next.
-REMEMBERED, KEPT = 600_000, 300_000
+REMEMBERED, KEPT = 800_000, 300_000
 #: White space that is not ASCII, and control characters that some libraries take for it.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Next to each other, these blanks belong to one run, which must not be cut.
@@ -150,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, size=TOGETHER):
                 out: list[list] = [[], [], [], [], []]
                 tokens_of = []
                 for doc, tokens in zip(part.column("doc_id").to_pylist(), enc.encode([x or "" for x in part.column("text").to_pylist()])):
