@@ -135,6 +135,18 @@ def test_merged_volume(spark):
     assert report.volume_of(report.volume(rows.limit(0))).first() == (0, 0)
 
 
+@pytest.mark.parametrize("n", [5, 1200, 1600, 2500])
+def test_volume_is_that_of_the_keys(spark, n):
+    """The same keys have the same volume from one task, from many, and from runs, exactly and by sketch."""
+    rows = spark.range(n + n // 2).select("id", F.col("id").alias("size"), F.concat(F.lit("u"), F.col("id") % n).alias("cache_url"))
+    runs = [rows.where(F.col("id") % 3 == k) for k in range(3)]
+    sketches, states = [report.volume(x) for x in runs], [report.volume_by_key(x) for x in runs]
+    ways = [report.volume(rows.coalesce(1)), report.volume(rows.repartition(7)), report.merged_volume(sketches[0].unionByName(sketches[1]).unionByName(sketches[2]))]
+    assert len({report.volume_of(x).first() for x in ways}) == 1
+    exact = report.exact_volume_of(report.merged_by_key(states[0].unionByName(states[1]).unionByName(states[2]))).first()
+    assert exact == report.exact_volume_of(report.volume_by_key(rows)).first() == (sum(range(n + n // 2)), n)
+
+
 def test_previous_within_a_value(spark):
     rows = [("h", i, f"v{i}") for i in range(0, 40, 3)] + [("g", 5, "x"), (None, 1, "n1"), (None, 2, "n2")]
     want = {}

@@ -39,8 +39,28 @@ def merged_volume(states: DataFrame) -> DataFrame:
 
 
 def volume_of(states: DataFrame) -> DataFrame:
-    """Bytes and about how many results a state stands for."""
-    return states.select("bytes", F.hll_sketch_estimate("keys").alias("results"))
+    """Bytes and about how many results a state stands for.
+
+    A sketch that was never merged is estimated by the order of its updates, one that
+    was by its registers alone; so each is merged with itself before, and the same
+    keys have the same estimate on every way.
+    """
+    return states.select("bytes", F.hll_sketch_estimate(F.hll_union("keys", "keys")).alias("results"))
+
+
+def volume_by_key(records: DataFrame) -> DataFrame:
+    """G4 as an exact state that can be kept and merged: bytes by result key, one row a key."""
+    return records.groupBy("cache_url").agg(F.sum("size").alias("bytes"))
+
+
+def merged_by_key(states: DataFrame) -> DataFrame:
+    """The exact state of several runs together, each key once."""
+    return states.groupBy("cache_url").agg(F.sum("bytes").alias("bytes"))
+
+
+def exact_volume_of(states: DataFrame) -> DataFrame:
+    """Bytes and the number of results that an exact state stands for; bytes are null without any."""
+    return states.agg(F.sum("bytes").alias("bytes"), F.count("cache_url").alias("results"))
 
 
 def content_kinds(records: DataFrame) -> DataFrame:
