@@ -137,3 +137,14 @@ def test_sketches_of_a_stream(spark, tmp_path):
     assert {r.event_type: r.number for r in got.collect()} == {"error": 1000, "view": 2000}
     merged = report.volume_of(report.merged_volume(got.select(F.col("number").alias("bytes"), "keys"))).first()
     assert merged.bytes == 3000 and abs(merged.results - 500) <= 10
+
+
+def test_anchors_of_pages_with_one_url(spark, tmp_path):
+    """Pages under one URL have their own anchors each: an even one's fragment is not there for an odd one."""
+    u = "http://h/a#top"
+    rows = [(1, u, "<p>x"), (2, u, "<p>y"), (3, u, None), (4, u, None), (5, "http://h/a", "<p>z"), (7, "http://h/b#top", ""), (9, "http://h/a?q#end", "<p>"), (11, "http://h/a?q", "<p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["j6_broken_anchors"](spark, str(tmp_path)).select("page_id", "fragment", "available").collect())
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(db.execute(SQL["j6_broken_anchors"]).fetchall()) == [(1, "top", "n1"), (3, "top", "n3"), (7, "top", "n7"), (9, "end", "n9")]

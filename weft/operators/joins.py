@@ -64,16 +64,18 @@ def scope_of_seeds(url: Column, seeds: Sequence[str], rule_list: Sequence[dict]
     return scope(url, [*rule_list, *({"kind": "intern", "pattern": urls.intern_rule(s)} for s in seeds)], check_extern)
 
 
-def broken_anchors(links: DataFrame, anchors: DataFrame) -> DataFrame:
+def broken_anchors(links: DataFrame, anchors: DataFrame, key: str = "cache_url", target: str = "url") -> DataFrame:
     """Links (cache_url, fragment, ...) whose fragment the target (url, anchor) lacks, with what it has, both quoted.
 
-    The anchors of a target are listed once, and only of targets that lack one.
+    Targets may have another key than the URL: where a URL stands for several pages,
+    the anchors of all are taken for it. The anchors of a target are listed once, and
+    only of targets that lack one.
     """
-    held = anchors.select(F.col("url").alias("cache_url"), urls.quote(F.col("anchor"), "/").alias("fragment")).distinct()
-    missing = kept(links.where("fragment <> ''").join(held, ["cache_url", "fragment"], "left_anti"))
-    lacking = missing.select("cache_url").distinct()
-    available = held.join(lacking, "cache_url", "left_semi").groupBy("cache_url").agg(F.array_join(F.sort_array(F.collect_set("fragment")), ",").alias("available"))
-    return missing.join(available, "cache_url", "left").withColumn("available", F.coalesce("available", F.lit("-")))
+    held = anchors.select(F.col(target).alias(key), urls.quote(F.col("anchor"), "/").alias("fragment")).distinct()
+    missing = kept(links.where("fragment <> ''").join(held, [key, "fragment"], "left_anti"))
+    lacking = missing.select(key).distinct()
+    available = held.join(lacking, key, "left_semi").groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("fragment")), ",").alias("available"))
+    return missing.join(available, key, "left").withColumn("available", F.coalesce("available", F.lit("-")))
 
 
 def redirect_ends(redirects: DataFrame, limit: int = MAX_REDIRECTS) -> DataFrame:
