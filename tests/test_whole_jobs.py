@@ -148,3 +148,15 @@ def test_anchors_of_pages_with_one_url(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(db.execute(SQL["j6_broken_anchors"]).fetchall()) == [(1, "top", "n1"), (3, "top", "n3"), (7, "top", "n7"), (9, "end", "n9")]
+
+
+def test_aliases_of_pages_with_one_url(spark, tmp_path):
+    """Pages under one URL have a status each: what redirects there has all of them, once; what has its own keeps that."""
+    urls = {3: "http://h/a", 4: "http://h/b", 5: "http://h/c#x", 6: "http://h/d", 8: "http://h/d#y", 27: "http://h/d", 33: "http://h/d", 11: "http://h/e", 12: "http://h/d", 1: "http://h/b", 7: "http://h/b"}
+    urls |= {19: "http://h/l", 20: "http://h/m", 21: "http://h/l", 22: "http://h/m"}  # 19 and 21 lead to m, 20 to l
+    spark.createDataFrame([(i, u, "") for i, u in urls.items()], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["j8_alias_results"](spark, str(tmp_path)).select("cache_url", "status").collect())
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(db.execute(SQL["j8_alias_results"]).fetchall())
+    assert got[:6] == [("http://h/a", 200), ("http://h/a", 204), ("http://h/a", 404), ("http://h/b", 200), ("http://h/c", 200), ("http://h/c", 204)]

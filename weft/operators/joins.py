@@ -97,9 +97,13 @@ def redirect_ends(redirects: DataFrame, limit: int = MAX_REDIRECTS) -> DataFrame
     return done
 
 
-def for_aliases(results: DataFrame, ends: DataFrame) -> DataFrame:
-    """Results (one for each key), and a copy under every URL that redirects to one and has none."""
-    copies = ends.where("not loop").join(results, ends.final_url == results.cache_url).drop("cache_url", "final_url", "hops", "loop").withColumnRenamed("from_url", "cache_url")
+def for_aliases(results: DataFrame, ends: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Results (one for each key), and a copy under every URL that redirects to one and has none.
+
+    Where a key has several answers, these may be given, each once: a URL that redirects to it gets all of them.
+    """
+    answers = results if answers is None else answers
+    copies = ends.where("not loop").join(answers, ends.final_url == answers.cache_url).drop("cache_url", "final_url", "hops", "loop").withColumnRenamed("from_url", "cache_url")
     return results.unionByName(copies.select(*results.columns).join(results.select("cache_url"), "cache_url", "left_anti"))
 
 
