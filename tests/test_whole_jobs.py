@@ -5,6 +5,7 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
+from weft.functions import scalars
 from weft.operators import extract, joins, report
 from weft.plans.queries import QUERIES, page_links
 from weft.plans.sql import SQL
@@ -160,3 +161,17 @@ def test_aliases_of_pages_with_one_url(spark, tmp_path):
     db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(db.execute(SQL["j8_alias_results"]).fetchall())
     assert got[:6] == [("http://h/a", 200), ("http://h/a", 204), ("http://h/a", 404), ("http://h/b", 200), ("http://h/c", 200), ("http://h/c", 204)]
+
+
+def test_text_functions_of_odd_documents(spark, tmp_path):
+    """Null and empty texts, null counts, blanks of any width, halves of a unit's last digit, and sizes above a GB."""
+    blanks = [c + "x" + c + "y" + c for c in " \u00a0\u1680\u2000\u2009\u200a\u202f\u205f\u3000\t\r\x1f\x85\u180e\u200b\u2028\ufeff"]
+    texts = [None, "", " \n", "'", "a'b\nc", "\u3000 \u00a0\nx", "\U0001f600" * 41, "\r\n" * 150, *blanks]
+    rows = [(t, n) for t in texts for n in (None, 0, 3)] + [("t", n) for n in (10, 59, 60, 102, 103, 160, 3599, 3600, 10485, 10486, 32768, 98304, 104857, 104858, 196608, 10737418, 10737419, 107374183, 10**12)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["x11_text_functions"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == db.execute(f"select {', '.join(got.columns)} from ({SQL['x11_text_functions']}) order by doc_id").fetchall()
+    sizes = spark.createDataFrame([(None,), (1 << 30,), (10 << 30,)], "n long").select(scalars.human_size(F.col("n")).alias("x"), scalars.human_duration(F.col("n")).alias("y"))
+    assert [(r.x, r.y) for r in sizes.collect()] == [(None, None), ("1.00GB", "298261:37:04"), ("10.0GB", "2982616:10:40")]

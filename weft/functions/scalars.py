@@ -21,6 +21,8 @@ _V6 = [
 ]
 #: A character entity by name or number.
 ENTITY = r"&(?:#[xX]?)?[0-9A-Za-z]+;"
+#: The space separators of Unicode (Zs).
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def is_ipv4(text: Column) -> Column:
@@ -116,21 +118,25 @@ def limited(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
 
 
-def human_size(size: Column) -> Column:
-    """Whole bytes, and whole KB below 10 KB; then two decimals up to 10 of a unit (KB: 1024), and one above."""
+def human_size(size: Column, largest: str = "GB") -> Column:
+    """Whole bytes, and whole KB below 10 KB; then two decimals up to 10 of a unit (KB: 1024), and one above; MB or GB is the largest unit."""
     kb, mb, gb = 1 << 10, 1 << 20, 1 << 30
     part = lambda unit, digits, name: F.concat(F.format_string(f"%.{digits}f", F.bround(size / unit, digits)), F.lit(name))  # noqa: E731  half to even
-    return (
+    text = (
         F.when(size < kb, F.concat(size, F.lit("B"))).when(size < 10 * kb, F.concat(F.floor(size / kb), F.lit("KB"))).when(size < mb, part(kb, 2, "KB"))
-        .when(size < 10 * mb, part(mb, 2, "MB")).when(size < gb, part(mb, 1, "MB")).when(size < F.lit(10).cast("long") * gb, part(gb, 2, "GB")).otherwise(part(gb, 1, "GB"))
+        .when(size < 10 * mb, part(mb, 2, "MB"))
     )
+    # format_string writes a null as a word, so none gets there
+    if largest == "MB":
+        return text.when(size.isNotNull(), part(mb, 1, "MB"))
+    return text.when(size < gb, part(mb, 1, "MB")).when(size < F.lit(10).cast("long") * gb, part(gb, 2, "GB")).when(size.isNotNull(), part(gb, 1, "GB"))
 
 
 def human_duration(seconds: Column) -> Column:
     """Minutes and seconds, rounded up, with hours before them if there are any, and a sign."""
     s = F.ceil(F.abs(seconds))
     h, m = F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60))
-    text = F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, F.pmod(s, F.lit(60)))).otherwise(F.format_string("%02d:%02d", m, F.pmod(s, F.lit(60))))
+    text = F.when(h > 0, F.format_string("%02d:%02d:%02d", h, m, F.pmod(s, F.lit(60)))).when(h == 0, F.format_string("%02d:%02d", m, F.pmod(s, F.lit(60))))
     return F.concat(F.when(seconds < 0, "-").otherwise(""), text)
 
 
@@ -148,8 +154,8 @@ def long_duration(seconds: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    """X14."""
-    return F.trim(F.split_part(text, F.lit("\n"), F.lit(1)))
+    """Without the blanks of any width at its ends."""
+    return F.btrim(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit(BLANKS))
 
 
 def line_of(text: Column, offset: Column) -> Column:
@@ -181,9 +187,14 @@ def xml_escaped(text: Column) -> Column:
     return text
 
 
+def sql_quoted(text: Column) -> Column:
+    """In quotation marks, with those within doubled; null for null."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
 def sql_literal(text: Column) -> Column:
     """Null if empty."""
-    return F.when(F.coalesce(text, F.lit("")) == "", "NULL").otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'")))
+    return F.when(F.coalesce(text, F.lit("")) == "", "NULL").otherwise(sql_quoted(text))
 
 
 def modified(time: Column, separator: str = " ") -> Column:
